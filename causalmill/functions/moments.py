@@ -40,9 +40,25 @@ def moment_rows(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
 
 
 def _wide_moments(rows: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Cross products by numpy per Arrow batch around a common shift (the column means), then summed per cell."""
     shift = np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in cols]).first()], dtype=float)
-    p, names, keys = len(cols), list(cols), list(by)
+    return feature_moments(rows, cols, lambda x: x - shift, len(cols), by, shift)
+
+
+def feature_moments(
+    rows: DataFrame,
+    cols: Sequence[str],
+    features: Callable[[np.ndarray], np.ndarray],
+    p: int,
+    by: Sequence[str] = (),
+    shift: np.ndarray | None = None,
+) -> DataFrame:
+    """Moment rows of ``p`` features that ``features`` computes from the columns of an Arrow batch.
+
+    Each batch adds its cross products; they are summed per cell by a shuffle of p*(p+1) numbers per task, so the rows
+    themselves never move. ``shift`` is added back to the means.
+    """
+    names, keys = list(cols), list(by)
+    shift = np.zeros(p) if shift is None else shift
     schema = T.StructType(
         [rows.schema[c] for c in keys]
         + [T.StructField("i", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))]
@@ -52,7 +68,7 @@ def _wide_moments(rows: DataFrame, cols: Sequence[str], by: Sequence[str]) -> Da
         for pdf in batches:
             groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
             for key, g in groups:
-                x = g[names].to_numpy(dtype=float) - shift
+                x = features(g[names].to_numpy(dtype=float))
                 body = np.vstack([x.sum(axis=0), x.T @ x])
                 out = pd.DataFrame({"i": np.arange(-1, p, dtype=np.int32), "n": len(g), "v": list(body)})
                 for k, val in zip(keys, key if isinstance(key, tuple) else (key,)):
@@ -61,18 +77,25 @@ def _wide_moments(rows: DataFrame, cols: Sequence[str], by: Sequence[str]) -> Da
 
     cells = rows.mapInPandas(partial, schema).select(*keys, "i", "n", F.posexplode("v").alias("j", "v"))
     summed = cells.groupBy(*keys, "i", "j").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    packed = summed.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("cells")
-    )  # p*(p+1) cells per group
-    flat = packed.select(*keys, "n", F.transform("cells", lambda c: c["v"] / F.col("n")).alias("f"))
-    off = F.array(*[F.lit(float(s)) for s in shift])
-    mean = F.slice("f", 1, p)
-    flat = flat.withColumn("d", mean)
-    cov = F.transform(
-        F.slice("f", p + 1, p * p),
-        lambda v, k: v - F.element_at("d", (F.floor(k / p) + 1).cast("int")) * F.element_at("d", (k % p + 1).cast("int")),
+    packed = summed.groupBy(*keys).agg(F.max("n").alias("n"), F.collect_list(F.struct("i", "j", "v")).alias("cells"))  # p*(p+1) cells
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            means, covs = [], []
+            for n, cells in zip(pdf["n"], pdf["cells"]):
+                m = np.zeros((p + 1, p))
+                for c in cells:
+                    m[c["i"] + 1, c["j"]] = c["v"]
+                d = m[0] / n
+                means.append(d + shift)
+                covs.append((m[1:] / n - np.outer(d, d)).ravel())
+            yield pdf[[*keys, "n"]].assign(means=means, cov=covs)
+
+    done = T.StructType(
+        [rows.schema[c] for c in keys]
+        + [T.StructField("n", T.LongType()), T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("cov", T.ArrayType(T.DoubleType()))]
     )
-    return flat.select(*keys, "n", F.zip_with("d", off, lambda a, b: a + b).alias("means"), cov.alias("cov"))
+    return packed.mapInPandas(finish, done)
 
 
 def from_moments(

@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 
 from ..functions.joins import join_checked, zip_single_rows
 from ..functions.lineage import cut_lineage
-from ..functions.moments import complete_rows, correlation, from_moments, moment_rows, ols, partial_correlation
+from ..functions.moments import complete_rows, correlation, feature_moments, from_moments, moment_rows, ols, partial_correlation
 from ..functions.ordered import range_slices, with_position, with_running_sums, with_suffix_min
 from ..functions.pvalues import chi2_p, f_p, gamma_q, ks_p, norm_two_sided_p, t_p, t_quantile, t_two_sided
-from ..functions.quantiles import average_ranks, unpivot
+from ..functions.quantiles import average_ranks
+from .scaling import _moments
 
 _PAIRS_PER_AGG = 150  # aggregate expressions in one stage
 
@@ -516,35 +517,44 @@ def multiple_testing(tests: DataFrame, p: str, key: Sequence[str], method: str =
     return out.withColumn("significant", F.col("p_adjusted") < alpha)
 
 
-def random_features(df: DataFrame, groups: dict[str, Sequence[str]], features: int, kernel: str = "rbf", gamma: float | None = None, seed: int = 0) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Random Fourier features of standardised column groups: one pass per row, nothing n×n.
+def random_feature_moments(
+    df: DataFrame, groups: dict[str, Sequence[str]], features: int, kernel: str = "rbf", gamma: float | None = None, seed: int = 0
+) -> tuple[DataFrame, dict[str, int]]:
+    """Moments of random Fourier features of standardised column groups: one pass, nothing n×n.
 
     rbf exp(-gamma |d|²), laplacian exp(-gamma |d|_1); polynomial (gamma x·y + 1)³ is expanded exactly for one column.
+    Returns the moment row and the number of features per group.
     """
-    from .scaling import _moments
-
-    allc = list(dict.fromkeys(itertools.chain(*groups.values())))
-    rows = complete_rows(df, allc)
-    stats = _moments(rows, allc, F.avg, F.stddev_pop)
-    rows = rows.select(*[((F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)).alias(c) for c, (m, s) in stats.items()])
+    cols = list(dict.fromkeys(itertools.chain(*groups.values())))
+    rows = complete_rows(df, cols)
+    stats = _moments(rows, cols, F.avg, F.stddev_pop)
+    centre = np.array([stats[c][0] or 0.0 for c in cols])
+    width = np.array([stats[c][1] or 1.0 for c in cols])
     rng = np.random.default_rng(seed)
-    exprs, names = [], {}
-    for g, cols in groups.items():
-        gam = gamma if gamma is not None else 1.0 / len(cols)
-        names[g] = []
-        if kernel == "polynomial" and len(cols) == 1:
-            x = F.col(cols[0])
-            for i in (1, 2, 3):
-                names[g].append(f"_{g}{i}")
-                exprs.append((F.lit(math.sqrt(math.comb(3, i) * gam**i)) * F.pow(x, F.lit(i))).alias(f"_{g}{i}"))
+    parts, sizes = [], {}
+    for g, members in groups.items():
+        at = [cols.index(c) for c in members]
+        gam = gamma if gamma is not None else 1.0 / len(at)
+        if kernel == "polynomial" and len(at) == 1:
+            parts.append((at, [math.sqrt(math.comb(3, i) * gam**i) for i in (1, 2, 3)], None))
+            sizes[g] = 3
             continue
-        for i in range(features):
-            w = rng.normal(0.0, math.sqrt(2.0 * gam), len(cols)) if kernel != "laplacian" else gam * rng.standard_cauchy(len(cols))
-            phase = float(rng.uniform(0.0, 2.0 * math.pi))
-            dot = sum((F.lit(float(a)) * F.col(c) for a, c in zip(w, cols)), F.lit(phase))
-            names[g].append(f"_{g}{i}")
-            exprs.append((F.lit(math.sqrt(2.0 / features)) * F.cos(dot)).alias(f"_{g}{i}"))
-    return rows.select(*exprs), names
+        shape = (len(at), features)
+        w = gam * rng.standard_cauchy(shape) if kernel == "laplacian" else rng.normal(0.0, math.sqrt(2.0 * gam), shape)
+        parts.append((at, w, rng.uniform(0.0, 2.0 * math.pi, features)))
+        sizes[g] = features
+
+    def expand(x: np.ndarray) -> np.ndarray:
+        z = (x - centre) / width
+        out = []
+        for at, w, phase in parts:
+            if phase is None:
+                out.append(np.column_stack([c * z[:, at[0]] ** (i + 1) for i, c in enumerate(w)]))
+            else:
+                out.append(math.sqrt(2.0 / w.shape[1]) * np.cos(z[:, at] @ w + phase))
+        return np.hstack(out)
+
+    return feature_moments(rows, cols, expand, sum(sizes.values())), sizes
 
 
 def gamma_null(n: float, stat: float, cx: np.ndarray, cy: np.ndarray) -> float:
@@ -559,16 +569,15 @@ def gamma_null(n: float, stat: float, cx: np.ndarray, cy: np.ndarray) -> float:
 
 def hsic_test(df: DataFrame, x: str, y: str, kernel: str = "rbf", alpha: float = 0.05, features: int = 40, seed: int = 0) -> DataFrame:
     """(n, hsic, p_value, independent): squared norm of the cross-covariance of random features."""
-    feats, names = random_features(df, {"x": [x], "y": [y]}, features, kernel, seed=seed)
-    cols = names["x"] + names["y"]
-    a = len(names["x"])
+    moments, sizes = random_feature_moments(df, {"x": [x], "y": [y]}, features, kernel, seed=seed)
+    a = sizes["x"]
 
     def solve(n, means, cov):
         stat = float((cov[:a, a:] ** 2).sum())
         p = gamma_null(n, stat, cov[:a, :a], cov[a:, a:])
         return [{"n": int(n), "hsic": stat, "p_value": p, "independent": p >= alpha}]
 
-    return from_moments(moment_rows(feats, cols), solve, "n long, hsic double, p_value double, independent boolean")
+    return from_moments(moments, solve, "n long, hsic double, p_value double, independent boolean")
 
 
 def residual_covariance(cov: np.ndarray, keep: Sequence[int], given: Sequence[int], ridge: float) -> np.ndarray:
@@ -580,15 +589,14 @@ def cond_hsic_test(
     df: DataFrame, x: str, y: str, z: Sequence[str], kernel: str = "rbf", alpha: float = 0.05, features: int = 25, ridge: float = 1e-4, seed: int = 0
 ) -> DataFrame:
     """(n, hsic, p_value, independent): cross-covariance of the features of (x, z) and y that the features of z leave."""
-    feats, names = random_features(df, {"x": [x, *z], "y": [y], "z": list(z)}, features, kernel, seed=seed)
-    cols = names["x"] + names["y"] + names["z"]
-    a, b = len(names["x"]), len(names["y"])
+    moments, sizes = random_feature_moments(df, {"x": [x, *z], "y": [y], "z": list(z)}, features, kernel, seed=seed)
+    a, b = sizes["x"], sizes["y"]
 
     def solve(n, means, cov):
         left = list(range(a + b))
-        res = residual_covariance(cov, left, list(range(a + b, len(cols))), ridge)
+        res = residual_covariance(cov, left, list(range(a + b, len(cov))), ridge)
         stat = float((res[:a, a:] ** 2).sum())
         p = gamma_null(n, stat, res[:a, :a], res[a:, a:])
         return [{"n": int(n), "hsic": stat, "p_value": p, "independent": p >= alpha}]
 
-    return from_moments(moment_rows(feats, cols), solve, "n long, hsic double, p_value double, independent boolean")
+    return from_moments(moments, solve, "n long, hsic double, p_value double, independent boolean")

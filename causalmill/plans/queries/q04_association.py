@@ -341,14 +341,6 @@ def parse_datetime(spark, sf):
     return windows.parse_datetime(windows.parse_datetime(df, "stamp", "%d/%m/%Y %H:%M:%S"), "bad", "%Y-%m-%d")
 
 
-def _resample_sql() -> str:
-    daily = """SELECT 'D' AS rule, c.event_type, c.bucket, r.mean, r.total, r.lo, r.hi, r.med, r.fst, r.lst FROM cal c LEFT JOIN agg r USING (event_type, bucket)"""
-    return f"""WITH agg AS (SELECT event_type, ts::DATE AS bucket, avg(value) AS mean, sum(value) AS total, min(value) AS lo, max(value) AS hi, median(value) AS med, first(value ORDER BY ts, event_id) AS fst, last(value ORDER BY ts, event_id) AS lst
-      FROM big GROUP BY 1, 2), big AS (SELECT * FROM events WHERE value > 80),
-    span AS (SELECT event_type, min(bucket) AS a, max(bucket) AS b FROM agg GROUP BY 1),
-    cal AS (SELECT event_type, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY))::DATE AS bucket FROM span) {daily}"""
-
-
 @query(
     "resample",
     rounded_sql("""WITH agg AS (SELECT user_id, ts::DATE AS bucket, avg(value) AS mean, sum(value) AS total, min(value) AS lo, max(value) AS hi, median(value) AS med, arg_min(value, (ts, event_id)) AS fst, arg_max(value, (ts, event_id)) AS lst
