@@ -10,13 +10,14 @@ arbitrary order.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
 
+SERIES_LIMIT = 1_000_000  # rows of one series that a single window task may hold
 _INDEX_BITS = 33  # monotonically_increasing_id = partition << 33 | row index
 
 
@@ -43,6 +44,36 @@ def range_slices(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
     return cut_lineage(ranged)
 
 
+def fits_one_task(df: DataFrame, by: Sequence[str] = ()) -> bool:
+    """True when no series is longer than ``SERIES_LIMIT``; a plain window per series is then safe and needs one shuffle."""
+    sizes = df.groupBy(*by).count().agg(F.max("count"))
+    return (sizes.first()[0] or 0) <= SERIES_LIMIT
+
+
+def _series(by: Sequence[str]) -> Window:
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+
+def framed(
+    df: DataFrame,
+    order: Sequence[str | Column],
+    by: Sequence[str],
+    before: int,
+    after: int,
+    make: Callable[[Window], Mapping[str, Column]],
+    block_rows: int = 65536,
+) -> DataFrame:
+    """Add the columns that ``make(window)`` builds from frames reaching at most ``before`` back and ``after`` ahead.
+
+    Series that all fit one task use a window per series; otherwise the series are positioned and cut into blocks.
+    """
+    if fits_one_task(df, by):
+        return df.select("*", *[e.alias(k) for k, e in make(_series(by).orderBy(*_asc(order))).items()])
+    rows, window, own = with_neighbours(with_position(df, order, by), before, after, by, block_rows=block_rows)
+    new = make(window)
+    return rows.select("*", *[e.alias(k) for k, e in new.items()]).where(own).select(*df.columns, *new)
+
+
 def _slice_key(by: Sequence[str]) -> list[str]:
     return ["_slice", *by]
 
@@ -61,6 +92,10 @@ def with_position(
     df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "_pos", length: str | None = None
 ) -> DataFrame:
     """Add the 0-based row position inside each series (and the series length as ``length``)."""
+    if fits_one_task(df, by):
+        w = _series(by)
+        place = (F.row_number().over(w.orderBy(*_asc(order))) - 1).cast("long").alias(name)
+        return df.select("*", place, *([F.count(F.lit(1)).over(w).alias(length)] if length else []))
     rows = range_slices(df, order, by)
     runs = rows.groupBy(*_slice_key(by)).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
     series = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -133,6 +168,12 @@ def carried(
     """Add the last non-null value up to the row (``forward``) or the first one from the row on (``backward``)."""
     forward, backward = dict(forward or {}), dict(backward or {})
     exprs = {**forward, **backward}
+    if fits_one_task(df, by):
+        w = _series(by).orderBy(*_asc(order))
+        past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        return df.select(
+            "*", *[F.last(e, True).over(past).alias(k) for k, e in forward.items()], *[F.first(e, True).over(ahead).alias(k) for k, e in backward.items()]
+        )
     rows = range_slices(df.select("*", *[e.alias(f"_v_{k}") for k, e in exprs.items()]), order, by)
     aggs = []
     for k in forward:

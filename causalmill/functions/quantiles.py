@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .ordered import with_running_sums
 
 
@@ -25,9 +27,14 @@ def value_counts_long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()
 def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by…, column, n, q0…q{k}) with linear interpolation between order statistics.
 
-    ``percentile`` keeps all distinct values of a group in one reducer; here the distinct values stay range-partitioned
-    and only the two order statistics around each quantile are picked.
+    ``percentile`` keeps all distinct values of a group in one reducer; here they stay range-partitioned and only the two
+    order statistics around each quantile are picked. Whole-table quantiles first narrow every quantile to a short value
+    interval (see ``_whole_table``), so that little is shuffled.
     """
+    if not by:
+        narrow = _whole_table(df, cols, qs)
+        if narrow is not None:
+            return narrow
     counts = value_counts_long(df, cols, by)
     ranked = with_running_sums(counts, ["value"], {"cum": F.col("n")}, [*by, "column"])
     picks = []
@@ -45,6 +52,59 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by:
     return wide.select(*by, "column", "n", *out)
 
 
+_SKETCH = 5000  # rank error of the quantile sketch is n / _SKETCH
+_NARROW = 200_000  # distinct values per interval that one window task may sort
+
+
+def _whole_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame | None:
+    """Quantiles of whole columns by two scans: a sketch gives an interval around each order statistic, then the rows
+    below and inside it are counted exactly. None when an interval misses its rank or holds too many distinct values."""
+    rows = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    marks = sorted({min(max(q + d * 3.0 / _SKETCH, 0.0), 1.0) for q in qs for d in (-1, 1)})
+    aggs = []
+    for i in range(len(cols)):
+        aggs += [F.count(f"_x{i}").alias(f"n{i}"), F.percentile_approx(f"_x{i}", marks, _SKETCH).alias(f"m{i}")]
+    head = rows.agg(*aggs).first()
+    recs = []
+    for i in range(len(cols)):
+        if not head[f"n{i}"]:
+            continue
+        at = dict(zip(marks, head[f"m{i}"]))
+        for k, q in enumerate(qs):
+            lo, hi = (at[min(max(q + d * 3.0 / _SKETCH, 0.0), 1.0)] for d in (-1, 1))
+            x = F.col(f"_x{i}")
+            key = F.when(x < F.lit(lo), F.lit(float("-inf"))).when(x <= F.lit(hi), x)
+            recs.append(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), key.alias("v")))
+    spark = df.sparkSession
+    if not recs:
+        return spark.createDataFrame([], "column string, n long, " + ", ".join(f"q{k} double" for k in range(len(qs))))
+    counts = rows.select(F.inline(F.array(*recs))).where(F.col("v").isNotNull()).groupBy("i", "k", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut_lineage(counts)
+    if (counts.groupBy("i", "k").count().agg(F.max("count")).first()[0] or 0) > _NARROW:
+        return None
+    w = Window.partitionBy("i", "k").orderBy("v")
+    run = counts.select("i", "k", "v", "c", F.sum("c").over(w).alias("cum"))
+    sizes = F.array(*[F.lit(head[f"n{i}"]) for i in range(len(cols))])
+    at = F.get(F.array(*[F.lit(float(q)) for q in qs]), F.col("k")) * (F.get(sizes, F.col("i")) - 1)
+    pick = lambda r: F.max(F.when((F.col("cum") > r) & (F.col("cum") - F.col("c") <= r), F.col("v")))
+    found = run.withColumn("at", at).groupBy("i", "k").agg(pick(F.floor("at")).alias("lo"), pick(F.ceil("at")).alias("hi")).collect()
+    got = {(r.i, r.k): (r.lo, r.hi) for r in found}
+    out = []
+    for i, c in enumerate(cols):
+        n = head[f"n{i}"]
+        if not n:
+            continue
+        vals = []
+        for k, q in enumerate(qs):
+            lo, hi = got.get((i, k), (None, None))
+            if lo is None or hi is None or lo == float("-inf") or hi == float("-inf"):
+                return None
+            pos = float(q) * (n - 1)
+            vals.append(lo + (pos - math.floor(pos)) * (hi - lo))
+        out.append((c, n, *vals))
+    return spark.createDataFrame(out, "column string, n long, " + ", ".join(f"q{k} double" for k in range(len(qs))))
+
+
 def collect_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[str, list[float | None]]:
     """Quantiles of whole columns on the driver: ``len(cols) * len(qs)`` numbers."""
     rows = {r["column"]: r for r in exact_quantiles(df, cols, qs).collect()}

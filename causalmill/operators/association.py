@@ -8,8 +8,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -311,29 +309,65 @@ def point_biserial(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.select("n", F.lit(classes[1]).alias("high"), "r", "p_value")
 
 
+def logistic_batch(df: DataFrame, pairs: Sequence[tuple[Column, Column]], rounds: int = 25, tol: float = 1e-9) -> list[dict]:
+    """One-feature logistic models of many (0/1 label, number) pairs at once: Newton steps whose sums are one wide
+    aggregation per round for all pairs. Returns n, coefficient, intercept, accuracy per pair."""
+    rows = df.select(*[e for i, (y, x) in enumerate(pairs) for e in (y.cast("int").cast("double").alias(f"y{i}"), x.cast("double").alias(f"x{i}"))])
+    ok = [F.col(f"y{i}").isNotNull() & F.col(f"x{i}").isNotNull() for i in range(len(pairs))]
+    aggs = []
+    for i in range(len(pairs)):
+        x = F.when(ok[i], F.col(f"x{i}"))
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.avg(F.when(ok[i], F.col(f"y{i}"))).alias(f"p{i}")]
+    st = rows.agg(*aggs).first()
+    live = [i for i in range(len(pairs)) if st[f"n{i}"] and st[f"s{i}"] and 0.0 < st[f"p{i}"] < 1.0]
+    fit = {i: np.array([math.log(st[f"p{i}"] / (1 - st[f"p{i}"])), 0.0]) for i in live}
+    z = {i: (F.col(f"x{i}") - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"]) for i in live}
+    todo = list(live)
+    for _ in range(rounds):
+        if not todo:
+            break
+        aggs = []
+        for i in todo:
+            a, b = fit[i]
+            pr = 1.0 / (1.0 + F.exp(-(F.lit(float(a)) + F.lit(float(b)) * z[i])))
+            w, g = pr * (1 - pr), F.col(f"y{i}") - pr
+            for name, e in (("g0", g), ("g1", g * z[i]), ("h0", w), ("h1", w * z[i]), ("h2", w * z[i] * z[i])):
+                aggs.append(F.sum(F.when(ok[i], e)).alias(f"{name}_{i}"))
+        r = rows.agg(*aggs).first()
+        rest = []
+        for i in todo:
+            h = np.array([[r[f"h0_{i}"], r[f"h1_{i}"]], [r[f"h1_{i}"], r[f"h2_{i}"]]])
+            step = np.linalg.pinv(h) @ np.array([r[f"g0_{i}"], r[f"g1_{i}"]])
+            fit[i] = fit[i] + np.clip(step, -5.0, 5.0)
+            if np.abs(step).max() > tol and np.abs(fit[i]).max() < 50:
+                rest.append(i)
+        todo = rest
+    acc = {}
+    if live:
+        right = [F.avg(F.when(ok[i], ((F.lit(float(fit[i][0])) + F.lit(float(fit[i][1])) * z[i] > 0).cast("double") == F.col(f"y{i}")).cast("double"))).alias(f"a{i}") for i in live]
+        acc = rows.agg(*right).first().asDict()
+    out = []
+    for i in range(len(pairs)):
+        if i in fit:
+            b = float(fit[i][1]) / st[f"s{i}"]
+            out.append({"n": st[f"n{i}"], "coefficient": b, "intercept": float(fit[i][0]) - b * st[f"m{i}"], "accuracy": acc[f"a{i}"]})
+        else:
+            out.append({"n": st[f"n{i}"], "coefficient": None, "intercept": None, "accuracy": 0.0})
+    return out
+
+
 def logistic_auc(df: DataFrame, value: str, flag: str) -> DataFrame:
     """(n, coefficient, intercept, auc) of a one-feature logistic model; ``flag`` is 0/1 or boolean."""
     rows = df.select(F.col(value).cast("double").alias("x"), F.col(flag).cast("int").cast("double").alias("label")).na.drop()
-    vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    model = LogisticRegression(maxIter=100, regParam=0.0).fit(vec)
+    model = logistic_batch(rows, [(F.col("label"), F.col("x"))])[0]
     # area under the curve from the counts per value: pairs ranked right, ties half
     counts = rows.groupBy("x").agg(F.sum("label").alias("p"), F.sum(1.0 - F.col("label")).alias("q"))
     run = with_running_sums(counts, ["x"], {"cq": F.col("q"), "cp": F.col("p")})
     area = F.sum(F.col("p") * (F.col("cq") - F.col("q") / 2))
     auc = run.agg(F.try_divide(area, F.max("cp_total") * F.max("cq_total")).alias("auc"), (F.max("cp_total") + F.max("cq_total")).cast("long").alias("n"))
-    b = float(model.coefficients[0])
+    b = model["coefficient"] or 0.0
     up = F.col("auc") if b >= 0 else 1.0 - F.col("auc")
-    return auc.select("n", F.lit(b).alias("coefficient"), F.lit(float(model.intercept)).alias("intercept"), up.alias("auc"))
-
-
-def logistic_accuracy(df: DataFrame, column: str, predictor: str) -> float:
-    """In-sample accuracy of predicting that ``column`` is missing from one number."""
-    rows = df.select(F.col(column).isNull().cast("double").alias("label"), F.col(predictor).cast("double").alias("x")).na.drop()
-    if rows.select("label").distinct().count() < 2:
-        return 0.0
-    vec = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    model = LogisticRegression(maxIter=50, regParam=0.0).fit(vec)
-    return float(model.transform(vec).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+    return auc.select("n", F.lit(b).alias("coefficient"), F.lit(model["intercept"]).cast("double").alias("intercept"), up.alias("auc"))
 
 
 def welch(n1: Column, m1: Column, v1: Column, n0: Column, m0: Column, v0: Column) -> tuple[Column, Column]:

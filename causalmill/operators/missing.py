@@ -121,7 +121,7 @@ def missingness_type(df: DataFrame, columns: Sequence[str], alpha: float = 0.05)
     10 % significant → MCAR. Otherwise a one-feature logistic model of the flag is fitted per column; accuracy above 0.6
     in more than 30 % of them → MAR, else MNAR.
     """
-    from .association import flag_tests, logistic_accuracy
+    from .association import flag_tests, logistic_batch
 
     counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
     flagged = [c for c in columns if counts[c]]
@@ -137,17 +137,18 @@ def missingness_type(df: DataFrame, columns: Sequence[str], alpha: float = 0.05)
             F.count("p_value").alias("tests"), F.count(F.when(F.col("p_value") < alpha, 1)).alias("significant")
         ).collect()
     }
+    def tested(c: str) -> tuple[int, int]:
+        return (stats[c].tests, stats[c].significant) if c in stats else (0, 0)
+
+    open_cols = [c for c in flagged if tested(c)[0] and tested(c)[1] / tested(c)[0] >= 0.1]
+    asked = [(c, x) for c in open_cols for x in columns if x != c and _is_numeric(df, x)]
+    fits = logistic_batch(df, [(F.col(c).isNull(), F.col(x)) for c, x in asked]) if asked else []
     out = []
     for c in flagged:
-        r = stats.get(c)
-        tests_n, sig = (r.tests, r.significant) if r else (0, 0)
-        if not tests_n or sig / tests_n < 0.1:
-            out.append((c, tests_n, sig, None, "MCAR"))
-            continue
-        others = [x for x in columns if x != c and _is_numeric(df, x)]
-        hits = [logistic_accuracy(df, c, x) > 0.6 for x in others]
-        share = sum(hits) / len(hits) if hits else 0.0
-        out.append((c, tests_n, sig, share, "MAR" if share > 0.3 else "MNAR"))
+        hits = [m["accuracy"] > 0.6 for (f, _), m in zip(asked, fits) if f == c]
+        share = sum(hits) / len(hits) if hits else (0.0 if c in open_cols else None)
+        kind = "MCAR" if c not in open_cols else "MAR" if share > 0.3 else "MNAR"
+        out.append((c, *tested(c), share, kind))
     return rows.unionByName(spark.createDataFrame(out, rows.schema))
 
 

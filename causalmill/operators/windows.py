@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.lineage import cut_lineage
 from ..functions.moments import from_moments, moment_rows, ols
-from ..functions.ordered import with_neighbours, with_position, with_running_sums
+from ..functions.ordered import framed, with_neighbours, with_position, with_running_sums
 from ..functions.pvalues import norm_cdf
 from ..functions.quantiles import exact_quantiles
 
@@ -30,19 +30,12 @@ def sample_with_replacement(df: DataFrame, fraction: float, seed: int = 42) -> D
     return df.sample(withReplacement=True, fraction=fraction, seed=seed)
 
 
-def _framed(df: DataFrame, order: Sequence[str], by: Sequence[str], before: int, after: int, block_rows: int, make) -> DataFrame:
-    """Add ``make(window)`` columns, computed over blocks of a positioned series."""
-    rows, window, own = with_neighbours(with_position(df, order, by), before, after, by, block_rows=block_rows)
-    new = make(window)
-    return rows.select("*", *[e.alias(k) for k, e in new.items()]).where(own).select(*df.columns, *new)
-
-
 def lag_features(
     df: DataFrame, columns: Sequence[str], lags: Sequence[int], order: Sequence[str], by: Sequence[str] = (),
     drop_nulls: bool = False, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``{col}_lag{k}``, the value ``k`` rows earlier; ``drop_nulls`` also drops rows with any null."""
-    out = _framed(df, order, by, max(lags), 0, block_rows, lambda w: {f"{c}_lag{k}": F.lag(c, k).over(w) for c in columns for k in lags})
+    out = framed(df, order, by, max(lags), 0, lambda w: {f"{c}_lag{k}": F.lag(c, k).over(w) for c in columns for k in lags}, block_rows)
     return out.na.drop() if drop_nulls else out
 
 
@@ -50,7 +43,7 @@ def diff_features(
     df: DataFrame, columns: Sequence[str], orders: Sequence[int], order: Sequence[str], by: Sequence[str] = (), block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``{col}_diff{k}`` = x_t - x_{t-k}."""
-    return _framed(df, order, by, max(orders), 0, block_rows, lambda w: {f"{c}_diff{k}": F.col(c) - F.lag(c, k).over(w) for c in columns for k in orders})
+    return framed(df, order, by, max(orders), 0, lambda w: {f"{c}_diff{k}": F.col(c) - F.lag(c, k).over(w) for c in columns for k in orders}, block_rows)
 
 
 _ROLLING = {
@@ -73,7 +66,7 @@ def rolling_features(
                     out[f"{c}_roll{n}_{fn}"] = F.when(F.count(c).over(frame) >= n, _ROLLING[fn](F.col(c)).over(frame))
         return out
 
-    return _framed(df, order, by, max(sizes) - 1, 0, block_rows, make)
+    return framed(df, order, by, max(sizes) - 1, 0, make, block_rows)
 
 
 # fixed values: names of the calendar parts

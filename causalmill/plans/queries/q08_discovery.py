@@ -270,9 +270,22 @@ def relation_change(spark, sf):
     return rounded(shift.relation_change(shifted(spark, sf), SCOLS, "period").select("x", "y", "periods", "statistic", "strength"), 4)
 
 
-@query("nonstationary_graph")
+def _nonstationary_sql() -> str:
+    """Significance by critical values: 1.3580986 for the scaled KS distance, 12.591587 for chi-square with 6 degrees (7 years)."""
+    ks = _ks_sql()
+    cte = ks[: ks.index("    d AS (SELECT")]
+    corr = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, abs(corr({a}, {b})) AS r FROM {SHIFT}" for a, b in itertools.permutations(SCOLS, 2))
+    return f"""{cte} d AS (SELECT "column", p1, p2, max(abs(ca::DOUBLE / ta - cb::DOUBLE / tb)) * sqrt(any_value(ta)::DOUBLE * any_value(tb) / (any_value(ta) + any_value(tb))) AS s FROM r GROUP BY ALL),
+    ch AS (SELECT "column" AS c, max(s) > 1.3580986 AS moves FROM d GROUP BY 1), rel AS ({_rel_sql()}),
+    one AS (SELECT CASE WHEN a.moves THEN x ELSE y END AS src, CASE WHEN a.moves THEN y ELSE x END AS dst, strength AS weight, 'relation' AS evidence FROM rel JOIN ch a ON a.c = x JOIN ch b ON b.c = y WHERE statistic > 12.591587 AND a.moves <> b.moves),
+    near AS (SELECT x AS src, y AS dst, r AS weight FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY r DESC, y) AS k FROM ({corr}) WHERE x IN (SELECT c FROM ch WHERE moves)) WHERE k <= 3 AND r > 0.3),
+    n1 AS (SELECT * FROM near n WHERE NOT EXISTS (FROM one WHERE one.src = n.dst AND one.dst = n.src))
+    SELECT * FROM one UNION ALL SELECT *, 'correlation' FROM n1 WHERE NOT (src > dst AND EXISTS (FROM n1 m WHERE m.src = n1.dst AND m.dst = n1.src)) AND NOT EXISTS (FROM one WHERE one.src = n1.src AND one.dst = n1.dst)"""
+
+
+@query("nonstationary_graph", rounded_sql(_nonstationary_sql(), "src dst evidence", "weight", 4))
 def nonstationary_graph(spark, sf):
-    return rounded(shift.nonstationary_graph(shifted(spark, sf), SCOLS, "period"))
+    return rounded(shift.nonstationary_graph(shifted(spark, sf), SCOLS, "period"), 4)
 
 
 def _chow_sql() -> str:
