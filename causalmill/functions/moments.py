@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WIDE = 24  # above this many columns p*(p+1)/2 SQL aggregates no longer compile into one stage
+_WIDE = 8  # above this many columns p*(p+1)/2 SQL aggregates outgrow one compiled method; numpy per batch is faster
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

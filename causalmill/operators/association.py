@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,8 @@ from ..functions.pvalues import chi2_p, f_p, gamma_q, ks_p, norm_two_sided_p, t_
 from ..functions.quantiles import average_ranks
 from .scaling import _moments
 
-_PAIRS_PER_AGG = 150  # aggregate expressions in one stage
+_SQL_PAIRS, _SQL_PAIRS_BY = 6, 15  # more pairs than this outgrow one compiled aggregation
+_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -28,26 +29,62 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def pair_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by…, x, y, n, r, cov) for every column pair over the rows that know both; one scan."""
+    """(by…, x, y, n, r, cov) for every column pair over the rows that know both."""
     rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
     pairs = _pairs(cols)
-    out = None
-    for start in range(0, len(pairs), _PAIRS_PER_AGG):
-        part = pairs[start : start + _PAIRS_PER_AGG]
-        aggs = []
-        for i, (x, y) in enumerate(part):
-            aggs += [
-                F.corr(x, y).alias(f"r{i}"), F.covar_samp(x, y).alias(f"c{i}"),
-                F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias(f"n{i}"),
-            ]
-        wide = rows.groupBy(*by).agg(*aggs)
-        recs = [
-            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{i}").alias("n"), F.nanvl(F.col(f"r{i}"), F.lit(None)).alias("r"), F.col(f"c{i}").alias("cov"))
-            for i, (x, y) in enumerate(part)
-        ]
-        long = wide.select(*by, F.inline(F.array(*recs)))
-        out = long if out is None else out.unionByName(long)
-    return out
+    if len(pairs) > (_SQL_PAIRS_BY if by else _SQL_PAIRS):
+        return _pair_stats_wide(rows, list(cols), list(by))
+    aggs = []
+    for i, (x, y) in enumerate(pairs):
+        known = F.col(x).isNotNull() & F.col(y).isNotNull()
+        aggs += [F.corr(x, y).alias(f"r{i}"), F.covar_samp(x, y).alias(f"c{i}"), F.count(F.when(known, 1)).alias(f"n{i}")]
+    wide = rows.groupBy(*by).agg(*aggs)
+    recs = [
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{i}").alias("n"), F.nanvl(F.col(f"r{i}"), F.lit(None)).alias("r"), F.col(f"c{i}").alias("cov"))
+        for i, (x, y) in enumerate(pairs)
+    ]
+    return wide.select(*by, F.inline(F.array(*recs)))
+
+
+def _pair_stats_wide(rows: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """Many pairs: with M the known-flags and X the values (0 where unknown), M'M, X'M, (X*X)'M and X'X hold the sums of
+    every pair. Each task adds them over its batches; p(p-1)/2 rows per task (and group) are shuffled."""
+    shift = np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in cols]).first()], dtype=float)
+    lo, hi = np.triu_indices(len(cols), 1)
+    schema = T.StructType([rows.schema[c] for c in by] + [T.StructField(c, T.IntegerType()) for c in ("i", "j")] + [T.StructField(c, T.DoubleType()) for c in _SUMS])
+
+    def rows_of(total: dict) -> Iterator[pd.DataFrame]:
+        for key, part in total.items():
+            out = pd.DataFrame({"i": lo.astype(np.int32), "j": hi.astype(np.int32), **dict(zip(_SUMS, part))})
+            for k, v in zip(by, key if isinstance(key, tuple) else (key,)):
+                out[k] = v
+            yield out[[*by, "i", "j", *_SUMS]]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in batches:
+            if len(total) > 5000:  # groups held at once
+                yield from rows_of(total)
+                total = {}
+            for key, g in pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]:
+                x = g[cols].to_numpy(dtype=float) - shift
+                m = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x, nan=0.0)
+                n, s, q, c = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+                part = np.stack([n[lo, hi], s[lo, hi], s[hi, lo], q[lo, hi], q[hi, lo], c[lo, hi]])
+                total[key] = total[key] + part if key in total else part
+        yield from rows_of(total)
+
+    st = rows.mapInPandas(partial, schema).groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.col("n")
+    sxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx, vy = (F.greatest(F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") / n, F.lit(0.0)) for v in "xy")
+    names = F.array(*[F.lit(c) for c in cols])
+    r = F.greatest(F.least(F.try_divide(sxy, F.sqrt(vx * vy)), F.lit(1.0)), F.lit(-1.0))
+    return st.select(
+        *by, F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), n.cast("long").alias("n"),
+        F.when((vx > 0) & (vy > 0), r).alias("r"), F.when(n > 1, sxy / (n - 1)).alias("cov"),
+    )
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -309,7 +346,7 @@ def point_biserial(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.select("n", F.lit(classes[1]).alias("high"), "r", "p_value")
 
 
-def logistic_batch(df: DataFrame, pairs: Sequence[tuple[Column, Column]], rounds: int = 25, tol: float = 1e-9) -> list[dict]:
+def logistic_batch(df: DataFrame, pairs: Sequence[tuple[Column, Column]], rounds: int = 12, tol: float = 1e-7) -> list[dict]:
     """One-feature logistic models of many (0/1 label, number) pairs at once: Newton steps whose sums are one wide
     aggregation per round for all pairs. Returns n, coefficient, intercept, accuracy per pair."""
     rows = df.select(*[e for i, (y, x) in enumerate(pairs) for e in (y.cast("int").cast("double").alias(f"y{i}"), x.cast("double").alias(f"x{i}"))])

@@ -119,7 +119,7 @@ def greedy_search(scorer: Scorer, graphs: DataFrame, columns: Sequence[str], min
     """(graph_id, src, dst): greedy adding, removing and turning of edges while the score grows, on DAGs.
 
     Each round makes a table of all allowed changes of all graphs, scores the families that change, and applies the best
-    change per graph. ``state`` has one row per graph with its edges (p² at most).
+    change per graph; the two directions of a first edge score alike, the one from the smaller name is taken. ``state`` has one row per graph with its edges (p² at most).
     """
     cols = list(columns)
     edge = "array<struct<s:string,d:string>>"
@@ -168,7 +168,7 @@ def greedy_search(scorer: Scorer, graphs: DataFrame, columns: Sequence[str], min
         long = cut_lineage(moves.select(G, "a", "b", "kind", F.inline(parts)))
         scored = scorer(long.select(*FAMILY).distinct())
         gains = long.join(scored, FAMILY).groupBy(G, "a", "b", "kind").agg(F.sum(F.col("w") * F.col("score")).alias("gain"))
-        best = gains.where(F.col("gain") > min_gain).groupBy(G).agg(F.max_by(F.struct("a", "b", "kind"), F.struct(F.col("gain"), "kind", "a", "b")).alias("m"))
+        best = gains.where(F.col("gain") > min_gain).groupBy(G).agg(F.min_by(F.struct("a", "b", "kind"), F.struct(-F.round("gain", 6), F.col("a") > F.col("b"), "kind", "a", "b")).alias("m"))
         best = cut_lineage(best)
         if best.isEmpty():
             break

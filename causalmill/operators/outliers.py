@@ -158,14 +158,16 @@ def outlier_isolation_forest(
     names = list(columns)
     known = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in names]).na.drop()
     n = known.count()
-    # every row goes to each tree with the chance that leaves about 1.3 samples; each tree then keeps its first ``sample``
-    p = min(1.0, 1.3 * sample / max(n, 1) + 1e-12)
-    # draws per row: one hash per tree, so a recomputed task picks the same rows
-    picks = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("_key"), t, F.lit(seed)).alias("h"))),
-        lambda s: F.pmod(s["h"], F.lit(1 << 40)) < F.lit(int(p * (1 << 40))),
-    )
-    sampled = known.select("*", F.inline(picks))
+    # hashes of the key decide, so a recomputed task picks the same rows; each tree keeps its first ``sample`` rows
+    wanted = 1.3 * sample * trees
+    if n >= wanted:  # long table: one draw of rows, shared out among the trees
+        chosen = known.where(F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 40)) < F.lit(int(wanted / n * (1 << 40))))
+        sampled = chosen.withColumn("tree", F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(trees)).cast("int")).withColumn("h", F.xxhash64("_key", F.lit(seed + 2)))
+    else:  # short table: every tree draws from all rows
+        p = min(1.0, 1.3 * sample / max(n, 1))
+        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("_key"), t, F.lit(seed)).alias("h")))
+        picks = F.filter(draws, lambda s: F.pmod(s["h"], F.lit(1 << 40)) <= F.lit(int(p * (1 << 40))))
+        sampled = known.select("*", F.inline(picks))
     height = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -177,24 +179,28 @@ def outlier_isolation_forest(
 
     schema = "tree int, node int, feature int, split double, left int, right int, rows int"
     nodes = sampled.groupBy("tree").applyInPandas(grow, schema).toPandas()  # trees * 2 * sample rows at most
-    forest = [(g.sort_values("node")[["feature", "split", "left", "right"]].to_numpy(dtype=float), int(g["rows"].iloc[0])) for _, g in nodes.groupby("tree")]
+    forest = []
+    for _, g in nodes.groupby("tree"):
+        g = g.sort_values("node")
+        leaf = g["feature"].to_numpy() < 0
+        own = np.arange(len(g))
+        # a leaf leads to itself, so every row walks the same number of steps
+        forest.append((
+            np.where(leaf, 0, g["feature"].to_numpy()), np.where(leaf, np.inf, g["split"].to_numpy()),
+            np.where(leaf, own, g["left"].to_numpy()), np.where(leaf, own, g["right"].to_numpy()), g["split"].to_numpy(), int(g["rows"].iloc[0]),
+        ))
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[names].to_numpy(dtype=float)
-            depth = np.zeros(len(x))
-            size = 0
-            for tree, rows in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    inner = tree[at, 0] >= 0
-                    if not inner.any():
-                        break
-                    f = tree[at[inner], 0].astype(int)
-                    go_left = x[np.nonzero(inner)[0], f] < tree[at[inner], 1]
-                    at[inner] = np.where(go_left, tree[at[inner], 2], tree[at[inner], 3]).astype(int)
-                depth += tree[at, 1]
+            row = np.arange(len(x))
+            depth, size = np.zeros(len(x)), 0
+            for feature, split, left, right, path, rows in shared.value:
+                at = np.zeros(len(x), dtype=np.int64)
+                for _ in range(height + 1):
+                    at = np.where(x[row, feature[at]] < split[at], left[at], right[at])
+                depth += path[at]
                 size = max(size, rows)
             norm = float(_average_path(np.array(size))) or 1.0
             yield pdf[["_key"]].assign(anomaly_score=2.0 ** (-depth / len(shared.value) / norm))

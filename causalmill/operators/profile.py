@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,25 +196,22 @@ def profile_temporal(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return rows.join(F.broadcast(even), "column", "left")
 
 
-def _sign_root(x: Column) -> Column:
-    return F.signum(x) * F.pow(F.abs(x), F.lit(1.0 / 3.0))
-
-
-def dagostino_k2(n: Column, skew: Column, kurt: Column) -> Column:
+@F.pandas_udf(T.DoubleType())
+def dagostino_k2(n: pd.Series, skew: pd.Series, kurt: pd.Series) -> pd.Series:
     """D'Agostino-Pearson K² from population skewness and excess kurtosis (chi-square with 2 degrees under normality)."""
-    y = skew * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    n = n.astype(float)
+    y = skew * np.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
     beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (beta2 - 1))
-    delta = 1 / F.sqrt(0.5 * F.log(w2))
-    a = y / F.sqrt(2.0 / (w2 - 1))
-    z1 = delta * F.log(a + F.sqrt(a * a + 1))
-    e = 3.0 * (n - 1) / (n + 1)
-    var = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (kurt + 3 - e) / F.sqrt(var)
-    b1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    big = 6.0 + 8.0 / b1 * (2.0 / b1 + F.sqrt(1 + 4.0 / (b1 * b1)))
-    denom = 1 + x * F.sqrt(2.0 / (big - 4))
-    z2 = (1 - 2 / (9 * big) - _sign_root((1 - 2 / big) / denom)) / F.sqrt(2 / (9 * big))
+    w2 = -1 + np.sqrt(2 * (beta2 - 1))
+    a = y / np.sqrt(2.0 / (w2 - 1))
+    z1 = np.log(a + np.sqrt(a * a + 1)) / np.sqrt(0.5 * np.log(w2))
+    expected = 3.0 * (n - 1) / (n + 1)
+    var = 24.0 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (kurt + 3 - expected) / np.sqrt(var)
+    b1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * np.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    big = 6.0 + 8.0 / b1 * (2.0 / b1 + np.sqrt(1 + 4.0 / (b1 * b1)))
+    root = np.cbrt((1 - 2 / big) / (1 + x * np.sqrt(2.0 / (big - 4))))
+    z2 = (1 - 2 / (9 * big) - root) / np.sqrt(2 / (9 * big))
     return z1 * z1 + z2 * z2
 
 
@@ -238,7 +237,7 @@ def profile_normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ad = run.groupBy("column").agg((-F.max(n) - F.sum(term) / F.max(n)).alias("anderson"))
     out = st.join(F.broadcast(ad), "column", "left")
     nn = F.col("n").cast("double")
-    out = out.withColumn("k2", F.when(F.col("n") >= 8, dagostino_k2(nn, F.col("skew"), F.col("kurtosis"))))
+    out = out.withColumn("k2", F.when(F.col("n") >= 8, dagostino_k2(nn, "skew", "kurtosis")))
     jb = nn / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurtosis") * F.col("kurtosis") / 4.0)
     out = out.withColumns({
         "k2_p": F.exp(-F.col("k2") / 2), "jb_p": F.exp(-jb / 2),

@@ -89,13 +89,18 @@ def extract_title(text: Column) -> Column:
     """First non-empty line when it is 6 to 199 characters, plain and without a link; otherwise empty."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), _strip), lambda s: s != "")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
-    low = F.lower(first)
-    bad = F.lit(False)
-    for s in NOT_TITLE_START:
-        bad = bad | low.startswith(s)
-    for s in NOT_TITLE_PART:
-        bad = bad | low.contains(s)
-    return F.when((F.length(first) > 5) & (F.length(first) < 200) & ~bad, first).otherwise("")
+
+    def title(line: Column) -> Column:
+        low = F.lower(line)
+        bad = F.lit(False)
+        for s in NOT_TITLE_START:
+            bad = bad | low.startswith(s)
+        for s in NOT_TITLE_PART:
+            bad = bad | low.contains(s)
+        return F.when((F.length(line) > 5) & (F.length(line) < 200) & ~bad, line).otherwise("")
+
+    # inside a lambda the line is a variable: the text is split once, not once per test
+    return F.get(F.transform(F.array(first), lambda line: title(line)), F.lit(0))
 
 
 def sanitize_metadata(df: DataFrame, columns: Sequence[str], output: str = "metadata") -> DataFrame:
