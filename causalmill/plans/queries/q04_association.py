@@ -359,10 +359,14 @@ def resample(spark, sf):
 
 @query(
     "resample_periods",
-    rounded_sql("""SELECT 'W' AS rule, (date_trunc('week', o_orderdate) + INTERVAL 6 DAY)::DATE AS bucket, sum(o_totalprice) AS o_totalprice FROM orders GROUP BY 2
-    UNION ALL SELECT 'M', last_day(o_orderdate), sum(o_totalprice) FROM orders GROUP BY 2
-    UNION ALL SELECT 'Q', last_day((date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE), sum(o_totalprice) FROM orders GROUP BY 2
-    UNION ALL SELECT 'Y', make_date(year(o_orderdate), 12, 31), sum(o_totalprice) FROM orders GROUP BY 2""", "rule bucket", "o_totalprice", 2),
+    rounded_sql("""WITH b AS (SELECT 'W' AS rule, (date_trunc('week', o_orderdate) + INTERVAL 6 DAY)::DATE AS bucket, o_totalprice FROM orders
+    UNION ALL SELECT 'M', last_day(o_orderdate), o_totalprice FROM orders
+    UNION ALL SELECT 'Q', last_day((date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE), o_totalprice FROM orders
+    UNION ALL SELECT 'Y', make_date(year(o_orderdate), 12, 31), o_totalprice FROM orders),
+    days AS (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS d FROM orders),
+    cal AS (SELECT 'W' AS rule, (date_trunc('week', d) + INTERVAL 6 DAY)::DATE AS bucket FROM days UNION SELECT 'M', last_day(d) FROM days
+    UNION SELECT 'Q', last_day((date_trunc('quarter', d) + INTERVAL 2 MONTH)::DATE) FROM days UNION SELECT 'Y', make_date(year(d), 12, 31) FROM days)
+    SELECT rule, bucket, coalesce(sum(o_totalprice), 0) AS o_totalprice FROM cal LEFT JOIN b USING (rule, bucket) GROUP BY 1, 2""", "rule bucket", "o_totalprice", 2),
 )
 def resample_periods(spark, sf):
     df, out = load(spark, sf, "orders"), None
