@@ -53,7 +53,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by:
 
 
 _SKETCH = 5000  # rank error of the quantile sketch is n / _SKETCH
-_NARROW = 200_000  # distinct values per interval that one window task may sort
+_NARROW = 1_000_000  # distinct values of a column's intervals that one window task may sort
 
 
 def _whole_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame | None:
@@ -70,25 +70,34 @@ def _whole_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> Dat
         if not head[f"n{i}"]:
             continue
         at = dict(zip(marks, head[f"m{i}"]))
-        for k, q in enumerate(qs):
-            lo, hi = (at[min(max(q + d * 3.0 / _SKETCH, 0.0), 1.0)] for d in (-1, 1))
-            x = F.col(f"_x{i}")
-            key = F.when(x < F.lit(lo), F.lit(float("-inf"))).when(x <= F.lit(hi), x)
-            recs.append(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), key.alias("v")))
+        spans: list[list[float]] = []  # disjoint intervals in value order
+        for lo, hi in sorted(tuple(at[min(max(q + d * 3.0 / _SKETCH, 0.0), 1.0)] for d in (-1, 1)) for q in qs):
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        x = F.col(f"_x{i}")
+        past = F.lit(0)
+        for _, hi in spans:
+            past = past + (x > F.lit(hi)).cast("int")
+        low = F.get(F.array(*[F.lit(lo) for lo, _ in spans]), past)  # null beyond the last interval
+        # rows between two intervals only count; rows inside one keep their value
+        recs.append(F.struct(F.lit(i).alias("i"), past.alias("g"), F.when(x >= low, x).alias("v"), x.isNotNull().alias("known")))
     spark = df.sparkSession
     if not recs:
         return spark.createDataFrame([], "column string, n long, " + ", ".join(f"q{k} double" for k in range(len(qs))))
-    counts = rows.select(F.inline(F.array(*recs))).where(F.col("v").isNotNull()).groupBy("i", "k", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = rows.select(F.inline(F.array(*recs))).where("known").groupBy("i", "g", "v").agg(F.count(F.lit(1)).alias("c"))
     counts = cut_lineage(counts)
-    if (counts.groupBy("i", "k").count().agg(F.max("count")).first()[0] or 0) > _NARROW:
+    if (counts.groupBy("i").count().agg(F.max("count")).first()[0] or 0) > _NARROW:
         return None
-    w = Window.partitionBy("i", "k").orderBy("v")
-    run = counts.select("i", "k", "v", "c", F.sum("c").over(w).alias("cum"))
+    run = counts.withColumn("cum", F.sum("c").over(Window.partitionBy("i").orderBy("g", F.col("v").asc_nulls_first())))
     sizes = F.array(*[F.lit(head[f"n{i}"]) for i in range(len(cols))])
-    at = F.get(F.array(*[F.lit(float(q)) for q in qs]), F.col("k")) * (F.get(sizes, F.col("i")) - 1)
-    pick = lambda r: F.max(F.when((F.col("cum") > r) & (F.col("cum") - F.col("c") <= r), F.col("v")))
-    found = run.withColumn("at", at).groupBy("i", "k").agg(pick(F.floor("at")).alias("lo"), pick(F.ceil("at")).alias("hi")).collect()
-    got = {(r.i, r.k): (r.lo, r.hi) for r in found}
+    picks = []
+    for k, q in enumerate(qs):
+        at_rank = F.lit(float(q)) * (F.get(sizes, F.col("i")) - 1)
+        for side, r in (("lo", F.floor(at_rank)), ("hi", F.ceil(at_rank))):
+            picks.append(F.max(F.when((F.col("cum") > r) & (F.col("cum") - F.col("c") <= r), F.col("v"))).alias(f"{side}{k}"))
+    got = {r["i"]: r for r in run.groupBy("i").agg(*picks).collect()}  # one row per column
     out = []
     for i, c in enumerate(cols):
         n = head[f"n{i}"]
@@ -96,8 +105,8 @@ def _whole_table(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> Dat
             continue
         vals = []
         for k, q in enumerate(qs):
-            lo, hi = got.get((i, k), (None, None))
-            if lo is None or hi is None or lo == float("-inf") or hi == float("-inf"):
+            lo, hi = got[i][f"lo{k}"], got[i][f"hi{k}"]
+            if lo is None or hi is None:
                 return None
             pos = float(q) * (n - 1)
             vals.append(lo + (pos - math.floor(pos)) * (hi - lo))

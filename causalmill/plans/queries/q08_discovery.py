@@ -121,7 +121,7 @@ def score_bdeu(spark, sf):
     cols = ["segment", "status", "priority", "big", "band"]
     fams = [("band", []), ("band", ["big"]), ("band", ["big", "status"]), ("status", ["segment"])]
     rows = F.array(*[F.struct(F.lit(n).alias("node"), F.array(*[F.lit(p) for p in ps]).cast("array<string>").alias("parents")) for n, ps in fams])
-    families = df.limit(1).select(F.lit("all").alias("graph_id")).select("graph_id", F.inline(rows))
+    families = spark.createDataFrame([("all",)], "graph_id string").select("graph_id", F.inline(rows))
     return rounded(score.score_batch(score.bdeu_scorer(df, cols), families), 3)
 
 
@@ -186,7 +186,6 @@ def instantaneous_effects(spark, sf):
 
 @query("var_lingam")
 def var_lingam(spark, sf):
-    df = days(spark, sf).where("flag = 'A'").withColumn("mix", F.col("qty") + F.col("disc"))
     df = load(spark, sf, "lineitem").groupBy(F.col("l_shipdate").alias("day")).agg((F.avg("l_extendedprice") / 1000).alias("price"), F.avg("l_quantity").alias("qty"), (F.avg("l_discount") * 100).alias("disc"))
     return rounded(temporal.var_lingam(df.withColumn("mix", F.col("qty") + F.col("disc") + F.col("price")), ["price", "qty", "mix"], ["day"], 1), 3)
 

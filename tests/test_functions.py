@@ -54,7 +54,7 @@ def test_running_sums_and_suffix_min(spark, series):
     np.testing.assert_allclose(low["m"], ref["v"][::-1].cummin()[::-1])
 
 
-@pytest.mark.parametrize("narrow", [200_000, 0])
+@pytest.mark.parametrize("narrow", [1_000_000, 0])
 def test_quantiles_both_routes(spark, series, narrow, monkeypatch):
     monkeypatch.setattr(quantiles, "_NARROW", narrow)
     df = _spark(spark, series)
