@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, sharding
+from . import decontaminate, multiset_hash, sentencepiece_codec, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,35 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(read(spark, sf, "documents"), shards=40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens"
     )
+
+
+@query
+def op9_multiset_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return multiset_hash.edited(read(spark, sf, "documents"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Contaminated: a twentieth of the document's words or more lie inside windows of 13 words of an item."""
+    out = decontaminate.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLES["op10_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT item, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s, w FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(w[s:s + k - 1], ' ') AS phrase FROM iw),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT r, k, s, array_to_string(w[s:s + k - 1], ' ') AS phrase FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT r, item, s, k FROM dw JOIN win USING (k, phrase)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
