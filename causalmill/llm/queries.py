@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, multiset_hash, sentencepiece_codec, sharding
+from . import decontaminate, html_text, language, multiset_hash, quality, sentencepiece_codec, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,12 +20,31 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    model = language.fit(docs, ~language.held_out(F.col("_key")))
+    return language.predict(docs, model).withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
 @query
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     model = sentencepiece_codec.load_model(public_tokenizers.path("piece_bpe_32k.model"))
     return sentencepiece_codec.digest(read(spark, sf, "documents"), model)
 
 
+@query
+def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract(read(spark, sf, "pages"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    model = quality.fit(docs, read(spark, sf, "labels"), ~quality.held_out(F.col("_key")))
+    return quality.score(docs, model).withColumns({"held_out": quality.held_out(F.col("doc_id")), "predicted": (F.col("score") >= 0.7).cast("int")})
+
+
 @query
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(read(spark, sf, "documents"), shards=40).select(
