@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, multiset_hash, quality, sentencepiece_codec, sharding
+from . import decontaminate, html_text, jaccard_join, language, multiset_hash, quality, sentencepiece_codec, sharding
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.link(read(spark, sf, "documents"), words=3, similarity=(90, 100))
+
+
 @query
 def op9_multiset_hash(spark: SparkSession, sf: str) -> DataFrame:
     return multiset_hash.edited(read(spark, sf, "documents"))
