@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,41 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows handed to Python at a time; a slice of this many rows is what a task holds besides its input batch.
 SLICE = 512
+#: Words kept with their hash, per task.
+WORDS = 400_000
+
+
+class WordHashes:
+    """64-bit hashes of the words of a text, in order: A-Z lower-cased, words between ASCII white space."""
+
+    def __init__(self) -> None:
+        self.cache: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        cache = self.cache
+        try:
+            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(cache) >= WORDS:
+                cache.clear()
+            for w in set(words).difference(cache):
+                cache[w] = xxhash.xxh64_intdigest(w)
+            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
+def ascii_words(text: str) -> list[bytes]:
+    """Bytes split at space, tab, line feed, vertical tab, form feed and carriage return; only A-Z are lower-cased."""
+    return text.encode().lower().split()
+
+
+C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * C2
+    x = (x ^ (x >> np.uint64(27))) * C3
+    return x ^ (x >> np.uint64(31))
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:

@@ -12,27 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from .common import per_batch
+from .common import C1, C2, WordHashes, ascii_words, mix, per_batch
 from .components import components
 
 #: Places of the frequency table behind the order of shingles, and of one stretch of it.
 PLACES, STRETCH = 1 << 20, 1 << 12
 #: Shingles of a family's block, about; a pair of blocks is what one task holds.
 BLOCK = 1_000_000
-#: Words kept with their hash, per task.
-CACHE = 400_000
-C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * C2
-    x = (x ^ (x >> np.uint64(27))) * C3
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingles:
@@ -40,26 +30,18 @@ class Shingles:
 
     def __init__(self, words: int):
         self.words = words
-        self.cache: dict[bytes, int] = {}
+        self.hashes = WordHashes()
 
     def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
+        words = ascii_words(text)
         n = len(words)
         if not n:
             return np.zeros(0, np.uint64)
-        cache = self.cache
-        try:
-            h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-        except KeyError:
-            if len(cache) >= CACHE:
-                cache.clear()
-            for w in set(words).difference(cache):
-                cache[w] = xxhash.xxh64_intdigest(w)
-            h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
+        h = self.hashes.of(words)
         k = min(self.words, n)
         out = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
-            out = _mix(out * C1 + h[i : n - k + 1 + i])
+            out = mix(out * C1 + h[i : n - k + 1 + i])
         return np.unique(out)
 
 
@@ -115,7 +97,7 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
             s = shingles.of(t)
             out["n"].append(len(s))
             out["s1"].append(int((s * C1).sum(dtype=np.uint64).astype(np.int64)))
-            out["s2"].append(int(np.bitwise_xor.reduce(_mix(s + C2)).astype(np.int64)) if len(s) else 0)
+            out["s2"].append(int(np.bitwise_xor.reduce(mix(s + C2)).astype(np.int64)) if len(s) else 0)
             out["prefix"].append(_prefix(s, rank.value, num, den).view(np.int64) if len(s) else [])
         return {c: data[c] for c in ("_key", "_r1", "_r2")} | out
 

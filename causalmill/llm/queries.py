@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, language, multiset_hash, quality, sentencepiece_codec, sharding
-from .common import read
+from . import context_tree, decontaminate, html_text, jaccard_join, language, multiset_hash, quality, sentencepiece_codec, sharding
+from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_context_tree(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return context_tree.score(docs, fold(F.col("_key"), 10) != 0).withColumn("held_out", fold(F.col("doc_id"), 10) == 0)
+
+
 @query
 def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
