@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, html_text, jaccard_join, language, multiset_hash, quality, sentencepiece_codec, sharding
+from . import context_tree, decontaminate, html_text, jaccard_join, language, multiset_hash, quality, sentencepiece_codec, sharding, toxicity
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,15 @@ def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", language.held_out(F.col("doc_id")))
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    chain = toxicity.fit(docs, read(spark, sf, "labels"), ~toxicity.held_out(F.col("_key")))
+    return toxicity.tag(docs, chain).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans")
+    )
+
+
 @query
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     model = sentencepiece_codec.load_model(public_tokenizers.path("piece_bpe_32k.model"))
