@@ -10,10 +10,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import row_bound
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows handed to Python at a time; a slice of this many rows is what a task holds besides its input batch.
 SLICE = 512
+#: A table of at most this many rows is sent to every executor; a longer one is joined by shuffle, with the same result.
+SENT_ROWS = 200_000
 #: Words kept with their hash, per task.
 WORDS = 400_000
 
@@ -55,6 +59,11 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def sent(df: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
+    """Marked for sending if it is counted and short."""
+    return F.broadcast(df) if row_bound(df, limit) <= limit else df
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as empty text (remainder 0)."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -85,6 +94,31 @@ def per_batch(df: DataFrame, schema: str, fn: Callable[..., dict[str, object]],
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text: str, keep: Callable[[list[str], object], Sequence[bool]], setup: Callable[[], object], rows: int = SLICE) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text (null: empty) ``keep`` accepts."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = setup()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array([bool(k) for k in keep([t or "" for t in part.column(at).to_pylist()], state)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def row_key(text: str = "text", key: str = "doc_id") -> Column:
+    """Identifies a row even where keys repeat or are null; only equal rows share it."""
+    return F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+
+
+def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``row_key`` is not among ``keys`` (column ``_row``)."""
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), row_key().alias("_row"))
+    return marked.join(sent(keys.select("_row").distinct()), "_row", "left_anti").select("_all.*")
+
+
 def _array(values: object, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
 

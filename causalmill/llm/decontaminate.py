@@ -11,11 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lineage import cut_lineage, row_bound
-from .common import lower_ascii
+from ..functions.lineage import cut_lineage
+from .common import lower_ascii, sent
 
-#: A table of at most this many rows is sent to every executor; a longer one is joined by shuffle, with the same result.
-SENT_ROWS = 200_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -26,11 +24,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD), "")
 
 
-def sent(df: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
-    """Marked for sending if it is counted and short."""
-    return F.broadcast(df) if row_bound(df, limit) <= limit else df
-
-
 def postings(docs: DataFrame, terms: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """The index: one row (key, ``pos``, ``term``) for each word of ``docs`` that is in ``terms``."""
     at = docs.select(*key, F.posexplode(words(F.col(text))).alias("pos", "term"))
@@ -48,7 +41,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer (but some). Null or wordless texts have no words and
     hits; a null item key is reported as the text ``null``. Equal rows are answered alike, each on its own.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     tests = items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("null")).alias("item_id"), words(F.coalesce(F.col(item_text), F.lit(""))).alias("item_words"))
     tests = tests.where(F.size("item_words") > 0).distinct().withColumn("item", F.xxhash64("item_id", F.concat_ws(" ", "item_words")))
@@ -89,7 +81,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str
     none = F.array().cast("array<struct<item_id:string,runs:array<struct<a:int,b:int>>>>")
     out = out.withColumn("_hits", F.coalesce(F.filter(F.transform("found", occurs), lambda h: F.size(h["runs"]) > 0), none))
     positions = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.flatten(F.transform(h["runs"], lambda r: F.sequence(r["a"], r["b"]))))))
-    assert spark is not None
     return out.select(
         F.col("_key").alias(key), F.size("_words").cast("long").alias("n_words"), F.size(positions).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item_id"]))).alias("item_ids"),

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, per_batch
+from .common import fold, keep_rows, per_batch
 from .sampling import sample
 
 #: Labelled rows fitted on, per label; dimensions kept; neighbours that vote; power of the similarity.
@@ -122,5 +122,11 @@ def score(docs: DataFrame, model: Votes, text: str = "text", key: str = "doc_id"
     return per_batch(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), f"`{key}` {dict(docs.dtypes)[key]}, score double", run, lambda: sent.value)
 
 
+def accept(docs: DataFrame, model: Votes, least: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows whose score is at least ``least``, with all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda texts, votes: votes.scores(texts) >= least, lambda: sent.value)
+
+
 def held_out(key: object) -> object:
     return fold(key, 4) == 2

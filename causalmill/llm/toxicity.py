@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, per_batch
+from .common import fold, keep_rows, per_batch
 from .sampling import sample
 
 #: Labelled documents learnt from, per label; the share of them kept back for calibration (1 of HELD).
@@ -302,5 +302,11 @@ def tag(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id")
     return per_batch(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), schema, run, lambda: sent.value, rows=2048)
 
 
+def reject(docs: DataFrame, chain: Chain, above: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows whose score is below ``above``, with all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    return keep_rows(docs, text, lambda texts, model: [model.score(p) < above for p in model.tag(texts)], lambda: sent.value, rows=2048)
+
+
 def held_out(key: object) -> object:
     return fold(key, 5) == 0
