@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ...functions.lineage import cut_lineage
@@ -11,12 +10,12 @@ from ...operators.association import pair_stats
 from ..registry import load, query, rounded, rounded_sql
 from .q04_association import RICH, pairs_sql, rich
 
-# per order month: the two busiest customers nations of every supplier nation
-FLOWS = """flows AS (SELECT graph_id, src, dst, weight, confidence, bidirected, is_hidden_cause, time_lag FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY lines DESC, dst) AS rk FROM (
+# per order month: from the nation of the supplier to that of the customer
+FLOWS = """flows AS (SELECT graph_id, src, dst, weight, confidence, bidirected, is_hidden_cause, time_lag FROM (
 SELECT strftime(o_orderdate, '%Y-%m') AS graph_id, sn.n_name AS src, cn.n_name AS dst, count(*) AS lines, count(*) / 50.0::DOUBLE AS weight,
 CASE WHEN count(*) >= 3 THEN round(avg(l_quantity) / 50.0, 6) END AS confidence, max(l_linenumber) <= 4 AS bidirected, min(l_linenumber) >= 3 AS is_hidden_cause, least(min(l_linenumber) - 1, 3)::INT AS time_lag
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey {where} GROUP BY 1, 2, 3)) WHERE rk <= 2)"""
+JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey {where} GROUP BY 1, 2, 3))"""
 DAG = FLOWS.format(where="WHERE sn.n_name < cn.n_name")
 CYC = FLOWS.format(where="WHERE sn.n_name <> cn.n_name OR cn.n_regionkey = 0")
 
@@ -39,8 +38,7 @@ def flows(spark, sf, dag: bool = True):
         (F.max("l_linenumber") <= 4).alias("bidirected"), (F.min("l_linenumber") >= 3).alias("is_hidden_cause"),
         F.least(F.min("l_linenumber") - 1, F.lit(3)).cast("int").alias("time_lag"),
     )
-    w = Window.partitionBy("graph_id", "src").orderBy(F.desc("lines"), "dst")
-    return cut_lineage(agg.withColumn("rk", F.row_number().over(w)).where("rk <= 2").drop("rk", "lines"))
+    return cut_lineage(agg.drop("lines"))
 
 
 def node_regions(spark, sf, edges):
@@ -53,8 +51,10 @@ def ends(edges):
 
 
 ENDS = "ends AS (SELECT graph_id, min(src) AS source, max(dst) AS target FROM flows GROUP BY 1)"
+#: Longest path asked for: the number of paths between two nodes of a dense graph grows exponentially with it.
+HOPS = 3
 PATHS = f"""{ENDS}, walk AS (SELECT graph_id, source, target, [source] AS path, source AS cur FROM ends UNION ALL
-SELECT w.graph_id, w.source, w.target, list_append(w.path, f.dst), f.dst FROM walk w JOIN flows f ON f.graph_id = w.graph_id AND f.src = w.cur WHERE w.cur <> w.target AND NOT list_contains(w.path, f.dst)),
+SELECT w.graph_id, w.source, w.target, list_append(w.path, f.dst), f.dst FROM walk w JOIN flows f ON f.graph_id = w.graph_id AND f.src = w.cur WHERE w.cur <> w.target AND len(w.path) <= {HOPS} AND NOT list_contains(w.path, f.dst)),
 paths AS (SELECT graph_id, source, target, path, (len(path) - 1)::INT AS length FROM walk WHERE cur = target AND len(path) > 1)"""
 PROBS = PATHS + """, hops AS (SELECT p.*, unnest(range(1, length + 1)) AS i FROM paths p), probs0 AS (SELECT h.graph_id, source, target, path, length, product(weight) AS strength
 FROM hops h JOIN flows f ON f.graph_id = h.graph_id AND f.src = h.path[h.i] AND f.dst = h.path[h.i + 1] GROUP BY ALL),
@@ -131,7 +131,7 @@ def weak_components(spark, sf):
 @query("all_simple_paths", f"WITH RECURSIVE {DAG}, {PATHS} SELECT graph_id, source, target, path, length FROM paths")
 def all_simple_paths(spark, sf):
     e = flows(spark, sf)
-    return graph.all_simple_paths(e, ends(e))
+    return graph.all_simple_paths(e, ends(e), HOPS)
 
 
 @query(
@@ -141,7 +141,7 @@ def all_simple_paths(spark, sf):
 )
 def path_subgraph(spark, sf):
     e = flows(spark, sf)
-    return graph.path_subgraph(e, graph.all_simple_paths(e, ends(e))).select("graph_id", "src", "dst")
+    return graph.path_subgraph(e, graph.all_simple_paths(e, ends(e), HOPS)).select("graph_id", "src", "dst")
 
 
 @query(
@@ -152,7 +152,7 @@ def path_subgraph(spark, sf):
 )
 def path_summary(spark, sf):
     e = flows(spark, sf)
-    return rounded(graph.path_summary(e, graph.all_simple_paths(e, ends(e))))
+    return rounded(graph.path_summary(e, graph.all_simple_paths(e, ends(e), HOPS)))
 
 
 @query(
@@ -162,7 +162,7 @@ def path_summary(spark, sf):
 )
 def mediators(spark, sf):
     e = flows(spark, sf)
-    return rounded(graph.mediators(e, graph.all_simple_paths(e, ends(e))))
+    return rounded(graph.mediators(e, graph.all_simple_paths(e, ends(e), HOPS)))
 
 
 CLOSURE = "closure AS (SELECT graph_id, src AS a, dst AS b FROM flows WHERE src <> dst UNION SELECT c.graph_id, c.a, f.dst FROM closure c JOIN flows f ON f.graph_id = c.graph_id AND f.src = c.b)"
@@ -311,6 +311,61 @@ def fan_out(spark, sf):
     return graph.fan_out(flows(spark, sf))
 
 
+# large lines, from customer to part: as many nodes and edges as the tables have
+BULK = """flows AS (SELECT DISTINCT l_returnflag AS graph_id, 'C' || o_custkey AS src, 'P' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 44)"""
+
+
+def bulk(spark, sf):
+    lines = load(spark, sf, "lineitem").where("l_quantity >= 44").select("l_orderkey", "l_partkey", "l_returnflag")
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return cut_lineage(df.select(F.col("l_returnflag").alias("graph_id"), F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct())
+
+
+@query(
+    "weak_components_bulk",
+    f"""WITH RECURSIVE {BULK}, und AS (SELECT graph_id, src AS a, dst AS b FROM flows UNION SELECT graph_id, dst, src FROM flows),
+    r AS (SELECT graph_id, a AS node, a AS other FROM und UNION SELECT r.graph_id, r.node, u.b FROM r JOIN und u ON u.graph_id = r.graph_id AND u.a = r.other)
+    SELECT graph_id, node, min(other) AS component FROM r GROUP BY 1, 2""",
+)
+def weak_components_bulk(spark, sf):
+    return graph.weak_components(bulk(spark, sf))
+
+
+@query(
+    "degree_centrality_bulk",
+    rounded_sql(f"""WITH {BULK}, {NODES}, deg AS (SELECT graph_id, node, count(*) AS degree FROM (SELECT graph_id, src AS node FROM flows UNION ALL SELECT graph_id, dst FROM flows) GROUP BY 1, 2)
+    SELECT graph_id, node, degree, degree / (count(*) OVER (PARTITION BY graph_id) - 1)::DOUBLE AS centrality, row_number() OVER (PARTITION BY graph_id ORDER BY degree DESC, node)::INT AS rank FROM deg QUALIFY rank <= 10""",
+                "graph_id node degree rank", "centrality"),
+)
+def degree_centrality_bulk(spark, sf):
+    return rounded(graph.degree_centrality(bulk(spark, sf), top=10))
+
+
+@query(
+    "shared_neighbours_bulk",
+    f"""WITH {BULK}, u AS (SELECT graph_id, src AS a, dst AS c FROM flows UNION SELECT graph_id, dst, src FROM flows)
+    SELECT x.graph_id, x.a, y.a AS b, count(*) AS common, list(x.c ORDER BY x.c) AS shared FROM u x JOIN u y ON x.graph_id = y.graph_id AND x.c = y.c AND x.a < y.a GROUP BY ALL HAVING count(*) >= 2""",
+)
+def shared_neighbours_bulk(spark, sf):
+    return graph.shared_neighbours(bulk(spark, sf))
+
+
+@query(
+    "ancestors_descendants_seeds",
+    f"""WITH RECURSIVE {BULK}, hop AS (SELECT a.graph_id, a.dst AS src, b.dst FROM flows a JOIN flows b ON a.graph_id = b.graph_id AND a.src = b.src AND a.dst < b.dst),
+    seeds AS (SELECT graph_id, min(src) AS node FROM hop GROUP BY 1),
+    down AS (SELECT s.graph_id, s.node AS ancestor, h.dst AS descendant FROM seeds s JOIN hop h ON h.graph_id = s.graph_id AND h.src = s.node UNION SELECT d.graph_id, d.ancestor, h.dst FROM down d JOIN hop h ON h.graph_id = d.graph_id AND h.src = d.descendant),
+    up AS (SELECT s.graph_id, h.src AS ancestor, s.node AS descendant FROM seeds s JOIN hop h ON h.graph_id = s.graph_id AND h.dst = s.node UNION SELECT d.graph_id, h.src, d.descendant FROM up d JOIN hop h ON h.graph_id = d.graph_id AND h.dst = d.ancestor)
+    FROM down UNION FROM up""",
+)
+def ancestors_descendants_seeds(spark, sf):
+    """Parts bought in bulk by the same customer, the lower name first; everything above and below the first part."""
+    e = bulk(spark, sf)
+    hop = cut_lineage(e.select("graph_id", "src", F.col("dst").alias("a")).join(e.select("graph_id", "src", F.col("dst").alias("b")), ["graph_id", "src"]).where("a < b").select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    return graph.ancestors_descendants(hop, hop.groupBy("graph_id").agg(F.min("src").alias("node")))
+
+
 KNOW = """know AS (SELECT a.n_name AS source, b.n_name AS target, CASE a.n_regionkey WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.75 WHEN 2 THEN 0.95 ELSE 0.6 END AS k, CASE WHEN a.n_regionkey = 2 THEN 'indirect' ELSE 'direct' END AS type
 FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey > b.n_nationkey WHERE a.n_regionkey <= 3),
 cons AS (SELECT a.n_name AS source, b.n_name AS target, CASE WHEN a.n_nationkey < b.n_nationkey THEN 'forbidden_edge' ELSE 'required_edge' END AS type FROM nation a JOIN nation b ON (a.n_regionkey = 4 AND b.n_regionkey = 4 AND a.n_nationkey < b.n_nationkey) OR (a.n_regionkey = 3 AND b.n_regionkey = 3 AND a.n_nationkey > b.n_nationkey))"""
