@@ -64,6 +64,11 @@ def sent(df: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
     return F.broadcast(df) if row_bound(df, limit) <= limit else df
 
 
+def release(df: DataFrame) -> None:
+    """Have the driver drop what finished steps left: shuffle files go once nothing refers to them and the JVM has looked."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as empty text (remainder 0)."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -113,10 +118,20 @@ def row_key(text: str = "text", key: str = "doc_id") -> Column:
     return F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
 
 
+def _marked(df: DataFrame) -> DataFrame:
+    """All columns as one (so that no name can clash), and the ``row_key``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), row_key().alias("_row"))
+
+
 def without(df: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``row_key`` is not among ``keys`` (column ``_row``)."""
-    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"), row_key().alias("_row"))
-    return marked.join(sent(keys.select("_row").distinct()), "_row", "left_anti").select("_all.*")
+    return _marked(df).join(sent(keys.select("_row").distinct()), "_row", "left_anti").select("_all.*")
+
+
+def one_of_each(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of ``df`` for each ``row_key`` among ``keys`` (column ``_row``)."""
+    found = _marked(df).join(sent(keys.select("_row").distinct()), "_row", "left_semi")
+    return found.groupBy("_row").agg(F.first("_all").alias("_all")).select("_all.*")
 
 
 def _array(values: object, kind: pa.DataType) -> pa.Array:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint_dir
 from . import decontaminate, jaccard_join, quality, sentencepiece_codec, toxicity
-from .common import read, row_key, without
+from .common import one_of_each, read, row_key, without
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,8 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_row"))
     if again.isEmpty():
         return rest
-    repeated = rest.withColumn("_row", row_key()).join(again, "_row", "left_semi")
-    return without(rest, again).unionByName(repeated.dropDuplicates(["_row"]).drop("_row"))
+    return without(rest, again).unionByName(one_of_each(rest, again))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
