@@ -30,26 +30,42 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 
 def pair_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by…, x, y, n, r, cov) for every column pair over the rows that know both."""
-    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = df.select(*by, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in cols])  # NaN counts as unknown
     pairs = _pairs(cols)
     if len(pairs) > (_SQL_PAIRS_BY if by else _SQL_PAIRS):
         return _pair_stats_wide(rows, list(cols), list(by))
     aggs = []
     for i, (x, y) in enumerate(pairs):
         known = F.col(x).isNotNull() & F.col(y).isNotNull()
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.covar_samp(x, y).alias(f"c{i}"), F.count(F.when(known, 1)).alias(f"n{i}")]
+        aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.count(F.when(known, 1)).alias(f"n{i}")]
+        aggs += [F.var_pop(F.when(known, F.col(v))).alias(f"v{a}{i}") for a, v in (("x", x), ("y", y))]
+        aggs += [F.avg(F.when(known, F.col(v) * F.col(v))).alias(f"q{a}{i}") for a, v in (("x", x), ("y", y))]
     wide = rows.groupBy(*by).agg(*aggs)
     recs = [
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{i}").alias("n"), F.nanvl(F.col(f"r{i}"), F.lit(None)).alias("r"), F.col(f"c{i}").alias("cov"))
+        F.struct(
+            F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{i}").alias("n"),
+            _r(F.col(f"c{i}"), F.col(f"vx{i}"), F.col(f"vy{i}"), F.col(f"qx{i}"), F.col(f"qy{i}")).alias("r"),
+            F.when(F.col(f"n{i}") > 1, F.col(f"c{i}") * F.col(f"n{i}") / (F.col(f"n{i}") - 1)).alias("cov"),
+        )
         for i, (x, y) in enumerate(pairs)
     ]
     return wide.select(*by, F.inline(F.array(*recs)))
 
 
+#: A variance of less than this share of the mean square is rounding: the column is constant.
+_CONSTANT = 1e-13
+
+
+def _r(cov: Column, vx: Column, vy: Column, qx: Column, qy: Column) -> Column:
+    """Correlation, null where a column is constant."""
+    r = F.greatest(F.least(F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)), F.lit(1.0)), F.lit(-1.0))
+    return F.when((vx > qx * _CONSTANT) & (vy > qy * _CONSTANT), r)
+
+
 def _pair_stats_wide(rows: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """Many pairs: with M the known-flags and X the values (0 where unknown), M'M, X'M, (X*X)'M and X'X hold the sums of
     every pair. Each task adds them over its batches; p(p-1)/2 rows per task (and group) are shuffled."""
-    shift = np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in cols]).first()], dtype=float)
+    shift = np.array([v or 0.0 for v in rows.agg(*[F.avg(c) for c in cols]).first()], dtype=float)  # NaN has become null
     lo, hi = np.triu_indices(len(cols), 1)
     schema = T.StructType([rows.schema[c] for c in by] + [T.StructField(c, T.IntegerType()) for c in ("i", "j")] + [T.StructField(c, T.DoubleType()) for c in _SUMS])
 
@@ -77,13 +93,13 @@ def _pair_stats_wide(rows: DataFrame, cols: list[str], by: list[str]) -> DataFra
 
     st = rows.mapInPandas(partial, schema).groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
     n = F.col("n")
-    sxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx, vy = (F.greatest(F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") / n, F.lit(0.0)) for v in "xy")
+    sxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    vx, vy = (F.greatest(F.col(f"s{v}{v}") - F.try_divide(F.col(f"s{v}") * F.col(f"s{v}"), n), F.lit(0.0)) for v in "xy")
     names = F.array(*[F.lit(c) for c in cols])
-    r = F.greatest(F.least(F.try_divide(sxy, F.sqrt(vx * vy)), F.lit(1.0)), F.lit(-1.0))
+    r = _r(sxy, vx, vy, F.col("sxx"), F.col("syy"))
     return st.select(
         *by, F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), n.cast("long").alias("n"),
-        F.when((vx > 0) & (vy > 0), r).alias("r"), F.when(n > 1, sxy / (n - 1)).alias("cov"),
+        r.alias("r"), F.when(n > 1, sxy / (n - 1)).alias("cov"),
     )
 
 
@@ -218,13 +234,10 @@ def corr_clusters(df: DataFrame, columns: Sequence[str], threshold: float = 0.7)
 
 
 def nonlinear_candidates(
-    df: DataFrame, columns: Sequence[str], max_columns: int = 10, gap: float = 0.3, least: float = 0.5
+    df: DataFrame, columns: Sequence[str], gap: float = 0.3, least: float = 0.5
 ) -> DataFrame:
     """(x, y, pearson, spearman, difference) where |spearman| exceeds |pearson| by ``gap`` and ``least``."""
     cols = list(columns)
-    if len(cols) > max_columns:
-        var = df.agg(*[F.var_samp(c).alias(c) for c in cols]).first().asDict()
-        cols = sorted((c for c in cols if var[c] is not None), key=lambda c: -var[c])[:max_columns]
     lin = pair_stats(df, cols).select("x", "y", F.col("r").alias("pearson"))
     rank = corr_spearman(df, cols).select("x", "y", F.col("r").alias("spearman"))
     both = lin.join(rank, ["x", "y"]).withColumn("difference", F.abs("spearman") - F.abs("pearson"))
@@ -303,7 +316,7 @@ def anova_oneway(df: DataFrame, value: str, group: str, by: Sequence[str] = ())
     ssb = F.col("_sq") - F.col("_sm") * F.col("_sm") / F.col("n")
     tot = tot.withColumn("ssb", F.greatest(ssb, F.lit(0.0)))
     d1, d2 = F.col("groups") - 1, F.col("n") - F.col("groups")
-    tot = tot.withColumn("f", F.try_divide(F.col("ssb") / d1, F.col("ssw") / d2))
+    tot = tot.withColumn("f", F.try_divide(F.try_divide(F.col("ssb"), d1), F.try_divide(F.col("ssw"), d2)))
     test = tot.select(
         *by, "groups", "n", "f", f_p(F.col("f"), d1.cast("double"), d2.cast("double")).alias("p_value"),
         F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta2"),
@@ -478,7 +491,7 @@ def flag_tests(df: DataFrame, flagged: Sequence[str], columns: Sequence[str]) ->
 def ks_between(counts: DataFrame, keys: Sequence[str], value: str = "value", c1: str = "c1", c2: str = "c2") -> DataFrame:
     """(keys…, n1, n2, d, p_value) from counts of both samples per value."""
     run = with_running_sums(counts, [value], {"s1": F.col(c1), "s2": F.col(c2)}, keys)
-    gap = F.abs(F.col("s1") / F.col("s1_total") - F.col("s2") / F.col("s2_total"))
+    gap = F.abs(F.try_divide(F.col("s1"), F.col("s1_total")) - F.try_divide(F.col("s2"), F.col("s2_total")))
     st = run.groupBy(*keys).agg(F.max("s1_total").alias("n1"), F.max("s2_total").alias("n2"), F.max(gap).alias("d"))
     return st.withColumn("p_value", ks_p(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double")))
 
@@ -521,10 +534,13 @@ def partial_corr(
     def solve(n, means, cov):
         r = partial_correlation(cov, 0, 1, range(2, len(cols)))
         d = n - 2 - len(controls)
+        if math.isnan(r):  # a constant column: nothing is known
+            return [{"n": int(n), "r": math.nan, "t": math.nan, "df": int(d), "p_value": math.nan}]
         t = r * math.sqrt(d / (1 - r * r)) if abs(r) < 1 and d > 0 else math.inf
         return [{"n": int(n), "r": r, "t": t, "df": int(d), "p_value": t_two_sided(t, d) if math.isfinite(t) else 0.0}]
 
     out = from_moments(moment_rows(df, cols, by), solve, "n long, r double, t double, df long, p_value double", by)
+    out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in ("r", "t", "p_value")})
     return out.withColumn("confirmed", (F.col("p_value") < alpha) == F.lit(edge_exists))
 
 

@@ -126,13 +126,13 @@ def pairwise_hsic(df: DataFrame, columns: Sequence[str], features: int = 20, alp
     return from_moments(moments, solve, "x string, y string, n long, hsic double, p_value double, dependent boolean")
 
 
-def kernel_graph(df: DataFrame, columns: Sequence[str], alpha: float = 0.05, max_columns: int = 10, features: int = 20) -> DataFrame:
+def kernel_graph(df: DataFrame, columns: Sequence[str], alpha: float = 0.05, features: int = 20) -> DataFrame:
     """(src, dst, weight): dependent pairs directed by the additive noise test and added by weight unless they close a cycle."""
-    cols = list(columns)[:max_columns]
+    cols = list(columns)
     rows = cut_lineage(complete_rows(df, cols))
     pairs = [(r.x, r.y) for r in pairwise_hsic(rows, cols, features, alpha).where("dependent").select("x", "y").collect()]
     found = []
-    for x, y in pairs:  # at most max_columns² pairs
+    for x, y in pairs:  # pairs of columns
         r = anm_direction(rows, x, y, features=features).first()
         s, d = r.direction.split("->")
         found.append((r.confidence, s, d))

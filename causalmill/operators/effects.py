@@ -213,10 +213,13 @@ def bootstrap_draws(
 
 
 def ate_bootstrap(
-    df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str] = (), key: Sequence[str] = (), draws: int = 500, seed: int = 42
+    df: DataFrame, treatment: str, outcome: str, covariates: Sequence[str] = (), *, key: Sequence[str], draws: int = 500, seed: int = 42
 ) -> DataFrame:
-    """(draws, effect, std_err, ci_low, ci_high): percentile interval at positions int(0.025 B) and int(0.975 B)."""
-    d = bootstrap_draws(df, treatment, outcome, covariates, key or df.columns, draws, seed)
+    """(draws, effect, std_err, ci_low, ci_high): percentile interval at positions int(0.025 B) and int(0.975 B).
+
+    ``key`` identifies a row: equal rows must get their own weights.
+    """
+    d = bootstrap_draws(df, treatment, outcome, covariates, key, draws, seed)
     packed = d.agg(F.count("effect").alias("draws"), F.avg("effect").alias("effect"), F.stddev_pop("effect").alias("std_err"), F.array_sort(F.collect_list("effect")).alias("e"))
     at = lambda q: F.element_at("e", F.floor(F.col("draws") * q).cast("int") + 1)  # noqa: E731  ``draws`` numbers
     return packed.select("draws", "effect", "std_err", at(0.025).alias("ci_low"), at(0.975).alias("ci_high"))

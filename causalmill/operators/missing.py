@@ -105,9 +105,8 @@ def impute_knn(
 ) -> DataFrame:
     """Mean of the ``k`` nearest rows (distance over the columns both rows know, scaled up for missing ones).
 
-    The rows that can donate are reduced to distinct value combinations with weights. Up to ``donors_max`` combinations
-    are broadcast and every incomplete row is compared with all of them. Above it the combinations are spread over a
-    uniform grid and the ring of cells around the row grows until the k-th neighbour is closer than the ring.
+    Equal rows are merged with their count. Donors and incomplete combinations are cut into blocks of about ``donors_max``; every incomplete block is
+    compared with every block of donors, so the work grows with incomplete times donor combinations.
     """
     from .neighbours import nan_euclidean_fill
 

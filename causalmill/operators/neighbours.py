@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import join_checked
@@ -16,6 +16,11 @@ from ..functions.lineage import cut_lineage
 from .scaling import _moments
 
 
+def _combination(cols: Sequence[str]) -> Column:
+    """Hash of the values and of which of them are null (the hash alone passes over nulls)."""
+    return F.xxhash64(F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols]), *[F.col(c).cast("double") for c in cols])
+
+
 def nan_euclidean_fill(df: DataFrame, columns: Sequence[str], key: str, k: int, block: int) -> DataFrame:
     """Mean of the ``k`` nearest donors per missing cell.
 
@@ -25,7 +30,7 @@ def nan_euclidean_fill(df: DataFrame, columns: Sequence[str], key: str, k: int,
     """
     cols = list(columns)
     vals = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    combos = cut_lineage(vals.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")).withColumn("_id", F.xxhash64(*cols)))
+    combos = cut_lineage(vals.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w")).withColumn("_id", _combination(cols)))
     any_null = F.lit(False)
     all_null = F.lit(True)
     for c in cols:
@@ -72,7 +77,7 @@ def nan_euclidean_fill(df: DataFrame, columns: Sequence[str], key: str, k: int,
     fills = taken.groupBy("_id", "column").agg((F.sum(F.col("value") * F.col("take")) / F.sum("take")).alias("fill"))
     wide = fills.groupBy("_id").agg(*[F.max(F.when(F.col("column") == c, F.col("fill"))).alias(f"_f_{c}") for c in cols])
     means = {c: v[0] for c, v in _moments(df, cols, F.avg).items()}
-    keyed = df.withColumn("_id", F.xxhash64(*[F.col(c).cast("double") for c in cols]))
+    keyed = df.withColumn("_id", _combination(cols))
     out = join_checked(keyed, wide, ["_id"], "left")
     return out.select(
         *[F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}"), F.lit(means[c])).alias(c) if c in cols else F.col(c) for c in df.columns]

@@ -218,7 +218,7 @@ def dagostino_k2(n: pd.Series, skew: pd.Series, kurt: pd.Series) -> pd.Series:
 def profile_normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, skew, kurtosis, k2, k2_p, jb_p, anderson, anderson_critical, distribution).
 
-    Gaussian when D'Agostino, Anderson-Darling and, below 2000 rows, Jarque-Bera all accept at 5 %; otherwise non_gaussian,
+    Gaussian when D'Agostino, Anderson-Darling and Jarque-Bera all accept at 5 %; a constant column is unknown; otherwise non_gaussian,
     skewed_non_gaussian (|skew| > 1) or heavy_tailed (excess kurtosis > 2). Under 8 rows: unknown.
     """
     cols = list(columns)
@@ -229,7 +229,7 @@ def profile_normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     st = cut_lineage(wide.select(F.inline(F.array(*recs))))
     counts = value_counts_long(rows, cols).withColumnRenamed("n", "c")
     run = with_running_sums(counts, ["value"], {"cum": F.col("c")}, ["column"]).join(F.broadcast(st), "column")
-    f = norm_cdf_col((F.col("value") - F.col("mean")) / F.col("sd"))
+    f = norm_cdf_col(F.try_divide(F.col("value") - F.col("mean"), F.col("sd")))
     lo, hi = F.lit(1e-300), F.lit(1.0 - 1e-16)
     run = run.withColumn("_f", F.least(F.greatest(f, lo), hi))
     a, c, n = F.col("cum") - F.col("c"), F.col("c"), F.col("n").cast("double")
@@ -243,9 +243,9 @@ def profile_normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "k2_p": F.exp(-F.col("k2") / 2), "jb_p": F.exp(-jb / 2),
         "anderson_critical": F.round(0.787 / (1 + 4.0 / nn - 25.0 / (nn * nn)), 3),
     })
-    ok = (F.col("k2_p") > 0.05) & (F.col("anderson") < F.col("anderson_critical")) & ((F.col("n") >= 2000) | (F.col("jb_p") > 0.05))
+    ok = (F.col("k2_p") > 0.05) & (F.col("anderson") < F.col("anderson_critical")) & (F.col("jb_p") > 0.05)
     label = (
-        F.when(F.col("n") < 8, "unknown").when(ok, "gaussian").when(F.col("kurtosis") > 2, "heavy_tailed")
+        F.when((F.col("n") < 8) | ~(F.col("sd") > 0), "unknown").when(ok, "gaussian").when(F.col("kurtosis") > 2, "heavy_tailed")
         .when(F.abs("skew") > 1, "skewed_non_gaussian").otherwise("non_gaussian")
     )
     return out.select("column", "n", "skew", "kurtosis", "k2", "k2_p", "jb_p", "anderson", "anderson_critical", label.alias("distribution"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import join_checked
 from ..functions.lineage import cut_lineage
 from ..functions.moments import from_moments, moment_rows, ols
 from ..functions.ordered import framed, with_neighbours, with_position, with_running_sums
@@ -211,8 +212,21 @@ def stationarity_adf(df: DataFrame, column: str, order: Sequence[str], by: Seque
     """(by…, statistic, p_value, lags, n): augmented Dickey-Fuller with constant, lag length by AIC."""
     known = df.where(F.col(column).isNotNull()).select(*dict.fromkeys([*by, *order, column]))
     if max_lag is None:
-        n = known.groupBy(*by).count().agg(F.min("count")).first()[0] or 0
-        max_lag = max(min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2), 0)
+        # each series has its own limit; series with the same limit (a slow function of the length, so a few values) are done together
+        n = F.col("_n")
+        limit = F.greatest(F.least(F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))).cast("int"), (F.floor(n / 2) - 2).cast("int")), F.lit(0))
+        limits = cut_lineage(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, limit.alias("_limit")))
+        parts = []
+        for r in limits.select("_limit").distinct().orderBy("_limit").collect():
+            own = limits.where(F.col("_limit") == r["_limit"])
+            series = join_checked(known, own, list(by)).drop("_limit") if by else known
+            parts.append(stationarity_adf(series, column, order, by, r["_limit"]))
+        if not parts:
+            return stationarity_adf(known, column, order, by, 0)
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     rows, w, own = with_neighbours(with_position(known, order, by), max_lag + 1, 0, by)
     x = F.col(column).cast("double")
     lagged = rows.select(

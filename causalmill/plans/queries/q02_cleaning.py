@@ -105,13 +105,22 @@ def missingness_type(spark, sf):
     return missing.missingness_type(holes(spark, sf), ["disc", "tax", "qty", "flag", "price"])
 
 
-@query("impute_knn")
+@query(
+    "impute_knn",
+    rounded_sql("""WITH o AS (SELECT o_custkey, avg(o_totalprice) AS spend, count(*)::DOUBLE AS n_orders FROM orders GROUP BY 1),
+    t AS (SELECT c_custkey, c_acctbal, spend, n_orders FROM customer LEFT JOIN o ON c_custkey = o_custkey),
+    d AS (SELECT q.c_custkey, p.spend, p.n_orders, sqrt(power(p.c_acctbal - q.c_acctbal, 2) * 3) AS dist FROM t q JOIN t p ON q.spend IS NULL AND p.spend IS NOT NULL),
+    s AS (SELECT c_custkey, avg(spend) AS spend FROM (FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist, spend) <= 5) GROUP BY 1),
+    n AS (SELECT c_custkey, avg(n_orders) AS n_orders FROM (FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist, n_orders) <= 5) GROUP BY 1)
+    SELECT t.c_custkey, c_acctbal, coalesce(t.spend, s.spend) AS spend, coalesce(t.n_orders, n.n_orders) AS n_orders FROM t LEFT JOIN s USING (c_custkey) LEFT JOIN n USING (c_custkey)""",
+                "c_custkey", "c_acctbal spend n_orders", 4),
+)
 def impute_knn(spark, sf):
     df = load(spark, sf, "customer").join(
         load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("spend"), F.count(F.lit(1)).alias("n_orders")),
         "c_custkey", "left",
     )
-    return rounded(missing.impute_knn(df.select("c_custkey", "c_acctbal", "spend", "n_orders"), ["c_acctbal", "spend", "n_orders"], "c_custkey"))
+    return rounded(missing.impute_knn(df.select("c_custkey", "c_acctbal", "spend", "n_orders"), ["c_acctbal", "spend", "n_orders"], "c_custkey"), 4)
 
 
 @query("impute_regression")

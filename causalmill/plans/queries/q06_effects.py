@@ -86,7 +86,7 @@ def ate_iv(spark, sf):
 @query("ate_bootstrap")
 def ate_bootstrap(spark, sf):
     df = load(spark, sf, "lineitem").withColumn("net", F.expr("l_extendedprice * (1 - l_discount)"))
-    return rounded(effects.ate_bootstrap(df, "l_quantity", "net", ["l_discount"], draws=100), 4)
+    return rounded(effects.ate_bootstrap(df, "l_quantity", "net", ["l_discount"], key=["l_orderkey", "l_linenumber"]), 4)
 
 
 @query("cate_interactions")

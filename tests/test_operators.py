@@ -225,7 +225,7 @@ def test_effects_recover_truth(spark):
     adj = effects.ate_backdoor(df, "t", "y", ["c"]).first()
     assert adj.effect == pytest.approx(2.0, abs=0.1) and adj.ci_low < 2.0 < adj.ci_high
     assert effects.ate_difference(df, "t", "y").first().effect > 3
-    boot = effects.ate_bootstrap(df, "t", "y", ["c"], ["id"], draws=200).first()
+    boot = effects.ate_bootstrap(df, "t", "y", ["c"], key=["id"], draws=200).first()
     assert boot.std_err == pytest.approx(adj.std_err, rel=0.25) and boot.ci_low < 2.0 < boot.ci_high
     again = effects.bootstrap_draws(df.repartition(7), "t", "y", ["c"], ["id"], 20).orderBy("draw").toPandas()
     first = effects.bootstrap_draws(df.coalesce(2), "t", "y", ["c"], ["id"], 20).orderBy("draw").toPandas()
