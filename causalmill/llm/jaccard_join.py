@@ -1,13 +1,14 @@
 """N-gram Jaccard join by grouped prefixes, and the components its links form.
 
 A text is the set of its distinct word shingles. All sets are sorted in one order, rare shingles first; two sets that link must share one of the
-first few (the prefix). Texts with the same prefix and size are one group; groups that share a prefix shingle form a family (components of group
-pairs, which are stars per shingle, never all pairs). Families are then expanded: their texts are read once, cut into blocks if a family is
+first few (the prefix). Texts with the same prefix and size are one group; groups of like size that share a prefix shingle form a family (components
+of group pairs, which are stars per shingle and size, never all pairs). Families are then expanded: their texts are read once, cut into blocks if a family is
 large, and every pair of members that the prefix and size filters let through is verified on the whole sets, unless both are already known to be connected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from .common import C1, C2, WordHashes, ascii_words, mix, per_batch
+from .common import C1, C2, WordHashes, ascii_words, mix, per_batch, release, sent
 from .components import components
 
-#: Places of the frequency table behind the order of shingles, and of one stretch of it.
-PLACES, STRETCH = 1 << 20, 1 << 12
+#: log2 of the places of the frequency table behind the order of shingles: PER_ROW for each text within these bounds; places of one stretch of it.
+LEAST, MOST, PER_ROW, STRETCH = 20, 26, 32, 1 << 14
 #: Shingles of a family's block, about; a pair of blocks is what one task holds.
-BLOCK = 1_000_000
+BLOCK = 4_000_000
 
 
 class Shingles:
@@ -46,36 +47,49 @@ class Shingles:
 
 
 def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """Per hash place: four times the logarithm of how many sets have a shingle there. All texts are counted; the size is fixed."""
+    """Per hash place: four times the logarithm of how many sets have a shingle there. All texts are counted.
+
+    The counts only order the shingles, and any one order gives the same links; a task's count of a place ends at 255.
+    """
+    places = 1 << min(MOST, max(LEAST, math.ceil(math.log2(PER_ROW * max(1, docs.count())))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, total = Shingles(words), np.zeros(PLACES, np.int64)
+        shingles, total, waiting = Shingles(words), np.zeros(places, np.uint8), []
+
+        def settle() -> None:
+            at, n = np.unique((np.concatenate(waiting) & np.uint64(places - 1)).astype(np.int64), return_counts=True)
+            total[at] = np.minimum(total[at] + n, 255)
+            waiting.clear()
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                sets = [shingles.of(t) for t in batch.column(0).slice(at, 512).to_pylist()]
-                total += np.bincount((np.concatenate(sets) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
-        if total.any():
-            stretches = total.reshape(-1, STRETCH)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(stretches)), pa.int32()), pa.array([s.astype("<i4").tobytes() for s in stretches], pa.binary())], names=["at", "n"])
+            for t in batch.column(0).to_pylist():
+                waiting.append(shingles.of(t))
+                if len(waiting) == 2048:
+                    settle()
+        if waiting:
+            settle()
+        stretches = total.reshape(-1, STRETCH)
+        for i in np.flatnonzero(stretches.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([stretches[i].tobytes()], pa.binary())], names=["at", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[at] = total.get(at, 0) + np.frombuffer(n, "<i4").astype(np.int64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.astype("<i8").tobytes() for t in total.values()], pa.binary())], names=["at", "n"])
+                total[at] = total.get(at, 0) + np.frombuffer(n, np.uint8).astype(np.int64)
+        for at, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.floor(4 * np.log2(n + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["at", "rank"])
 
     parts = docs.select("_text").mapInArrow(count, "at int, n binary")
-    out = np.zeros(PLACES, np.int64)
-    for r in parts.repartition("at").mapInArrow(add, "at int, n binary").collect():  # PLACES numbers
-        out[r["at"] * STRETCH : (r["at"] + 1) * STRETCH] = np.frombuffer(r["n"], "<i8")
-    return np.floor(4 * np.log2(out + 1)).astype(np.uint8)
+    out = np.zeros(places, np.uint8)
+    for r in parts.repartition("at").mapInArrow(add, "at int, rank binary").collect():  # one byte per place
+        out[r["at"] * STRETCH : (r["at"] + 1) * STRETCH] = np.frombuffer(r["rank"], np.uint8)
+    return out
 
 
 def _prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
     """The first n - ceil(num/den * n) + 1 shingles, rare ones first."""
-    order = np.argsort(rank[(s & np.uint64(PLACES - 1)).astype(np.int64)], kind="stable")
+    order = np.argsort(rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)], kind="stable")
     return s[order[: len(s) - -(-num * len(s) // den) + 1]]
 
 
@@ -109,22 +123,28 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
     )
     classes = cut_lineage(classes.withColumn("group", F.xxhash64("prefix", "n")))
 
-    # families: groups that share a shingle of their prefixes
-    keys = classes.dropDuplicates(["group"]).select("group", F.explode("prefix").alias("shingle"))
-    shared = keys.groupBy("shingle").agg(F.min("group").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = keys.join(shared, "shingle").select(F.col("group").alias("b"), "a")
-    family = components(stars)
+    # families: groups that share a shingle of their prefixes and are near in size. Linked sizes differ by at most the factor num/den, so they lie in one or two
+    # neighbouring steps of that factor; a cell is two such steps, and in each cell of a shingle all groups are tied to the first
+    keys = classes.dropDuplicates(["group"]).select("group", "n", F.explode("prefix").alias("shingle"))
+    shared = keys.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle")
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) if den > num else 1.0) + F.lit(1e-9))
+    cells = cut_lineage(keys.join(shared, "shingle").select("group", "shingle", F.explode(F.array(step - 1, step)).alias("cell")))
+    release(df)
+    firsts = cells.groupBy("shingle", "cell").agg(F.min("group").alias("a"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    family = components(cells.join(firsts, ["shingle", "cell"]).select(F.col("group").alias("b"), "a"))
     members = classes.join(family.withColumnRenamed("node", "group"), "group", "left").withColumn("family", F.coalesce("component", "group"))
     weights = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).where("sets > 1")
     members = members.join(weights, "family").select("family", "set", "n", "row._r1", "row._r2", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "set"), F.col("blocks")).cast("int"))
 
     # a family's texts, once per pair of blocks
-    texts = docs.select("_r1", "_r2", "_text").join(members, ["_r1", "_r2"]).dropDuplicates(["_r1", "_r2"])
+    texts = docs.select("_r1", "_r2", "_text").join(sent(cut_lineage(members)), ["_r1", "_r2"])  # equal rows are passed over where they meet
+    release(df)
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     texts = texts.select("family", F.explode(pair).alias("at"), "block", "set", "_text").select("family", "at.i", "at.j", "block", "set", "_text")
     links = _verified(texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set"), words, num, den, rank)
     joined = components(links)
+    release(df)
 
     both = classes.select("set", "least").join(joined.withColumnRenamed("node", "set"), "set", "left")
     smallest = both.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
@@ -144,7 +164,8 @@ def _verified(texts: DataFrame, words: int, num: int, den: int, rank: object) ->
                 if (f, i, j) != now:
                     found += connect(held, i_is_j(now), rank.value, num, den)
                     now, held = (f, i, j), []
-                held.append((ident, block, shingles.of(text)))
+                if not held or held[-1][0] != ident:
+                    held.append((ident, block, shingles.of(text)))
             if len(found) > 10_000:
                 yield _edges(found)
                 found = []
