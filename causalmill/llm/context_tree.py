@@ -3,9 +3,9 @@
 A byte is eight binary decisions; each has a tree of contexts, the preceding 0 to DEPTH bytes. Every node of a tree estimates its bit by Krichevsky-Trofimov, and a
 node's block probability is half its own estimate and half the product of its children's, so all depths are mixed by how well they coded the training texts.
 
-Training counts runs of DEPTH + 1 bytes over all training texts. Nodes are built where the runs that end alike meet, and go into a table of fixed size
-(one place per hash; the more visited node stays; depths 0 and 1 have a place for every node), which is sent to the executors. Where the table does not hold
-a context, the path goes on from the nodes it does hold.
+Texts are dealt into chunks. Each chunk gives its distinct runs of DEPTH + 1 bytes with how often its training texts have them; runs that share the last two
+context bytes meet in a task, whatever their chunk. That task has all nodes below these two bytes, builds every one of them from the summed counts, scores each
+distinct run once and gives the values back to the chunks, where they are summed per text. Only the nodes of depths 0 and 1, 257 contexts of 255, are sent.
 """
 
 from __future__ import annotations
@@ -19,17 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage
-from .common import C1, WordHashes, ascii_words, mix, per_batch
+from .common import C1, SLICE, WordHashes, ascii_words, mix
 
 DEPTH = 5
-#: log2 of the places of each depth's table.
-BITS = (8, 16, 21, 21, 22, 23)
-STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
-STRETCH = 1 << 16
 #: Words whose counts are sent to the executors, at most; the counts of the others are joined.
 FREQUENT = 1 << 18
-#: Bytes of text whose runs are sorted or scored at once; places of a task's memory of scored runs.
-PIECE, MEMORY = 2_000_000, 1 << 21
+#: Bytes of text whose runs are sorted or scored at once; characters of text of a chunk, about.
+PIECE, CHUNK = 2_000_000, 16_000_000
 #: Ends a text and stands before it; no byte of UTF-8.
 END = 255
 #: The token that ends every text, beside the hashes of its words.
@@ -81,42 +77,41 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """Counts over all texts of ``docs`` (``_text``): rows ``kind`` (0: words by hash, 1: runs), ``key``, ``n``; added up per task first."""
+    """Counts of the words (by hash) of all texts of ``docs`` (``_text``): rows ``key``, ``n``; added up per task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, nothing = WordHashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        totals, waiting = [nothing, nothing], [[], []]
+        total, waiting = nothing, []
 
-        def settle(kind: int) -> None:
-            if waiting[kind]:
-                totals[kind] = _add(totals[kind], np.concatenate([w[0] for w in waiting[kind]]), np.concatenate([w[1] for w in waiting[kind]]))
-                waiting[kind].clear()
+        def settle() -> None:
+            nonlocal total
+            if waiting:
+                total = _add(total, np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                waiting.clear()
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for kind in (0, 1):
-                settle(kind)
-                keys, counts = totals[kind]
-                for at in range(0, len(keys), 200_000):
-                    part = slice(at, at + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["kind", "key", "n"])
-                totals[kind] = nothing
+            nonlocal total
+            settle()
+            keys, counts = total
+            for at in range(0, len(keys), 200_000):
+                part = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=["key", "n"])
+            total = nothing
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 texts = [ascii_words(t) for t in batch.column(0).slice(at, 1024).to_pylist()]
                 for piece in _pieces(texts):
-                    waiting[1].append(np.unique(runs(piece)[0], return_counts=True))
                     words = np.concatenate([hashes.of(w) for w in piece])
-                    waiting[0].append(np.unique(np.append(words, np.full(len(piece), END_TOKEN, np.uint64)), return_counts=True))
-                for kind in (0, 1):
-                    if sum(len(w[0]) for w in waiting[kind]) > 2_000_000:
-                        settle(kind)
-                if sum(len(t[0]) for t in totals) > 4_000_000:  # a bound on what a task holds; the sums are made after the shuffle anyway
+                    waiting.append(np.unique(np.append(words, np.full(len(piece), END_TOKEN, np.uint64)), return_counts=True))
+                if sum(len(w[0]) for w in waiting) > 2_000_000:
+                    settle()
+                if len(total[0]) > 4_000_000:  # a bound on what a task holds; the sums are made after the shuffle anyway
                     yield from emit()
         yield from emit()
 
-    rows = docs.select("_text").mapInArrow(count, "kind int, key bigint, n bigint")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = docs.select("_text").mapInArrow(count, "key bigint, n bigint")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _log_gamma(n: np.ndarray, half: bool) -> np.ndarray:
@@ -135,29 +130,9 @@ def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros.astype(float), True) + _log_gamma(ones.astype(float), True) - _log_gamma((zeros + ones).astype(float), False)
 
 
-def _code(p: np.ndarray) -> np.ndarray:
-    """A probability as one byte: its log-odds from -12 to 12."""
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return np.clip(np.round((np.log(p / (1 - p)) + 12) / 24 * 255), 0, 255).astype(np.int64)
-
-
-DECODE = 1 / (1 + np.exp(-(np.arange(256) / 255 * 24 - 12)))
-
-
-def _place(depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place in the whole table, and the check number (never 0) of a node (context << 8 | bits so far)."""
-    if depth < 2:
-        return key.astype(np.int64) + STARTS[depth], np.ones(len(key), np.int64)
-    h = mix(key * C1 + U64(depth + 1))
-    return (h >> U64(64 - BITS[depth])).astype(np.int64) + STARTS[depth], np.maximum(h & U64(0xFFFF), U64(1)).astype(np.int64)
-
-
-def _entries(depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, own: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and packed nodes: visits, check number, P(1), weight of the own estimate."""
-    visits = zeros + ones
-    weight = np.ones(len(key)) if below is None else 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-    place, check = _place(depth, key)
-    return place, (np.minimum(visits, (1 << 31) - 1) << 32) | (check << 16) | (_code((ones + 0.5) / (visits + 1)) << 8) | _code(weight)
+def _weight(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Of a node's own estimate against the product of its children's."""
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
 def _bits(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,108 +148,170 @@ def _shorten(key: np.ndarray, depth: int) -> np.ndarray:
     return (((key >> U8) & U64((1 << (8 * depth)) - 1)) << U8) | (key & U64(255))
 
 
-def build(grams: DataFrame) -> np.ndarray:
-    """The table of nodes from counted runs (``key``, ``n``). Runs that share the last two context bytes meet in a task: all nodes below are theirs alone."""
+#: Of one depth: nodes (context << 8 | bits so far) in order, P(1), weight of the own estimate.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        key, zeros, ones = _bits(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        own, below = estimate(zeros, ones), None
-        block = own
-        for depth in range(DEPTH, 1, -1):
-            place, node = _entries(depth, key, zeros, ones, own, below)
-            for at in range(0, len(place), 200_000):
-                part = slice(at, at + 200_000)
-                yield _rows(place[part], node[part], None, None, None)
-            key, zeros, ones, below = _sums(_shorten(key, depth - 1), zeros, ones, block)
-            own = estimate(zeros, ones)
-            block = np.logaddexp(own, below) - math.log(2)
-            # at depth 1, runs of other tasks belong to the same node: only the sums below it are final
-        yield _rows(-1 - key.view(np.int64), None, zeros, ones, below)
-
-    def _rows(place: np.ndarray, node: np.ndarray | None, zeros: np.ndarray | None, ones: np.ndarray | None, below: np.ndarray | None) -> pa.RecordBatch:
-        none = pa.nulls(len(place), pa.int64())
-        cols = [pa.array(place)] + [none if c is None else pa.array(c) for c in (node, zeros, ones)]
-        return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(place), pa.float64()) if below is None else pa.array(below)], names=["place", "node", "zeros", "ones", "below"])
-
-    made = cut_lineage(grams.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).select("key", "n").mapInArrow(nodes, "place bigint, node bigint, zeros bigint, ones bigint, below double"))
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            place, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for s in np.unique(place // STRETCH):
-                here = place // STRETCH == s
-                np.maximum.at(held.setdefault(int(s), np.zeros(STRETCH, np.int64)), place[here] % STRETCH, node[here])
-        for s, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([_packed(v).tobytes()], pa.binary())], names=["at", "nodes"])
-
-    table = np.zeros((int(STARTS[-1]) // STRETCH + 1) * STRETCH, np.uint32)
-    stored = made.where("place >= 0").select("place", "node").repartition(F.floor(F.col("place") / STRETCH))
-    for r in stored.mapInArrow(dense, "at bigint, nodes binary").toLocalIterator():  # four bytes per place of the table
-        table[r["at"] * STRETCH : (r["at"] + 1) * STRETCH] = np.frombuffer(r["nodes"], "<u4")
-    top = made.where("place < 0").groupBy("place").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).collect()  # 256 contexts of 255 nodes
-    key = np.array([-1 - r["place"] for r in top], np.int64).astype(np.uint64)
-    order = np.argsort(key)
-    key, zeros, ones, below = key[order], *(np.array([r[c] for r in top])[order] for c in ("zeros", "ones", "below"))
+
+def _nodes(key: np.ndarray, n: np.ndarray) -> tuple[list[Level], tuple[np.ndarray, ...]]:
+    """All nodes of depths DEPTH to 2 over counted runs, deepest first, and what depth 1 gets from them: node, zeros, ones, log of the product of the children."""
+    key, zeros, ones = _bits(key, n)
+    own = block = estimate(zeros, ones)
+    weight, levels = np.ones(len(key)), []
+    for depth in range(DEPTH, 1, -1):
+        levels.append((key, (ones + 0.5) / (zeros + ones + 1), weight))
+        key, zeros, ones, below = _sums(_shorten(key, depth - 1), zeros, ones, block)
+        own = estimate(zeros, ones)
+        block, weight = np.logaddexp(own, below) - math.log(2), _weight(own, below)
+    return levels, (key, zeros, ones, below)
+
+
+def _top(stored: DataFrame) -> list[Level]:
+    """The nodes of depths 1 and 0; at most 256 contexts of 255 nodes whatever the texts."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, _ = _counted(list(batches))
+        if n.any():
+            key, zeros, ones, below = _nodes(key[n > 0], n[n > 0])[1]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(below)], names=["key", "zeros", "ones", "below"])
+
+    rows = stored.mapInArrow(parts, "key bigint, zeros bigint, ones bigint, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).collect()
+    kinds = {"key": np.uint64, "zeros": np.int64, "ones": np.int64, "below": np.float64}
+    key, zeros, ones, below = (np.array([r[c] for r in rows], k) for c, k in kinds.items())
+    order, levels = np.argsort(key), []
+    key, zeros, ones, below = key[order], zeros[order], ones[order], below[order]
     for depth in (1, 0):
         own = estimate(zeros, ones)
-        if len(key):
-            place, node = _entries(depth, key, zeros, ones, own, below)
-            best = np.zeros(len(table), np.int64)
-            np.maximum.at(best, place, node)
-            table[place] = _packed(best[place])
+        levels.append((key, (ones + 0.5) / (zeros + ones + 1), _weight(own, below)))
         if depth:
             key, zeros, ones, below = _sums(_shorten(key, 0), zeros, ones, np.logaddexp(own, below) - math.log(2))
-    return table
+    return levels
 
 
-def _packed(node: np.ndarray) -> np.ndarray:
-    return (node & 0xFFFFFFFF).astype("<u4")
+def _log_probability(key: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 probabilities of runs under the nodes of all depths, deepest first."""
+    context, byte = key >> U8, (key & U64(255)).astype(np.int64)
+    total = np.zeros(len(key))
+    for j in range(8):
+        node = ((1 << j) | (byte >> (8 - j))).astype(np.uint64)
+        bit = (byte >> (7 - j)) & 1
+        p, any_below = np.full(len(key), 0.5), np.zeros(len(key), bool)
+        for depth, (nodes, one, weights) in zip(range(DEPTH, -1, -1), levels, strict=True):
+            if not len(nodes):
+                continue
+            wanted = ((context & U64((1 << (8 * depth)) - 1)) << U8) | node
+            at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
+            held, own, weight = nodes[at] == wanted, one[at], weights[at]
+            p = np.where(held, np.where(any_below, weight * own + (1 - weight) * p, own), p)
+            any_below |= held
+        total += np.log10(np.where(bit == 1, p, 1 - p))
+    return total
+
+
+def _counted(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Distinct runs of a task in order, how often training has them, and the runs of each block with its chunk."""
+    blocks = [(c, np.frombuffer(k, "<u8"), np.frombuffer(n, "<i8")) for b in batches for c, k, n in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)]
+    if not blocks:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    key, n = _sums(np.concatenate([b[1] for b in blocks]), np.concatenate([b[2] for b in blocks]))
+    return key, n, [b[:2] for b in blocks]
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of rows of one chunk (column 0); rows are in the order of the chunks."""
+    for batch in batches:
+        chunk = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+        for a, b in zip(cuts, cuts[1:]):
+            for at in range(a, b, 1024):
+                yield int(chunk[at]), batch.slice(at, min(1024, b - at))
+
+
+def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Per chunk and bucket of the last two context bytes: the distinct runs of all texts, and how often those with ``_train`` have each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        total, waiting, size, now = nothing, [], 0, None
+
+        def settle() -> None:
+            nonlocal total, size
+            if waiting:
+                total = _add(total, np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                waiting.clear()
+                size = 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            settle()
+            key, n = total
+            total = nothing
+            if not len(key):
+                return
+            bucket = (mix((key >> U8 & U64(0xFFFF)) * C1) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key, n, bucket = key[order], n[order], bucket[order]
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            spans = list(zip(cuts, cuts[1:]))
+            columns = [[int(bucket[a]) for a, _ in spans], [now] * len(spans), [key[a:b].tobytes() for a, b in spans], [n[a:b].tobytes() for a, b in spans]]
+            for at in range(0, len(spans), 256):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[at : at + 256], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys", "n"]
+                )
+
+        for chunk, part in _by_chunk(batches):
+            if chunk != now:
+                yield from emit()
+                now = chunk
+            train = part.column(1).to_numpy(zero_copy_only=False)
+            texts = [ascii_words(t) for t in part.column(2).to_pylist()]
+            for learnt in (True, False):
+                for piece in _pieces([t for t, k in zip(texts, train, strict=True) if bool(k) == learnt]):
+                    key, n = np.unique(runs(piece)[0], return_counts=True)
+                    waiting.append((key, n if learnt else np.zeros(len(n), np.int64)))
+                    size += len(key)
+            if size > 1_000_000:
+                settle()
+        yield from emit()
+
+    placed = docs.select("_chunk", "_train", "_text").repartition("_chunk").sortWithinPartitions("_chunk")
+    return placed.mapInArrow(count, "bucket bigint, chunk bigint, keys binary, n binary")
+
+
+def _values(stored: DataFrame, top: object) -> DataFrame:
+    """Per block its runs with their log10 probabilities: ``chunk``, ``keys``, ``values``."""
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, blocks = _counted(list(batches))
+        if not blocks:
+            return
+        found = _log_probability(key, _nodes(key[n > 0], n[n > 0])[0] + top.value).astype("<f4")
+        for at in range(0, len(blocks), 64):
+            part = blocks[at : at + 64]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([c for c, _ in part], pa.int64()), pa.array([k.tobytes() for _, k in part], pa.binary()), pa.array([found[np.searchsorted(key, k)].tobytes() for _, k in part], pa.binary()),
+            ], names=["chunk", "keys", "values"])
+
+    return stored.mapInArrow(value, "chunk bigint, keys binary, values binary")
 
 
 class Scorer:
-    """log10 probabilities of runs under the table; what a task has scored it remembers in a fixed number of places."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-        self.keys = np.full(MEMORY, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.values = np.zeros(MEMORY, np.float32)
-
-    def _exact(self, key: np.ndarray) -> np.ndarray:
-        context, byte = key >> U8, (key & U64(255)).astype(np.int64)
-        total = np.zeros(len(key))
-        for j in range(8):
-            node = ((1 << j) | (byte >> (8 - j))).astype(np.uint64)
-            bit = (byte >> (7 - j)) & 1
-            p, any_below = np.full(len(key), 0.5), np.zeros(len(key), bool)
-            for depth in range(DEPTH, -1, -1):
-                place, check = _place(depth, ((context & U64((1 << (8 * depth)) - 1)) << U8) | node)
-                found = self.table[place]
-                held = (found >> np.uint32(16)) == check
-                own, weight = DECODE[found >> np.uint32(8) & np.uint32(255)], DECODE[found & np.uint32(255)]
-                p = np.where(held, np.where(any_below, weight * own + (1 - weight) * p, own), p)
-                any_below |= held
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
+    """Sums over the texts of a chunk, whose runs and their log10 probabilities it is given; a run is looked up by hash, or by search if another has its place."""
+
+    def __init__(self, parts: list[tuple[bytes, bytes]]):
+        key, value = np.concatenate([np.frombuffer(k, "<u8") for k, _ in parts]), np.concatenate([np.frombuffer(v, "<f4") for _, v in parts])
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+        places = 1 << max(10, math.ceil(math.log2(2 * len(key))))
+        self.mask = U64(places - 1)
+        self.at = np.zeros(places, np.int64)
+        self.at[(mix(self.key * C1) & self.mask).astype(np.int64)] = np.arange(len(key))
 
     def of(self, texts: list[list[bytes]]) -> np.ndarray:
         key, starts = runs(texts)
-        at = (mix(key * C1) & U64(MEMORY - 1)).astype(np.int64)
-        new = np.unique(key[self.keys[at] != key])
-        if len(new):
-            place = (mix(new * C1) & U64(MEMORY - 1)).astype(np.int64)
-            value = self._exact(new)
-            self.keys[place], self.values[place] = new, value
-            out = np.where(self.keys[at] == key, self.values[at], 0).astype(float)
-            lost = self.keys[at] != key  # two new runs in one place
-            if lost.any():
-                out[lost] = value[np.searchsorted(new, key[lost])] if np.isin(key[lost], new).all() else self._exact(key[lost])
-        else:
-            out = self.values[at].astype(float)
-        return np.add.reduceat(out, starts)
+        at = self.at[(mix(key * C1) & self.mask).astype(np.int64)]
+        other = np.flatnonzero(self.key[at] != key)
+        at[other] = np.searchsorted(self.key, key[other])
+        return np.add.reduceat(self.value[at].astype(float), starts)
 
 
 def score(df: DataFrame, train: object, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -284,9 +321,11 @@ def score(df: DataFrame, train: object, text: str = "text", key: str = "doc_id")
     the end alone. Nothing to learn from: every bit costs one bit, and the base has no counts. Repeated rows are learnt as often as they occur.
     """
     docs = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    counts = cut_lineage(gather(docs.where(train)))
-    table = build(counts.where("kind = 1"))
-    words = counts.where("kind = 0").select("key", "n")
+    words = cut_lineage(gather(docs.where(train)))
+    size = docs.agg(F.coalesce(F.sum(F.length("_text") + 1), F.lit(0))).first()[0]
+    # the chunk of a row is a hash of it, so a task that runs again finds the same
+    docs = docs.withColumns({"_train": F.coalesce(F.expr(train) if isinstance(train, str) else train, F.lit(False)), "_chunk": F.pmod(F.xxhash64("_key", "_text"), F.lit(size // CHUNK + 1))})
+    stored = cut_lineage(_blocks(docs, min(1 << 16, 64 + size // (CHUNK // 4))).repartition("bucket").select("chunk", "keys", "n"))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, log_all = sums["n"], math.log10(sums["n"] + SMOOTHING * (sums["v"] + 1))
     # the least count from which words are few enough to be sent
@@ -300,12 +339,12 @@ def score(df: DataFrame, train: object, text: str = "text", key: str = "doc_id")
     known = np.array([r["key"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(known)
     context = df.sparkSession.sparkContext
-    sent = context.broadcast((table, known[order], np.array([r["n"] for r in often], np.int64)[order]))
+    sent = context.broadcast((known[order], np.array([r["n"] for r in often], np.int64)[order]))
+    values = _values(stored, context.broadcast(_top(stored)))
 
-    def run(data: dict, state: tuple) -> dict:
-        scorer, hashes = state
-        _, frequent, counted = sent.value
-        texts = [ascii_words(t) for t in data["_text"]]
+    def measure(data: list[str], scorer: Scorer, hashes: WordHashes) -> dict:
+        frequent, counted = sent.value
+        texts = [ascii_words(t) for t in data]
         out: dict[str, list] = {"n_tokens": [len(w) + 1 for w in texts], "score": [], "n_known": [], "base": [], "rare": [], "times": []}
         for piece in _pieces(texts):
             out["score"].extend(scorer.of(piece).tolist())
@@ -317,11 +356,34 @@ def score(df: DataFrame, train: object, text: str = "text", key: str = "doc_id")
             out["base"].append(float((times[hit] * np.log10(counted[at[hit]] + SMOOTHING)).sum()))
             out["rare"].append(tokens[~hit].view(np.int64))
             out["times"].append(times[~hit])
-        return {"_key": data["_key"]} | out
+        return out
+
+    columns = {"n_tokens": pa.int64(), "score": pa.float64(), "n_known": pa.int64(), "base": pa.float64(), "rare": pa.list_(pa.int64()), "times": pa.list_(pa.int32())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, now, parts, scorer = WordHashes(), None, [], None
+        for chunk, part in _by_chunk(batches):
+            if chunk != now:
+                now, parts, scorer = chunk, [], None
+            row = part.column(1).to_numpy(zero_copy_only=False)  # the values of a chunk stand before its texts
+            given = part.filter(pa.array(~row))
+            parts += zip(given.column(4).to_pylist(), given.column(5).to_pylist(), strict=True)
+            texts = part.filter(pa.array(row))
+            if not texts.num_rows:
+                continue
+            if scorer is None:
+                scorer, parts = Scorer(parts), []
+            for at in range(0, texts.num_rows, SLICE):
+                some = texts.slice(at, SLICE)
+                out = measure(some.column(3).to_pylist(), scorer, hashes)
+                yield pa.RecordBatch.from_arrays([some.column(2), *[pa.array(out[c], t) for c, t in columns.items()]], names=["_key", *columns])
 
     kind = dict(df.dtypes)[key]
     schema = f"_key {kind}, n_tokens bigint, score double, n_known bigint, base double, rare array<bigint>, times array<int>"
-    rows = cut_lineage(per_batch(docs, schema, run, lambda: (Scorer(sent.value[0]), WordHashes())))
+    none = F.lit(None)
+    texts = docs.select("_chunk", F.lit(True).alias("_is_text"), "_key", "_text", none.cast("binary").alias("keys"), none.cast("binary").alias("values"))
+    values = values.select(F.col("chunk").alias("_chunk"), F.lit(False).alias("_is_text"), none.cast(kind).alias("_key"), none.cast("string").alias("_text"), "keys", "values")
+    rows = cut_lineage(texts.union(values).repartition("_chunk").sortWithinPartitions("_chunk", "_is_text").mapInArrow(run, schema))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())  # over the stored copy, so always the same
     rare = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("_t")).select("_row", F.col("_t.rare").alias("key"), F.col("_t.times").alias("times"))
     # the words that are not sent: each is rarer than the sent ones, so no key is hot

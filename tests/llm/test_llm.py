@@ -255,6 +255,55 @@ def test_context_tree_brute_force(spark):
     assert got == pytest.approx(want, rel=0.03)
 
 
+def test_context_tree_keeps_every_node(spark, monkeypatch):
+    """Enough nodes that some share a hash place, texts in many chunks: still every depth of every context takes part."""
+    monkeypatch.setattr(context_tree, "CHUNK", 3_000, raising=False)
+    rnd, depth = random.Random(7), context_tree.DEPTH
+    texts = ["".join(rnd.choice("abcdefghij ") for _ in range(150)) for _ in range(260)]
+    texts = [" ".join(t.split()) for t in texts]
+    train, counts, kids = texts[:200], collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+
+    def steps(t):
+        data = b"\xff" * depth + t.encode() + b"\xff"
+        for i in range(depth, len(data)):
+            for j in range(8):
+                yield data[i - depth : i], (1 << j) | (data[i] >> (8 - j)), data[i] >> (7 - j) & 1
+
+    for t in train:
+        for c, n, bit in steps(t):
+            for d in range(depth + 1):
+                counts[c[depth - d :], n][bit] += 1
+                if d:
+                    kids[c[depth - d + 1 :], n].add(c[depth - d :])
+
+    def own(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    below, block = {}, {}
+    for c, n in sorted(counts, key=lambda x: -len(x[0])):
+        k = own(*counts[c, n])
+        if len(c) < depth:
+            below[c, n] = sum(block[x, n] for x in kids[c, n])
+        block[c, n] = k if len(c) == depth else np.logaddexp(k, below[c, n]) - math.log(2)
+
+    def predict(c, n, bit):
+        p = 0.5
+        for d in range(depth, -1, -1):
+            at = c[depth - d :], n
+            if at in counts:
+                a = counts[at]
+                one = (a[bit] + 0.5) / (sum(a) + 1)
+                deepest = d == depth or not any((c[depth - e :], n) in counts for e in range(d + 1, depth + 1))
+                w = 1 / (1 + math.exp(min(700, below[at] - own(*a)))) if d < depth else 1
+                p = one if deepest else w * one + (1 - w) * p
+        return p
+
+    got = {r.doc_id: r.score for r in context_tree.score(docs_of(spark, texts), F.col("_key") < 200).collect()}
+    assert len(got) == len(texts)
+    for i in range(180, 260):
+        assert got[i] == pytest.approx(sum(math.log10(predict(c, n, b)) for c, n, b in steps(texts[i])), rel=1e-5)
+
+
 # ---- pages
 
 @pytest.mark.parametrize(("page", "text"), [
