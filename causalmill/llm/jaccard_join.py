@@ -3,7 +3,8 @@
 A text is the set of its distinct word shingles. All sets are sorted in one order, rare shingles first; two sets that link must share one of the
 first few (the prefix). Texts with the same prefix and size are one group; groups of like size that share a prefix shingle form a family (components
 of group pairs, which are stars per shingle and size, never all pairs). Families are then expanded: their texts are read once, cut into blocks if a family is
-large, and every pair of members that the prefix and size filters let through is verified on the whole sets, unless both are already known to be connected.
+large, and every pair of members that the prefix and size filters let through is verified on the whole sets. Each pair meets in one task only, which counts the
+links of each set; what leaves the task is one row per set, however many links there are.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def _prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, ``n_shingles`` and ``component_id``, the smallest key reachable by links, itself included.
+    """Per row: key, ``n_shingles``, ``component_id``, the smallest key reachable by links, itself included, and ``n_links``, the number of other rows it links to.
 
     Two rows link if den * |intersection| >= num * |union| of their sets. A text with fewer words than a shingle is one shingle; a null or wordless
     text has none, links with nothing and is its own component. Repeated rows link; null keys never are the smallest unless all are null.
@@ -119,7 +120,7 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
     made = per_batch(docs, f"_key {kind}, _r1 bigint, _r2 bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>", sets, lambda: Shingles(words))
     rows = cut_lineage(made.withColumn("set", F.when(F.col("n") > 0, F.xxhash64("s1", "s2", "n"))))
     classes = rows.where("set is not null").groupBy("set").agg(
-        F.min("_key").alias("least"), F.min(F.struct("_r1", "_r2")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min("_key").alias("least"), F.min(F.struct("_r1", "_r2")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("rows")
     )
     classes = cut_lineage(classes.withColumn("group", F.xxhash64("prefix", "n")))
 
@@ -134,38 +135,39 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
     family = components(cells.join(firsts, ["shingle", "cell"]).select(F.col("group").alias("b"), "a"))
     members = classes.join(family.withColumnRenamed("node", "group"), "group", "left").withColumn("family", F.coalesce("component", "group"))
     weights = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).where("sets > 1")
-    members = members.join(weights, "family").select("family", "set", "n", "row._r1", "row._r2", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(weights, "family").select("family", "set", "n", "rows", "row._r1", "row._r2", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "set"), F.col("blocks")).cast("int"))
 
     # a family's texts, once per pair of blocks
     texts = docs.select("_r1", "_r2", "_text").join(sent(cut_lineage(members)), ["_r1", "_r2"])  # equal rows are passed over where they meet
     release(df)
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    texts = texts.select("family", F.explode(pair).alias("at"), "block", "set", "_text").select("family", "at.i", "at.j", "block", "set", "_text")
-    links = _verified(texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set"), words, num, den, rank)
-    joined = components(links)
+    texts = texts.select("family", F.explode(pair).alias("at"), "block", "set", "rows", "_text").select("family", "at.i", "at.j", "block", "set", "rows", "_text")
+    links = cut_lineage(_verified(texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set"), words, num, den, rank))
+    joined = components(links.select("a", "b"))
+    linked = links.groupBy(F.col("a").alias("set")).agg(F.sum("n_links").alias("linked"))
     release(df)
 
-    both = classes.select("set", "least").join(joined.withColumnRenamed("node", "set"), "set", "left")
+    both = classes.select("set", "least", "rows").join(linked, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")
     smallest = both.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
-    of_set = both.join(smallest, "component", "left").select("set", F.coalesce("smallest", "least").alias("component_id"))
+    of_set = both.join(smallest, "component", "left").select("set", F.coalesce("smallest", "least").alias("component_id"), (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = rows.select("_key", "n", "set").join(of_set, "set", "left")
-    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_key").alias("component_id"))
+    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_key").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _verified(texts: DataFrame, words: int, num: int, den: int, rank: object) -> DataFrame:
-    """Links that connect what is connected within each (family, i, j): ``a``, ``b``; partitions are sorted, so one group is held at a time."""
+    """Per (family, i, j) and set with a link in it: the set ``a``, ``b`` to which it is tied, and ``n_links``; partitions are sorted, so one group is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, now, held = Shingles(words), None, []
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int]] = []
         for batch in batches:
-            for f, i, j, block, ident, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for f, i, j, block, ident, rows, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (f, i, j) != now:
                     found += connect(held, i_is_j(now), rank.value, num, den)
                     now, held = (f, i, j), []
                 if not held or held[-1][0] != ident:
-                    held.append((ident, block, shingles.of(text)))
+                    held.append((ident, block, shingles.of(text), rows))
             if len(found) > 10_000:
                 yield _edges(found)
                 found = []
@@ -175,44 +177,58 @@ def _verified(texts: DataFrame, words: int, num: int, den: int, rank: object) ->
     def i_is_j(at: tuple | None) -> bool:
         return at is None or at[1] == at[2]
 
-    return texts.mapInArrow(run, "a bigint, b bigint")
+    return texts.mapInArrow(run, "a bigint, b bigint, n_links bigint")
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _edges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1, 2)], names=["a", "b", "n_links"])
 
 
-def connect(held: list[tuple[int, int, np.ndarray]], one_block: bool, rank: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Star edges of the components among ``held`` (id, block, sorted set); with two blocks, only pairs across them are compared."""
+def connect(held: list[tuple[int, int, np.ndarray, int]], one_block: bool, rank: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
+    """For each of ``held`` (id, block, sorted set, rows) with a link: id, the first id of its component, and the rows of all sets it links to.
+
+    Every candidate pair is verified; with two blocks, only pairs across them are compared.
+    """
     if len(held) < 2:
         return []
     held = sorted(held, key=lambda x: (len(x[2]), x[0]))
     block = np.array([h[1] for h in held])
     size = np.array([len(h[2]) for h in held])
-    root = np.arange(len(held))
+    rows = np.array([h[3] for h in held], np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    # shingles by number, so that a set is a mark per number
+    _, flat = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+    flat = flat.astype(np.int32)
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    root, links = np.arange(len(held)), np.zeros(len(held), np.int64)
     index: dict[int, list[int]] = {}
-    for x, (_, _, s) in enumerate(held):
+    for x, (_, _, s, _) in enumerate(held):
         prefix = _prefix(s, rank, num, den).tolist()
         lists = [index[p] for p in prefix if p in index]
         if lists:
-            cand, shared = np.unique(np.concatenate([np.array(v) for v in lists]), return_counts=True)
-            fits = (size[cand] * den >= num * size[x]) & (root[cand] != root[x])
+            cand = np.unique(np.concatenate([np.array(v) for v in lists]))
+            fits = size[cand] * den >= num * size[x]
             if not one_block:
                 fits &= block[cand] != block[x]
-            cand = cand[fits][np.argsort(-shared[fits], kind="stable")]
-            while cand.size:
-                y = int(cand[0])
-                common = _common(held[y][2], s)
-                if den * common >= num * (len(s) + len(held[y][2]) - common):
-                    root[root == root[y]] = root[x]
-                cand = cand[1:]
-                cand = cand[root[cand] != root[x]]
+            cand = cand[fits]
+            if cand.size:
+                own = flat[ends[x] : ends[x + 1]]
+                mark[own] = True
+                common = _common(flat, ends, cand, mark)
+                mark[own] = False
+                cand = cand[den * common >= num * (size[x] + size[cand] - common)]
+                links[cand] += rows[x]
+                links[x] += rows[cand].sum()
+                while (cand := cand[root[cand] != root[x]]).size:
+                    root[root == root[cand[0]]] = root[x]
         for p in prefix:
             index.setdefault(p, []).append(x)
-    return [(held[x][0], held[int(r)][0]) for x, r in enumerate(root) if x != r]
+    return [(held[x][0], held[int(root[x])][0], int(links[x])) for x in np.flatnonzero(links)]
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+def _common(flat: np.ndarray, ends: np.ndarray, cand: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """How many shingles of each of ``cand`` (in order) are marked."""
+    low, high = int(cand[0]), int(cand[-1]) + 1
+    if high - low < 2 * len(cand):  # most of a stretch: read it whole
+        return np.add.reduceat(mark[flat[ends[low] : ends[high]]], ends[low:high] - ends[low], dtype=np.int64)[cand - low]
+    return np.array([np.count_nonzero(mark[flat[ends[y] : ends[y + 1]]]) for y in cand.tolist()], np.int64)

@@ -361,6 +361,25 @@ def test_jaccard_brute_force(spark, sf, k, sim, monkeypatch):
     assert got == brute_components(rows, k, *sim)
 
 
+@pytest.mark.parametrize("block", [500, jaccard_join.BLOCK])
+def test_jaccard_counts_every_link(spark, block, monkeypatch):
+    """A chain, whose ends do not link, a cluster, copies and lone texts: every linked pair counts, also within a component."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rnd = random.Random(2)
+    chain = [" ".join(f"c{j}" for j in range(3 * i, 3 * i + 100)) for i in range(30)]
+    base = [f"b{j}" for j in range(100)]
+    cluster = [" ".join(w if j != 50 + i % 3 else f"x{i}" for j, w in enumerate(base)) for i in range(25)]
+    texts = [*chain, *cluster, chain[4], chain[4].upper(), cluster[0], "lone words stand here", "a", "a", "", None, None]
+    texts += [" ".join(rnd.choice("pqrs") for _ in range(9)) for _ in range(80)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set())
+    want = [sum(i != j and bool(a) and bool(b) and 10 * len(a & b) >= 8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r.doc_id: r.n_links for r in jaccard_join.link(docs_of(spark, texts), 3, (80, 100)).collect()}
+    assert got == dict(enumerate(want)) and max(want) > 20
+
+
 def test_jaccard_odd(odd, none):
     rows = jaccard_join.link(odd).collect()
     assert len(rows) == odd.count() and all(r.component_id == r.doc_id for r in rows)
