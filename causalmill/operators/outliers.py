@@ -158,16 +158,11 @@ def outlier_isolation_forest(
     names = list(columns)
     known = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in names]).na.drop()
     n = known.count()
-    # hashes of the key decide, so a recomputed task picks the same rows; each tree keeps its first ``sample`` rows
-    wanted = 1.3 * sample * trees
-    if n >= wanted:  # long table: one draw of rows, shared out among the trees
-        chosen = known.where(F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 40)) < F.lit(int(wanted / n * (1 << 40))))
-        sampled = chosen.withColumn("tree", F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(trees)).cast("int")).withColumn("h", F.xxhash64("_key", F.lit(seed + 2)))
-    else:  # short table: every tree draws from all rows
-        p = min(1.0, 1.3 * sample / max(n, 1))
-        draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("_key"), t, F.lit(seed)).alias("h")))
-        picks = F.filter(draws, lambda s: F.pmod(s["h"], F.lit(1 << 40)) <= F.lit(int(p * (1 << 40))))
-        sampled = known.select("*", F.inline(picks))
+    # a hash of key and tree decides at every table length, so a recomputed task picks the same rows; each tree keeps its first ``sample`` rows
+    p = min(1.0, 1.3 * sample / max(n, 1))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("_key"), t, F.lit(seed)).alias("h")))
+    picks = F.filter(draws, lambda s: F.pmod(s["h"], F.lit(1 << 40)) <= F.lit(int(p * (1 << 40))))
+    sampled = known.select("*", F.inline(picks))
     height = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

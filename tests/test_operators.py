@@ -91,6 +91,26 @@ def test_dbscan_noise_brute_force(spark):
     np.testing.assert_array_equal(got, ~(core | (near & core[None]).any(axis=1)))
 
 
+def test_isolation_forest_draws_each_tree_from_all_rows(spark):
+    """A table far longer than all samples: a tree's rows are those with the least hashes of key and tree, whatever other trees hold."""
+    df = spark.range(3000).select("id", F.rand(3).alias("x")).localCheckpoint()
+    x = {r.id: r.x for r in df.collect()}
+    hashes = df.select("id", *[F.xxhash64("id", F.lit(t), F.lit(42)).alias(f"h{t}") for t in (0, 1)]).collect()
+    depth = np.zeros(len(x))
+    for t in (0, 1):
+        limit = int(1.3 * 64 / 3000 * (1 << 40))
+        rows = sorted((r[f"h{t}"], r.id) for r in hashes if r[f"h{t}"] % (1 << 40) <= limit)[:64]
+        nodes = outliers._grow_tree(np.array([[x[i]] for _, i in rows]), np.random.default_rng(42 + t), 6)
+        for i, v in x.items():
+            at = 0
+            while nodes[at][0] >= 0:
+                at = nodes[at][2] if v < nodes[at][1] else nodes[at][3]
+            depth[i] += nodes[at][1]
+    norm = float(outliers._average_path(np.array(64)))
+    for r in outliers.outlier_isolation_forest(df, ["x"], "id", trees=2, sample=64).collect():
+        assert abs(r.anomaly_score - 2.0 ** (-depth[r.id] / 2 / norm)) < 0.02
+
+
 def test_isolation_forest_finds_far_points(spark):
     rng = np.random.default_rng(0)
     pts = np.vstack([rng.normal(0, 1, (2000, 2)), [[9, 9], [-8, 9], [10, -9]]])
