@@ -19,7 +19,7 @@ from .decontaminate import words
 from .license_rules import Rule
 
 OPEN, CLOSE = "\x01", "\x02"  # never inside a word
-RULE = "array<struct<label:string,priority:int,weight:double,keywords:array<string>,pattern:string>>"
+RULE = "array<struct<rank:int,label:string,priority:int,weight:double,keywords:array<string>,pattern:string>>"
 
 
 def _let(value: Column, use) -> Column:
@@ -28,7 +28,7 @@ def _let(value: Column, use) -> Column:
 
 
 def _rules(rules: list[Rule]) -> Column:
-    return F.from_json(F.lit(json.dumps([r._asdict() for r in rules])), RULE)
+    return F.from_json(F.lit(json.dumps([{"rank": k, **r._asdict()} for k, r in enumerate(rules, 1)])), RULE)
 
 
 def spaced(words_of: Column) -> Column:
@@ -53,9 +53,8 @@ def spans(text: Column, pattern: Column) -> Column:
 def detections(text: Column, present: Column, rules: list[Rule]) -> Column:
     """All matches of the rules whose keywords are ``present``, as structs (first, last, rank, label, priority, weight)."""
     able = F.filter(_rules(rules), lambda r: (F.size(F.array_except(r["keywords"], present)) == 0) & F.rlike(text, r["pattern"]))
-    order = F.lit([r.pattern for r in rules])
     return F.flatten(F.transform(able, lambda r: F.transform(spans(text, r["pattern"]), lambda s: F.struct(
-        s["first"].alias("first"), s["last"].alias("last"), F.array_position(order, r["pattern"]).cast("int").alias("rank"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"),
+        s["first"].alias("first"), s["last"].alias("last"), r["rank"].alias("rank"), r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"),
     ))))
 
 
@@ -89,17 +88,16 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[R
     stored = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))  # the numbers stay, as the rows are stored with them
 
     plain = stored.where(F.size("_all") == 0).select(F.col("_key").alias(key), "n_words", F.array_sort("base").alias("base"), F.col("_all").alias("found"))
-    at = stored.where(F.size("_all") > 0).select("_row", "_key", "n_words", "base", F.explode("_all").alias("d")).withColumn("_one", F.col("d.first"))
+    held = stored.where(F.size("_all") > 0)
+    at = held.select("_row", F.explode("_all").alias("d"))  # nothing else of the row, which may hold many
     before = Window.partitionBy("_row").orderBy("d.first", F.desc("d.last"), "d.priority", "d.rank").rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted({r.priority for r in rules})
     covered = F.lit(False)
     for level in levels:  # a detection that comes before and ends no sooner holds this one
         end = F.max(F.when(F.col("d.priority") == level, F.col("d.last"))).over(before)
         covered = covered | ((F.col("d.priority") >= level) & F.coalesce(end >= F.col("d.last"), F.lit(False)))
-    kept = at.withColumn("_in", covered).groupBy("_row").agg(
-        F.first("_key").alias(key), F.first("n_words").alias("n_words"), F.array_sort(F.first("base")).alias("base"),
-        F.array_sort(F.collect_list(F.when(~F.col("_in"), F.col("d")))).alias("found"),
-    ).drop("_row")
+    left = at.withColumn("_in", covered).groupBy("_row").agg(F.array_sort(F.collect_list(F.when(~F.col("_in"), F.col("d")))).alias("found"))
+    kept = held.join(left, "_row").select(F.col("_key").alias(key), "n_words", F.array_sort("base").alias("base"), "found")
     return plain.unionByName(kept)
 
 
