@@ -2,42 +2,27 @@
 
 A text is the multiset of its paragraphs. Each paragraph is hashed to a wide vector, and the vectors are summed modulo powers of two: the order of paragraphs
 does not matter, and one is put in or taken out by adding or subtracting its vector. A vector has a count of sentences, DENSE lanes of the
-whole paragraph (equality), and sampled lanes, each of which sums the sentences picked at a rate of 1/2^level: the share of sampled lanes that
-two texts have in common tells how many sentences differ. DataFrame operations only.
+whole paragraph (equality), and COUNTERS small counters, each of the sentences whose hash falls on it: how far the counters of two texts are apart tells
+how many sentences differ. DataFrame operations only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut_lineage
 
-#: Lanes of 32 bits of the whole paragraph; levels and lanes of 16 bits per level of sampled sentences.
-DENSE, LEVELS, PER_LEVEL = 8, 12, 4
-LANES = LEVELS * PER_LEVEL
+#: Lanes of 32 bits of the whole paragraph; lanes of packed counters, counters of a lane and their bits.
+DENSE, LANES, PACKED, BITS = 8, 64, 3, 20
+COUNTERS, FIELD = LANES * PACKED, (1 << BITS) - 1
+WHOLE = (1 << (PACKED * BITS)) - 1
 #: Rows between two cuts of the key order, about; the most cuts, which bounds what is sent to the executors; quantiles of the key.
 CUT_ROWS, MOST_CUTS, QUANTILES = 2_000, 100_000, 128
 
 
-def _differing() -> list[float]:
-    """By the number of equal sampled lanes: the number of differing sentences at which so many are expected."""
-    out = []
-    for equal in range(LANES + 1):
-        low, high = 0.0, float(8 << LEVELS)
-        for _ in range(60):
-            d = (low + high) / 2
-            expected = sum(PER_LEVEL * (1 - 0.5**level) ** d for level in range(1, LEVELS)) + PER_LEVEL * (d < 0.5)
-            low, high = (d, high) if expected > max(equal, 0.5) else (low, d)
-        out.append(high)
-    out[LANES] = 0.0
-    return out
-
-
-DIFFERING = _differing()
-
-
 def vectors(df: DataFrame, text: str, by: list[str]) -> DataFrame:
     """Per group ``by`` (a row of ``df``, or rows whose texts are put together): ``n`` sentences, ``dense`` and ``sampled`` lanes (arrays)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -45,58 +30,76 @@ def vectors(df: DataFrame, text: str, by: list[str]) -> DataFrame:
     par = par.withColumn("_own", F.xxhash64("_par"))
     sen = par.select(*by, "_own", F.posexplode_outer(F.split("_par", r"(?<=[.!?]) ")).alias("_at", "_sen"))
     sen = sen.select(*by, F.when(F.col("_at") == 0, F.col("_own")).alias("_own"), F.when(F.col("_sen").isNotNull(), F.xxhash64("_sen")).alias("_h"))
-    for i in range(PER_LEVEL):
-        sen = sen.withColumn(f"_g{i}", F.when(F.col("_h").isNotNull(), F.xxhash64("_h", F.lit(i))))
+    place = F.pmod("_h", F.lit(COUNTERS))
+    sen = sen.select(*by, "_own", "_h", F.floor(place / PACKED).cast("int").alias("_lane"), F.expr(f"shiftleft(1L, {BITS} * cast(pmod(_h, {COUNTERS}) % {PACKED} AS int))").alias("_one"))
     lanes = [F.sum(F.when(F.col("_own").isNotNull(), F.xxhash64("_own", F.lit(100 + j)).bitwiseAND(F.lit(0xFFFFFFFF)))) for j in range(DENSE)]
-    picked = [
-        F.sum(F.when(F.col(f"_g{i}").bitwiseAND(F.lit((1 << level) - 1)) == 0, F.shiftrightunsigned(F.col(f"_g{i}"), 48)))
-        for level in range(LEVELS) for i in range(PER_LEVEL)
-    ]
-    agg = sen.groupBy(*by).agg(F.count("_h").alias("n"), *[x.alias(f"_d{j}") for j, x in enumerate(lanes)], *[x.alias(f"_s{j}") for j, x in enumerate(picked)])
+    counts = [F.sum(F.when(F.col("_lane") == j, F.col("_one"))) for j in range(LANES)]
+    agg = sen.groupBy(*by).agg(F.count("_h").alias("n"), *[x.alias(f"_d{j}") for j, x in enumerate(lanes)], *[x.alias(f"_s{j}") for j, x in enumerate(counts)])
     return agg.select(
         *by, "n",
         F.array(*[F.coalesce(F.col(f"_d{j}"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(DENSE)]).alias("dense"),
-        F.array(*[F.coalesce(F.col(f"_s{j}"), F.lit(0)).bitwiseAND(F.lit(0xFFFF)) for j in range(LANES)]).alias("sampled"),
+        F.array(*[F.coalesce(F.col(f"_s{j}"), F.lit(0)).bitwiseAND(F.lit(WHOLE)) for j in range(LANES)]).alias("counts"),
     )
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
-    """The vector (struct n, dense, sampled) of the texts of ``a`` and ``b`` together; with sign -1, of ``a`` without the paragraphs of ``b``."""
+    """The vector (struct n, dense, counts) of the texts of ``a`` and ``b`` together; with sign -1, of ``a`` without the paragraphs of ``b``."""
 
     def lane(mask: int):
         return lambda x, y: (x + sign * y).bitwiseAND(F.lit(mask))
 
     return F.struct(
         (a["n"] + sign * b["n"]).alias("n"), F.zip_with(a["dense"], b["dense"], lane(0xFFFFFFFF)).alias("dense"),
-        F.zip_with(a["sampled"], b["sampled"], lane(0xFFFF)).alias("sampled"),
+        F.zip_with(a["counts"], b["counts"], lane(WHOLE)).alias("counts"),
     )
 
 
+def _fields(lane: Column) -> list[Column]:
+    return [F.shiftrightunsigned(lane, BITS * i).bitwiseAND(F.lit(FIELD)) for i in range(PACKED)]
+
+
 def fingerprint(v: Column) -> Column:
-    """A vector as hexadecimal digits: count, dense lanes, sampled lanes."""
+    """A vector as hexadecimal digits: count, dense lanes, counters modulo 256."""
 
     def digits(x: Column, n: int) -> Column:
         return F.lower(F.lpad(F.hex(x), n, "0"))
 
-    return F.concat(digits(v["n"], 8), F.concat_ws("", F.transform(v["dense"], lambda x: digits(x, 8))), F.concat_ws("", F.transform(v["sampled"], lambda x: digits(x, 4))))
+    counters = F.transform(v["counts"], lambda x: F.concat(*[digits(f.bitwiseAND(F.lit(255)), 2) for f in _fields(x)]))
+    return F.concat(digits(v["n"], 8), F.concat_ws("", F.transform(v["dense"], lambda x: digits(x, 8))), F.concat_ws("", counters))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimate of shared / all sentences from two vectors; 1 if they are equal, and for two empty texts."""
-    equal = F.size(F.filter(F.zip_with(a["sampled"], b["sampled"], lambda x, y: x == y), lambda e: e))
-    table = F.array(*[F.lit(x) for x in DIFFERING])
-    both = a["n"] + b["n"]
-    differ = F.least(F.greatest(F.element_at(table, equal + 1), F.abs(a["n"] - b["n"]).cast("double")), both.cast("double"))
+    """Estimate of shared / all sentences from two vectors; 1 if they are equal, and for two empty texts.
+
+    The distance of the counters is the number of differing sentences, less those that meet on a counter from both sides: with p and q that only one text
+    has, about 2 p q / COUNTERS. Where most counters are apart, the squares, which grow with the number of differing sentences, give the better estimate.
+    """
+    apart = F.flatten(F.zip_with(a["counts"], b["counts"], lambda x, y: F.array(*[i - j for i, j in zip(_fields(x), _fields(y), strict=True)])))
+    sums = F.transform(F.array(apart), lambda d: F.struct(
+        F.aggregate(d, F.lit(0).cast("long"), lambda s, x: s + F.abs(x)).cast("double").alias("l1"), F.aggregate(d, F.lit(0.0), lambda s, x: s + x.cast("double") * x).alias("l2"),
+        F.size(F.filter(d, lambda x: x == 0)).alias("alike"),
+    ))[0]
+    more = (a["n"] - b["n"]).cast("double")
+    both = (a["n"] + b["n"]).cast("double")
+
+    def share(s: Column) -> Column:
+        met = s["l1"] + (s["l1"] + more) * (s["l1"] - more) / 2 / COUNTERS
+        differ = F.when(3 * s["alike"] < COUNTERS, F.greatest(met, s["l2"] - more * more / COUNTERS)).otherwise(met)
+        differ = F.least(F.greatest(differ, F.abs(more)), both)
+        return F.coalesce(F.try_divide(both - differ, both + differ), F.lit(0.0))
+
     same = (a["n"] == b["n"]) & (a["dense"] == b["dense"])
-    return F.when(same, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(both - differ, both + differ), F.lit(0.0)))
+    return F.when(same, F.lit(1.0)).otherwise(F.transform(F.array(sums), share)[0])
 
 
 def with_next(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each row with the text of the row with the next lower key (after the lowest: the highest): ``_bucket _key _text _next``.
 
-    Ties go by text; a null key comes last. The key order is cut into stretches that are sorted apart, and the first row of each
+    Keys are whole numbers. Ties go by text; a null key comes last. The key order is cut into stretches that are sorted apart, and the first row of each
     stretch is sent to the end of the one before it, so texts are shuffled once.
     """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number, not {df.schema[key].dataType.simpleString()}")
     rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_k"))
     keys = rows.select("_k")
     n = keys.count()
@@ -149,7 +152,7 @@ def edited(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("body")) for i, c in enumerate(("_text", "_edit", "_next"))])
     by = ["_bucket", "_row", "_key", "_n", "_sha"]
     each = vectors(rows.select(*by, F.explode(kinds).alias("_of")).select(*by, "_of.kind", "_of.body"), "body", [*by, "kind"])
-    vector = F.struct("n", "dense", "sampled")
+    vector = F.struct("n", "dense", "counts")
     wide = each.groupBy(*by).agg(*[F.max(F.when(F.col("kind") == i, vector)).alias(f"_v{i}") for i in range(3)])
     own, edit, nxt = (F.col(f"_v{i}") for i in range(3))
     return wide.select(
