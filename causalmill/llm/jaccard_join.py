@@ -1,30 +1,39 @@
 """N-gram Jaccard join by grouped prefixes, and the components its links form.
 
 A text is the set of its distinct word shingles. All sets are sorted in one order, rare shingles first; two sets that link must share one of the
-first few (the prefix). Texts with the same prefix and size are one group; groups of like size that share a prefix shingle form a family (components
-of group pairs, which are stars per shingle and size, never all pairs). Families are then expanded: their texts are read once, cut into blocks if a family is
-large, and every pair of members that the prefix and size filters let through is verified on the whole sets. Each pair meets in one task only, which counts the
-links of each set; what leaves the task is one row per set, however many links there are.
+first few (the prefix). Texts with the same prefix and size are one group. What brings groups together are neighbours in the order: two sets that link have
+two common shingles with nothing between them in either, not far from the front, as every shingle of one set only can part one pair of neighbours. A pair of
+rare neighbours is shared by chance far less often than a single shingle, so groups that meet are near copies, at any size of the corpus. Sizes that can link are
+tied along each pair of neighbours, first inside a task, then between tasks, by intervals of sizes: a shingle pair in a third of all texts sends a few rows
+per task. Texts tied together are read once, cut into blocks if they are many; there group pairs are filtered by size and by what their prefixes share, and
+the members of those that are left are verified on the whole sets. Each pair meets in one task only, which counts the links of each set; what leaves the
+task is one row per set, however many links there are.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from ..functions.lineage import cut_lineage
-from .common import C1, C2, WordHashes, ascii_words, mix, per_batch, release, sent
+from .common import C1, SLICE, WordHashes, ascii_words, mix, sent
 from .components import components
 
 #: log2 of the places of the frequency table behind the order of shingles: PER_ROW for each text within these bounds; places of one stretch of it.
 LEAST, MOST, PER_ROW, STRETCH = 20, 26, 32, 1 << 14
 #: Shingles of a family's block, about; a pair of blocks is what one task holds.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
+#: Neighbours a task ties before it passes on what is left.
+WAITING = 500_000
 
 
 class Shingles:
@@ -88,10 +97,47 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-def _prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n - ceil(num/den * n) + 1 shingles, rare ones first."""
-    order = np.argsort(rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)], kind="stable")
-    return s[order[: len(s) - -(-num * len(s) // den) + 1]]
+def _ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles, rare ones first."""
+    return s[np.argsort(rank[(s & np.uint64(len(rank) - 1)).astype(np.int64)], kind="stable")]
+
+
+def _prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _reach(n: int, num: int, den: int) -> int:
+    """Two linked, different sets have neighbours in common within this many shingles of the one of size ``n``.
+
+    With u shingles that only this set has and v that only the other has, at most u + v of the gaps between common shingles are spoilt. The first
+    gap that is not ends within 2 u + v + 2 places: each earlier gap holds one of the u or v, and of the places before it u at most are not common.
+    """
+    m = np.arange(-(-num * n // den), n * den // num + 1)
+    common = -(-num * (n + m) // (num + den))
+    return int(np.max(2 * (n - common) + (m - common))) + 2
+
+
+def _keys(ordered: np.ndarray, num: int, den: int) -> np.ndarray:
+    """What linked sets have one of in common: pairs of neighbours; below a similarity of 3/4, where two sets need have none, the shingles of the prefix."""
+    if num < 3 * (den - num):
+        return ordered[: _prefix_size(len(ordered), num, den)]
+    near = ordered[: _reach(len(ordered), num, den)]
+    return mix(near[:-1] * C1 + near[1:])
+
+
+def _ties(key: np.ndarray, size: np.ndarray, group: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of groups of like size that are next to each other under a key, and what is left: one interval of sizes for each run of such pairs.
+
+    Sizes between two of a run are like one of them, so whatever falls into an interval belongs to its run. Rows: (2, pairs), then keys, (3, intervals).
+    """
+    at = np.lexsort((group, size, key))
+    key, size, group = key[at], size[at], group[at]
+    same = (key[1:] == key[:-1]) & (size[:-1] * den >= num * size[1:])
+    pairs = np.stack([group[:-1][same], group[1:][same]])
+    first = np.flatnonzero(np.r_[True, ~same])
+    last = np.r_[first[1:], len(key)] - 1
+    return pairs[:, pairs[0] != pairs[1]], key[first], np.stack([size[first], size[last], group[first]])
 
 
 def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -105,34 +151,18 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
     docs = docs.withColumns({"_r1": F.xxhash64("_key", "_text"), "_r2": F.xxhash64("_text")})
     context = df.sparkSession.sparkContext
     rank = context.broadcast(_frequencies(docs, words))
-
-    def sets(data: dict, shingles: Shingles) -> dict:
-        out: dict[str, list] = {c: [] for c in ("n", "s1", "s2", "prefix")}
-        for t in data["_text"]:
-            s = shingles.of(t)
-            out["n"].append(len(s))
-            out["s1"].append(int((s * C1).sum(dtype=np.uint64).astype(np.int64)))
-            out["s2"].append(int(np.bitwise_xor.reduce(mix(s + C2)).astype(np.int64)) if len(s) else 0)
-            out["prefix"].append(_prefix(s, rank.value, num, den).view(np.int64) if len(s) else [])
-        return {c: data[c] for c in ("_key", "_r1", "_r2")} | out
-
-    kind = dict(df.dtypes)[key]
-    made = per_batch(docs, f"_key {kind}, _r1 bigint, _r2 bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>", sets, lambda: Shingles(words))
-    rows = cut_lineage(made.withColumn("set", F.when(F.col("n") > 0, F.xxhash64("s1", "s2", "n"))))
-    classes = rows.where("set is not null").groupBy("set").agg(
-        F.min("_key").alias("least"), F.min(F.struct("_r1", "_r2")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("rows")
-    )
-    classes = cut_lineage(classes.withColumn("group", F.xxhash64("prefix", "n")))
-
-    # families: groups that share a shingle of their prefixes and are near in size. Linked sizes differ by at most the factor num/den, so they lie in one or two
-    # neighbouring steps of that factor; a cell is two such steps, and in each cell of a shingle all groups are tied to the first
-    keys = classes.dropDuplicates(["group"]).select("group", "n", F.explode("prefix").alias("shingle"))
-    shared = keys.groupBy("shingle").agg(F.count("*").alias("groups")).where("groups > 1").select("shingle")
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) if den > num else 1.0) + F.lit(1e-9))
-    cells = cut_lineage(keys.join(shared, "shingle").select("group", "shingle", F.explode(F.array(step - 1, step)).alias("cell")))
-    release(df)
-    firsts = cells.groupBy("shingle", "cell").agg(F.min("group").alias("a"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-    family = components(cells.join(firsts, ["shingle", "cell"]).select(F.col("group").alias("b"), "a"))
+    made = cut_lineage(_sets(docs, words, num, den, rank))
+    rows = made.where("kind = 0").select("_key", "_r1", "_r2", "n", F.col("a").alias("set"), F.col("b").alias("group"))
+    classes = cut_lineage(rows.where("set is not null").groupBy("set").agg(
+        F.min("_key").alias("least"), F.min(F.struct("_r1", "_r2")).alias("row"), F.first("n").alias("n"), F.first("group").alias("group"), F.count("*").alias("rows")
+    ))
+
+    # intervals of sizes under a key, in order: one that begins within reach of those before it joins them
+    left = made.where("kind = 2").select(F.col("a").alias("key"), "n", F.col("b").alias("to"), F.col("c").alias("group"))
+    before = Window.partitionBy("key").orderBy("n", "to", "group")
+    near = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1)) * den >= F.col("n") * num
+    across = left.select(F.lag("group").over(before).alias("a"), F.col("group").alias("b"), near.alias("near")).where("near and a != b").select("a", "b")
+    family = components(made.where("kind = 1").select("a", "b").unionByName(across))
     members = classes.join(family.withColumnRenamed("node", "group"), "group", "left").withColumn("family", F.coalesce("component", "group"))
     weights = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).where("sets > 1")
     members = members.join(weights, "family").select("family", "set", "n", "rows", "row._r1", "row._r2", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
@@ -140,13 +170,11 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
 
     # a family's texts, once per pair of blocks
     texts = docs.select("_r1", "_r2", "_text").join(sent(cut_lineage(members)), ["_r1", "_r2"])  # equal rows are passed over where they meet
-    release(df)
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     texts = texts.select("family", F.explode(pair).alias("at"), "block", "set", "rows", "_text").select("family", "at.i", "at.j", "block", "set", "rows", "_text")
     links = cut_lineage(_verified(texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "set"), words, num, den, rank))
     joined = components(links.select("a", "b"))
     linked = links.groupBy(F.col("a").alias("set")).agg(F.sum("n_links").alias("linked"))
-    release(df)
 
     both = classes.select("set", "least", "rows").join(linked, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")
     smallest = both.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
@@ -155,6 +183,63 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_key").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _sets(docs: DataFrame, words: int, num: int, den: int, rank: object) -> DataFrame:
+    """Three kinds of rows: 0, a text with its size, set ``a`` and group ``b``; 1, a tie between groups ``a`` and ``b``; 2, under key ``a`` an interval of sizes ``n``..``b`` of group ``c``."""
+    schema = f"kind int, _key {dict(docs.dtypes)['_key']}, _r1 bigint, _r2 bigint, n bigint, a bigint, b bigint, c bigint"
+    key_type = to_arrow_type(docs.schema["_key"].dataType)
+    names = ["kind", "_key", "_r1", "_r2", "n", "a", "b", "c"]
+
+    def rows(kind: int, count: int, **columns: object) -> pa.RecordBatch:
+        given = {"kind": pa.array(np.full(count, kind, np.int32))} | columns
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(count, key_type if c == "_key" else pa.int64())) for c in names], names=names)
+
+    def signed(values: np.ndarray) -> pa.Array:
+        return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, waiting, held = Shingles(words), [], 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(k) for k, _, _ in waiting])
+            key = np.concatenate([k for k, _, _ in waiting])
+            pairs, at, left = _ties(key, np.repeat([n for _, n, _ in waiting], sizes), np.repeat(np.array([g for _, _, g in waiting], np.int64), sizes), num, den)
+            yield rows(1, pairs.shape[1], a=signed(pairs[0]), b=signed(pairs[1]))
+            yield rows(2, len(at), n=signed(left[0]), a=signed(at), b=signed(left[1]), c=signed(left[2]))
+
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                sizes, sets, groups = [], [], []
+                for t in batch.column(1).to_pylist():
+                    s = shingles.of(t)
+                    n = len(s)
+                    sizes.append(n)
+                    if not n:
+                        sets.append(None)
+                        groups.append(None)
+                        continue
+                    order = _ordered(s, rank.value)
+                    sets.append(_signed_hash(s.tobytes()))
+                    groups.append(_signed_hash(order[: _prefix_size(n, num, den)].tobytes() + n.to_bytes(8)))
+                    keys = _keys(order, num, den)
+                    if len(keys):
+                        waiting.append((keys, n, groups[-1]))
+                        held += len(keys)
+                yield rows(0, batch.num_rows, _key=batch.column(0), _r1=batch.column(2), _r2=batch.column(3), n=pa.array(sizes, pa.int64()), a=pa.array(sets, pa.int64()), b=pa.array(groups, pa.int64()))
+                if held >= WAITING:
+                    yield from settle()
+                    waiting, held = [], 0
+        if waiting:
+            yield from settle()
+
+    return docs.select("_key", "_text", "_r1", "_r2").mapInArrow(run, schema)
+
+
+def _signed_hash(data: bytes) -> int:
+    h = xxhash.xxh64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _verified(texts: DataFrame, words: int, num: int, den: int, rank: object) -> DataFrame:
     """Per (family, i, j) and set with a link in it: the set ``a``, ``b`` to which it is tied, and ``n_links``; partitions are sorted, so one group is held at a time."""
 
@@ -187,7 +272,9 @@ def _edges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def connect(held: list[tuple[int, int, np.ndarray, int]], one_block: bool, rank: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
     """For each of ``held`` (id, block, sorted set, rows) with a link: id, the first id of its component, and the rows of all sets it links to.
 
-    Every candidate pair is verified; with two blocks, only pairs across them are compared.
+    Sets with one prefix and size are a group. Group pairs that share a shingle of their prefixes pass if their sizes can link and the prefixes share enough:
+    what is common beyond the prefix that ends first is at most the rest of that set. Members of the pairs that pass are verified; with two
+    blocks, only pairs across them are compared.
     """
     if len(held) < 2:
         return []
@@ -200,29 +287,53 @@ def connect(held: list[tuple[int, int, np.ndarray, int]], one_block: bool, rank:
     _, flat = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
     flat = flat.astype(np.int32)
     mark = np.zeros(int(flat.max()) + 1, bool)
-    root, links = np.arange(len(held)), np.zeros(len(held), np.int64)
-    index: dict[int, list[int]] = {}
+
+    groups: dict[tuple[int, bytes], int] = {}
+    prefixes, members = [], []
     for x, (_, _, s, _) in enumerate(held):
-        prefix = _prefix(s, rank, num, den).tolist()
-        lists = [index[p] for p in prefix if p in index]
+        prefix = _ordered(s, rank)[: _prefix_size(len(s), num, den)]
+        g = groups.setdefault((len(s), prefix.tobytes()), len(prefixes))
+        if g == len(prefixes):
+            prefixes.append(prefix)
+            members.append([])
+        members[g].append(x)
+    length = np.array([len(p) for p in prefixes])
+    n = size[[m[0] for m in members]]
+    spare = n - length  # shingles beyond the prefix
+    # postings: shingles in order, groups in order under each; place of each group's shingles among them
+    every, owner = np.concatenate(prefixes), np.repeat(np.arange(len(prefixes), dtype=np.int32), length)
+    at = np.argsort(every, kind="stable")
+    new = np.r_[True, every[at][1:] != every[at][:-1]]
+    begin_of = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    place = np.empty(len(at), np.int64)
+    place[at] = np.arange(len(at))
+    posting, starts = owner[at], np.concatenate([[0], np.cumsum(length)])
+
+    root, links = np.arange(len(held)), np.zeros(len(held), np.int64)
+    for g, own_members in enumerate(members):
+        here = place[starts[g] : starts[g + 1]]
+        lists = [posting[b:e] for b, e in zip(begin_of[here].tolist(), here.tolist()) if b < e]
+        near = np.zeros(0, np.int64)
         if lists:
-            cand = np.unique(np.concatenate([np.array(v) for v in lists]))
-            fits = size[cand] * den >= num * size[x]
-            if not one_block:
-                fits &= block[cand] != block[x]
-            cand = cand[fits]
-            if cand.size:
-                own = flat[ends[x] : ends[x + 1]]
-                mark[own] = True
-                common = _common(flat, ends, cand, mark)
-                mark[own] = False
-                cand = cand[den * common >= num * (size[x] + size[cand] - common)]
-                links[cand] += rows[x]
-                links[x] += rows[cand].sum()
-                while (cand := cand[root[cand] != root[x]]).size:
-                    root[root == root[cand[0]]] = root[x]
-        for p in prefix:
-            index.setdefault(p, []).append(x)
+            near, shared = np.unique(np.concatenate(lists), return_counts=True)
+            needed = -(-num * (n[g] + n[near]) // (num + den)) - np.maximum(spare[g], spare[near])
+            near = near[(n[near] * den >= num * n[g]) & (shared >= needed)]
+        others = [y for h in near.tolist() for y in members[h]]
+        for k, x in enumerate(own_members):
+            cand = np.array(sorted(others + own_members[:k]), np.int64)
+            if not one_block and cand.size:
+                cand = cand[block[cand] != block[x]]
+            if not cand.size:
+                continue
+            own = flat[ends[x] : ends[x + 1]]
+            mark[own] = True
+            common = _common(flat, ends, cand, mark)
+            mark[own] = False
+            cand = cand[den * common >= num * (size[x] + size[cand] - common)]
+            links[cand] += rows[x]
+            links[x] += rows[cand].sum()
+            while (cand := cand[root[cand] != root[x]]).size:
+                root[root == root[cand[0]]] = root[x]
     return [(held[x][0], held[int(root[x])][0], int(links[x])) for x in np.flatnonzero(links)]
 
 
