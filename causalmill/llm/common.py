@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,14 @@ from ..functions.lineage import row_bound
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: Rows handed to Python at a time; a slice of this many rows is what a task holds besides its input batch.
-SLICE = 512
+#: Rows handed to Python at a time, and bytes of text they may hold (one row may be longer); such a slice is what a task holds besides its input batch.
+SLICE, SLICE_BYTES = 512, 1 << 21
 #: A table of at most this many rows is sent to every executor; a longer one is joined by shuffle, with the same result.
 SENT_ROWS = 200_000
+#: So is one of at most this many bytes, where rows have no fixed width.
+SENT_BYTES = 1 << 25
 #: Words kept with their hash, per task.
-WORDS = 400_000
+WORDS = 200_000
 
 
 class WordHashes:
@@ -59,14 +62,12 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
-def sent(df: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
-    """Marked for sending if it is counted and short."""
-    return F.broadcast(df) if row_bound(df, limit) <= limit else df
-
-
-def release(df: DataFrame) -> None:
-    """Have the driver drop what finished steps left: shuffle files go once nothing refers to them and the JVM has looked."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+def sent(df: DataFrame, limit: int = SENT_ROWS, size: Column | None = None) -> DataFrame:
+    """Marked for sending if it is counted and short; ``size`` gives the bytes of rows that have no fixed width."""
+    if size is None:
+        return F.broadcast(df) if row_bound(df, limit) <= limit else df
+    rows, held = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if rows <= limit and (held or 0) <= SENT_BYTES else df
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -79,6 +80,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and SLICE_BYTES bytes of text; a longer row is a slice of its own."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            held += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(held)
+    begin = 0
+    while begin < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SLICE_BYTES, side="right"))
+        end = min(begin + rows, batch.num_rows, max(begin + 1, full))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def per_batch(df: DataFrame, schema: str, fn: Callable[..., dict[str, object]], setup: Callable[[], object] | None = None, rows: int = SLICE) -> DataFrame:
     """Map slices of at most ``rows`` rows: ``fn`` gets {column: list} (and what ``setup`` made once per task), gives {column: values}.
 
@@ -90,8 +106,7 @@ def per_batch(df: DataFrame, schema: str, fn: Callable[..., dict[str, object]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 data = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
                 out = fn(data, state) if setup else fn(data)
                 yield pa.RecordBatch.from_arrays([_array(out[n], arrow[n]) for n in names], names=names)
@@ -106,9 +121,9 @@ def keep_rows(df: DataFrame, text: str, keep: Callable[[list[str], object], Sequ
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup()
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                yield part.filter(pa.array([bool(k) for k in keep([t or "" for t in part.column(at).to_pylist()], state)], pa.bool_()))
+            texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
+            kept = [bool(k) for part in slices(texts, rows) for k in keep([t or "" for t in part.column(0).to_pylist()], state)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

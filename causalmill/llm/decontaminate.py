@@ -35,11 +35,10 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     return docs.select(F.explode(words(F.col(text))).alias("term")).join(sent(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, ``n_words``, ``n_hit`` (words inside an occurrence of a window of an item), ``item_ids`` (sorted strings).
+def hits(docs: DataFrame, items: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The distinct rows of ``docs`` in which a window of an item occurs, stored: ``_key``, ``_hash`` (of the text), ``n_words``, ``n_hit``, ``item_ids``; see ``contamination``.
 
-    A window is ``window`` consecutive words of an item, or the whole item if it has fewer (but some). Null or wordless texts have no words and
-    hits; a null item key is reported as the text ``null``. Equal rows are answered alike, each on its own.
+    Only candidates are read again in full, so a filter on the answer costs nothing.
     """
     docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     tests = items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("null")).alias("item_id"), words(F.coalesce(F.col(item_text), F.lit(""))).alias("item_words"))
@@ -64,26 +63,35 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str
         .groupBy("_key", "_hash", "item", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set("ipos").alias("seen"))
     )
     found = met.join(sent(pairs), "item").where(F.exists("pairs", lambda p: F.size(F.array_except(p, F.col("seen"))) == 0))
-    found = found.select("_key", "_hash", "item", "diagonal").join(sent(tests), "item")
-    candidates = cut_lineage(found.groupBy("_key", "_hash").agg(F.collect_list(F.struct("item_id", "item_words", "diagonal")).alias("found")))
+    candidates = found.groupBy("_key", "_hash").agg(F.collect_set(F.struct("item", "diagonal")).alias("found"))
+    candidates = cut_lineage(candidates.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "found"))
 
     # the words of a candidate, compared on its diagonal; starts of the windows that occur
-    def occurs(c: Column) -> Column:
-        same = F.concat_ws("", F.transform(c["item_words"], lambda w, i: F.when(F.get(F.col("_words"), c["diagonal"] + i) == w, "1").otherwise("0")))
-        n = F.size(c["item_words"])
-        long = F.least(F.lit(window), n)
-        starts = F.filter(F.sequence(F.lit(0), n - long), lambda s: F.substr(same, s + 1, long) == F.repeat(F.lit("1"), long))
-        return F.struct(c["item_id"].alias("item_id"), F.transform(starts, lambda s: F.struct((c["diagonal"] + s).alias("a"), (c["diagonal"] + s + long - 1).alias("b"))).alias("runs"))
-
-    keyed = candidates.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "found")
-    out = docs.join(sent(keyed), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
-    out = out.select("_key", "found", words(F.col("_text")).alias("_words"))
-    none = F.array().cast("array<struct<item_id:string,runs:array<struct<a:int,b:int>>>>")
-    out = out.withColumn("_hits", F.coalesce(F.filter(F.transform("found", occurs), lambda h: F.size(h["runs"]) > 0), none))
-    positions = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.flatten(F.transform(h["runs"], lambda r: F.sequence(r["a"], r["b"]))))))
+    same_row = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
+    read = docs.join(sent(candidates, size=16 * F.size("found")), same_row).select("_key", "_hash", "found", words(F.col("_text")).alias("_words"))
+    read = read.select("_key", "_hash", "_words", F.inline("found")).join(sent(tests, size=F.length(F.concat_ws(" ", "item_words"))), "item")
+    n, at = F.size("item_words"), F.col("diagonal")
+    same = F.concat_ws("", F.transform("item_words", lambda w, i: F.when(F.get(F.col("_words"), at + i) == w, "1").otherwise("0")))
+    read = read.select("_key", "_hash", F.size("_words").cast("long").alias("n_words"), "item_id", "diagonal", F.least(F.lit(window), n).alias("long"), F.inline(F.array(F.struct(same.alias("same")))))
+    starts = F.filter(F.sequence(F.lit(0), F.length("same") - F.col("long")), lambda s: F.substr("same", s + 1, F.col("long")) == F.repeat(F.lit("1"), F.col("long")))
+    read = read.select("_key", "_hash", "n_words", "item_id", F.flatten(F.transform(starts, lambda s: F.sequence(at + s, at + s + F.col("long") - 1))).alias("positions"))
+    return cut_lineage(read.where(F.size("positions") > 0).groupBy("_key", "_hash").agg(
+        F.first("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("item_ids"),
+    ))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per row of ``docs``: key, ``n_words``, ``n_hit`` (words inside an occurrence of a window of an item), ``item_ids`` (sorted strings).
+
+    A window is ``window`` consecutive words of an item, or the whole item if it has fewer (but some). Null or wordless texts have no words and
+    hits; a null item key is reported as the text ``null``. Equal rows are answered alike, each on its own.
+    """
+    found = hits(docs, items, window, text, key, item_key, item_text).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "n_hit", "item_ids")
+    out = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    out = out.join(sent(found, size=F.length(F.concat_ws(",", "item_ids"))), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
     return out.select(
-        F.col("_key").alias(key), F.size("_words").cast("long").alias("n_words"), F.size(positions).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item_id"]))).alias("item_ids"),
+        F.col("_key").alias(key), F.size(words(F.col("_text"))).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut_lineage
-from .common import SLICE
+from .common import slices
 
 POLYNOMIAL = 0xEDB88320  # of crc32, bits reversed
 #: A-Z become a-z; ASCII that is no letter or digit becomes a space; all other bytes stay.
@@ -112,18 +112,12 @@ def features(texts: list[str | None], n: tuple[int, int]) -> tuple[np.ndarray, n
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array(runs, np.int64), np.array(sizes, np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def bucket_counts(docs: DataFrame, buckets: int, n: tuple[int, int], text: str = "text") -> DataFrame:
     """(``bucket``, ``n``): how many runs fall into each bucket that has any; every task adds up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for part in _slices(batches):
+        for part in (p for batch in batches for p in slices(batch)):
             total += np.bincount((features(part.column(0).to_pylist(), n)[0] % np.uint32(buckets)).astype(np.int64), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
@@ -146,7 +140,7 @@ def weigh(docs: DataFrame, table: np.ndarray, n: tuple[int, int], text: str = "t
     buckets = len(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in (p for batch in batches for p in slices(batch)):
             crc, runs, sizes = features(part.column(2).to_pylist(), n)
             sums = np.concatenate([[0], np.cumsum(table[(crc % np.uint32(buckets)).astype(np.int64)])])
             ends = np.cumsum(runs)

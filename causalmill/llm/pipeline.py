@@ -44,8 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth or more lie in 13-word windows of a benchmark item go."""
-    found = decontaminate.contamination(docs.select(row_key().alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("_row")))
+    found = decontaminate.hits(docs.select(row_key().alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("20 * n_hit >= n_words").select(F.col("_key").alias("_row")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

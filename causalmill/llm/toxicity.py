@@ -28,7 +28,9 @@ SEEDS, EVIDENCE, DOCUMENTS = 20_000, 30.0, 3
 #: Token probabilities below this don't add to a document's score; a token from SPAN on is an offending one.
 FLOOR, SPAN = 0.02, 0.5
 #: Words kept with their score, per task.
-CACHE = 400_000
+CACHE = 200_000
+#: Tokens, with padding, whose marginals are worked out at once.
+CELLS = 500_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -167,7 +169,7 @@ class Chain:
             if longest == 0:
                 break
             end = at + 1
-            while end < len(order) and lengths[order[end]] * 2 >= longest and (end - at + 1) * longest <= 4_000_000:
+            while end < len(order) and lengths[order[end]] * 2 >= longest and (end - at + 1) * longest <= CELLS:
                 end += 1
             part = [i for i in order[at:end] if lengths[i]]
             emit = np.zeros((len(part), longest))
@@ -299,13 +301,13 @@ def tag(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id")
         return {key: data[key], "score": [model.score(p) for p in found], "spans": spans}
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, score double, spans array<struct<start:int,end:int,probability:double>>"
-    return per_batch(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), schema, run, lambda: sent.value, rows=2048)
+    return per_batch(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), schema, run, lambda: sent.value)
 
 
 def reject(docs: DataFrame, chain: Chain, above: float = 0.5, text: str = "text") -> DataFrame:
     """The rows whose score is below ``above``, with all columns."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)
-    return keep_rows(docs, text, lambda texts, model: [model.score(p) < above for p in model.tag(texts)], lambda: sent.value, rows=2048)
+    return keep_rows(docs, text, lambda texts, model: [model.score(p) < above for p in model.tag(texts)], lambda: sent.value)
 
 
 def held_out(key: object) -> object:
