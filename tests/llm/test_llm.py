@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -16,6 +17,7 @@ from sentencepiece import sentencepiece_model_pb2 as pb
 from causalmill.llm import (
     components, context_tree, decontaminate, html_text, jaccard_join, language, multiset_hash, pipeline, quality, sentencepiece_codec, sharding, toxicity,
 )
+from causalmill.llm.common import WordHashes
 from causalmill.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, _row string"
@@ -151,16 +153,32 @@ def test_quality(spark, odd, none, labels):
 
 
 def test_quality_votes_brute_force():
-    rnd = np.random.default_rng(0)
+    rnd, hashes = np.random.default_rng(0), WordHashes()
     texts = ["".join(rnd.choice(list("ab cd.!"), 60)) for _ in range(40)] + ["A!! B!! C!! " * 5] * 5
     y = np.array([1] * 40 + [0] * 5)
-    v = quality.Votes(np.stack([quality.term_counts(t) for t in texts]), y, {1: 40, 0: 5})
-    got = v.scores(texts[:3] + texts[-1:])
-    for t, s in zip(texts[:3] + texts[-1:], got):
-        x = quality._unit((quality._shares(quality.term_counts(t)[None])[:, v.terms] * v.idf) @ v.axes)[0]
-        near = sorted(((float(x @ w), l, c) for w, l, c in zip(v.vectors, v.labels, v.weight)), reverse=True)[: quality.NEIGHBOURS]
-        w = [max(0, n) ** quality.POWER * c for n, _, c in near]
-        assert s == pytest.approx(sum(a * l for a, (_, l, _) in zip(w, near)) / sum(w), abs=1e-3)
+    counts = [quality.term_counts(t, hashes) for t in texts]
+    v = quality.Votes([(np.flatnonzero(c), c[np.flatnonzero(c)]) for c in counts], y, {1: 40, 0: 5})
+    got = v.scores([*texts[:3], texts[-1], ""], hashes)
+    for t, s in zip([*texts[:3], texts[-1]], got):
+        x = v.weighted(quality.term_counts(t, hashes)[None])[0] @ v.axes
+        near = sorted(((round(float(x @ w), 5), -i) for i, w in enumerate(v.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        w = [(max(0, n) ** quality.POWER * v.weight[-i], v.labels[-i]) for n, i in near]
+        assert s == pytest.approx((sum(a * l for a, l in w) + quality.DOUBT / 2) / (sum(a for a, _ in w) + quality.DOUBT), abs=1e-3)
+    assert got[-1] == 0.5
+    # the axes are those of the sample's vectors
+    x = np.concatenate([v.weighted(c[None]) for c in counts])
+    assert np.linalg.norm(x @ v.axes) == pytest.approx(math.sqrt((np.linalg.svd(x, compute_uv=False)[: v.axes.shape[1]] ** 2).sum()), rel=1e-3)
+
+
+def test_quality_reads_words(spark):
+    """Good texts whose letters are drawn anew keep their marks and lose their words: every score falls."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model, rnd = quality.fit(docs, labels, ~quality.held_out(F.col("_key"))), random.Random(3)
+    good = [r.text for r in docs.join(labels.where("quality = 1"), "doc_id").where(quality.held_out(F.col("doc_id"))).orderBy("doc_id").limit(40).collect()]
+    mixed = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") if "a" <= c <= "z" else c for c in t) for t in good]
+    before, after = model.scores(good, WordHashes()), model.scores(mixed, WordHashes())
+    assert (after < before).mean() > 0.95 and before.mean() - after.mean() > 0.05
 
 
 def test_chain_marginals_brute_force():
@@ -323,6 +341,34 @@ def test_pages(spark, sf):
     assert html_text.extract(odd.limit(0)).count() == 0
 
 
+def test_pages_without_marks(spark, sf):
+    """Ratios alone: semantic elements renamed and classes, ids and roles taken off, nine tenths of the article still come out and little else."""
+    same = both = taken = whole = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        plain = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|section)\b[^>]*>", r"<\1div>", r.html)
+        plain = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", plain)
+        want, got = html_text.main_text(r.html), html_text.main_text(plain)
+        common = sum(len(t) * n for t, n in (collections.Counter(want.split("\n")) & collections.Counter(got.split("\n"))).items())
+        both, whole, taken = both + common, whole + len(want), taken + len(got)
+        same += want == got
+    assert both > 0.95 * whole and both > 0.95 * taken and same > 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<main><p>A long sentence, with some commas, that says a lot.</p><p><a href=1>Read also one</a> <a href=2>Read also two</a></p></main>", "A long sentence, with some commas, that says a lot."),
+    ("<div><p>" + "Real text, with commas. " * 20 + "</p><p>Short end.</p></div><div><p>" + "side words go on " * 12 + "</p></div>", ("Real text, with commas. " * 20).strip() + "\nShort end."),
+    ("<div><div><p>" + "One part, of two. " * 9 + "</p></div><div><p>" + "Other part, as long. " * 9 + "</p></div></div>", ("One part, of two. " * 9).strip() + "\n" + ("Other part, as long. " * 9).strip()),
+    ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"), ("<p>" + "long, " * 200_000, ("long, " * 200_000).strip()),
+])
+def test_ratios_choose(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_pages_odd(spark):
+    df = spark.createDataFrame([(None, None, None, "x", 1), (1, "u", "<p>a", "y", 2), (1, "u", "<p>a", "y", 2)], "page_id long, url string, html string, text string, _html int")
+    assert sorted((r.text, r.n_chars) for r in html_text.extract(df).collect()) == [("", 0), ("a", 1), ("a", 1)]
+
+
 # ---- near copies
 
 def brute_components(rows, k, num, den):
@@ -410,12 +456,38 @@ def test_fingerprints(spark, sf, odd, none):
     assert multiset_hash.edited(odd).count() == odd.count() and multiset_hash.edited(none).count() == 0
 
 
+def test_likeness_error(spark):
+    """Against the exact likeness of the sentence multisets, on every text and its neighbour, and on texts of many and of repeated sentences."""
+
+    def sentences(t):
+        return collections.Counter(s for p in t.split("\n") if p for s in re.split(r"(?<=[.!?]) ", p))
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    docs = sorted(((r.doc_id, r.text or "") for r in docs), reverse=True)
+    near, edit = [], []
+    got = {r.doc_id: r for r in multiset_hash.edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for (key, t), (_, nxt) in zip(docs, docs[1:] + docs[:1]):
+        k = len(t) // 3
+        for other, errors, value in ((nxt, near, got[key].near_next), (t[: len(t) - k] + nxt[:k], edit, got[key].near_edited)):
+            a, b = sentences(t), sentences(other)
+            every = sum((a | b).values())
+            errors.append(abs(value - (sum((a & b).values()) / every if every else 1.0)))
+    assert sum(near) / len(near) < 0.05 and sum(edit) / len(edit) < 0.05 and sorted(near)[len(near) * 95 // 100] < 0.15 and sorted(edit)[len(edit) * 95 // 100] < 0.15
+    many = ["\n".join(f"line {i}." for i in range(a, a + 3000)) for a in (0, 1000, 3000)] + ["again.\n" * 5000, "again.\n" * 4000]
+    v = {r.i: r for r in multiset_hash.vectors(spark.createDataFrame(list(enumerate(many)), "i int, t string"), "t", ["i"]).select("i", F.struct("n", "dense", "counts").alias("v")).collect()}
+    kind = "struct<n:bigint,dense:array<bigint>,counts:array<bigint>>"
+    pairs = spark.createDataFrame([(v[a].v, v[b].v, want) for a, b, want in ((0, 1, 0.5), (0, 2, 0.0), (3, 4, 0.8))], f"a {kind}, b {kind}, want double")
+    assert all(abs(r.got - r.want) < 0.1 for r in pairs.select("want", multiset_hash.likeness(F.col("a"), F.col("b")).alias("got")).collect())
+    with pytest.raises(TypeError):
+        multiset_hash.edited(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_fingerprint_sums(spark):
     """Order does not matter; adding and taking away paragraphs is adding and subtracting vectors."""
     df = spark.createDataFrame([(1, "One. Two.\nThree."), (2, "Three.\nOne. Two."), (3, "One. Two."), (4, "Three."), (5, "Three.\nThree.")], "id int, t string")
-    v = {r.id: r for r in multiset_hash.vectors(df, "t", ["id"]).select("id", F.struct("n", "dense", "sampled").alias("v")).collect()}
+    v = {r.id: r for r in multiset_hash.vectors(df, "t", ["id"]).select("id", F.struct("n", "dense", "counts").alias("v")).collect()}
     assert v[1].v == v[2].v and v[4].v != v[5].v
-    row = spark.createDataFrame([(v[3].v, v[4].v, v[1].v)], "a struct<n:bigint,dense:array<bigint>,sampled:array<bigint>>, b struct<n:bigint,dense:array<bigint>,sampled:array<bigint>>, c struct<n:bigint,dense:array<bigint>,sampled:array<bigint>>")
+    row = spark.createDataFrame([(v[3].v, v[4].v, v[1].v)], "a struct<n:bigint,dense:array<bigint>,counts:array<bigint>>, b struct<n:bigint,dense:array<bigint>,counts:array<bigint>>, c struct<n:bigint,dense:array<bigint>,counts:array<bigint>>")
     out = row.select(multiset_hash.combine(F.col("a"), F.col("b")).alias("sum"), multiset_hash.combine(F.col("c"), F.col("b"), -1).alias("left")).first()
     assert tuple(out["sum"]) == tuple(v[1].v) and tuple(out["left"]) == tuple(v[3].v)
 
