@@ -6,6 +6,7 @@ One job serves every graph in the table. Loops store each round in the checkpoin
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,46 +120,106 @@ def apply_all_filters(
 
 # ---------------------------------------------------------------- reachability and structure
 
+def _grow(parts: list[DataFrame]) -> DataFrame:
+    """All of ``parts``; once there are many, they are written as one."""
+    whole = reduce(DataFrame.unionByName, parts)
+    if len(parts) > 8:
+        whole = cut_lineage(whole.coalesce(max(1, whole.sparkSession.sparkContext.defaultParallelism)))
+        parts[:] = [whole]
+    return whole
+
+
 def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
-    """(graph_id, seed, node): nodes that can be reached from (or can reach) each seed over at least one edge."""
+    """(graph_id, seed, node): nodes that can be reached from (or can reach) each seed over at least one edge; each round writes what is new."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     steps = cut_lineage(edges.select(G, F.col(a).alias("node"), F.col(b).alias("next")).where(F.col("node") != F.col("next")).distinct())
     seeds = seeds.select(G, F.col("node").alias("seed"))
     delta = cut_lineage(seeds.withColumn("node", F.col("seed")).join(steps, NODE).select(G, "seed", F.col("next").alias("node")).distinct())
-    known = delta
+    parts = [delta]
     while not delta.isEmpty():
         found = delta.join(steps, NODE).select(G, "seed", F.col("next").alias("node")).distinct()
-        delta = cut_lineage(found.join(known, [G, "seed", "node"], "left_anti"))
-        known = cut_lineage(known.unionByName(delta))
-    return known
+        delta = cut_lineage(found.join(_grow(parts), [G, "seed", "node"], "left_anti"))
+        parts.append(delta)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(graph_id, ancestor, descendant) over at least one edge, by path doubling.
+
+    A round joins what the last one found with all that is known, on both sides, so the length covered doubles: a chain of n nodes takes log2(n) rounds.
+    Each round writes its delta only. Self loops add nothing; a node on a longer cycle is its own descendant.
+    """
+    keys = [G, "ancestor", "descendant"]
+    delta = cut_lineage(edges.where("src != dst").select(G, F.col("src").alias("ancestor"), F.col("dst").alias("descendant")).distinct())
+    parts = [delta]
+    while not delta.isEmpty():
+        known = _grow(parts)
+        after = delta.select(G, "ancestor", F.col("descendant").alias("_m")).join(known.select(G, F.col("ancestor").alias("_m"), "descendant"), [G, "_m"]).select(*keys)
+        before = known.select(G, "ancestor", F.col("descendant").alias("_m")).join(delta.select(G, F.col("ancestor").alias("_m"), "descendant"), [G, "_m"]).select(*keys)
+        delta = cut_lineage(after.unionByName(before).distinct().join(known, keys, "left_anti"))
+        parts.append(delta)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ancestors_descendants(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(graph_id, ancestor, descendant) for the given nodes, or the whole transitive closure."""
-    start = nodes_of(edges) if seeds is None else seeds
-    down = reach(edges, start).select(G, F.col("seed").alias("ancestor"), F.col("node").alias("descendant"))
     if seeds is None:
-        return down
-    up = reach(edges, start, backward=True).select(G, F.col("node").alias("ancestor"), F.col("seed").alias("descendant"))
+        return closure(edges)
+    down = reach(edges, seeds).select(G, F.col("seed").alias("ancestor"), F.col("node").alias("descendant"))
+    up = reach(edges, seeds, backward=True).select(G, F.col("node").alias("ancestor"), F.col("seed").alias("descendant"))
     return down.unionByName(up).distinct()
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(graph_id, node, level): longest distance from a root; null for nodes on or below a cycle."""
-    left = cut_lineage(nodes_of(edges) if nodes is None else nodes_of(edges).unionByName(nodes.select(*NODE)).distinct())
-    rest = cut_lineage(edges.select(*EDGE).distinct())
-    done, level = None, 0
-    while True:
-        targets = rest.select(G, F.col("dst").alias("node"))
-        free = cut_lineage(left.join(targets, NODE, "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
+def contract_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (graph_id, src, dst, ``steps``) with inner nodes of chains taken out, and where those went: (graph_id, node, ``head``, ``steps``).
+
+    An inner node has one edge in and comes after a node with one edge out. Each finds the head of its chain by pointer doubling, so the rounds grow with the
+    logarithm of the longest chain. Chains without a head (plain cycles) keep their nodes.
+    """
+    outs = edges.groupBy(G, F.col("src").alias("before")).agg(F.count(F.lit(1)).alias("o"))
+    ins = edges.groupBy(G, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("before"))
+    inner = ins.where("i = 1").join(outs.where("o = 1"), [G, "before"]).select(G, "node", F.col("before").alias("head"), F.lit(1).alias("steps"))
+    now = cut_lineage(inner.withColumn("open", F.lit(True)))
+    rounds = max(1, now.groupBy(G).count().agg(F.max("count")).first()[0] or 1).bit_length() + 1
+    for _ in range(rounds):  # a pointer covers 2**round steps; one still open then goes round a cycle
+        upper = now.select(G, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("steps").alias("_steps"))
+        now = cut_lineage(now.join(upper, [G, "head"], "left").select(G, "node", F.coalesce("_head", "head").alias("head"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_head").isNotNull().alias("open")))
+        if now.where("open").isEmpty():
             break
-        done = free if done is None else cut_lineage(done.unionByName(free))
-        left = cut_lineage(left.join(free, NODE, "left_anti"))
-        rest = cut_lineage(rest.join(free.select(G, F.col("node").alias("src")), [G, "src"], "left_anti"))
-        level += 1
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    heads = now.where("not open").drop("open")
+    loops = now.where("open").select(*NODE)
+    moved = edges.select(*EDGE).join(heads.select(G, F.col("node").alias("src"), "head", "steps"), [G, "src"], "left")
+    kept = moved.select(G, F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("steps", F.lit(0)) + 1).alias("steps")).join(heads.select(G, F.col("node").alias("dst")), [G, "dst"], "left_anti")
+    return kept.select(*EDGE, "steps"), cut_lineage(heads.join(loops, NODE, "left_anti"))
+
+
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node, level): longest distance from a root; null for nodes on or below a cycle.
+
+    Chains are contracted first; then roots are peeled off, the level of a node being the greatest that an edge from a peeled node brought. A round writes the
+    nodes it peels and their edges only.
+    """
+    every = cut_lineage(nodes_of(edges) if nodes is None else nodes_of(edges).unionByName(nodes.select(*NODE)).distinct())
+    steps, inner = contract_chains(cut_lineage(edges.select(*EDGE).distinct()))
+    steps = cut_lineage(steps)
+    degree = steps.groupBy(G, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    left = every.join(inner, NODE, "left_anti").join(degree, NODE, "left")
+    front = cut_lineage(left.where("n is null").select(*NODE, F.lit(0).alias("level")))
+    waiting = cut_lineage(left.where("n is not null").select(*NODE, "n"))
+    done, brought = [front], []
+    while not front.isEmpty():
+        new = front.withColumnRenamed("node", "src").join(steps, [G, "src"]).groupBy(G, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("level") + F.col("steps")).alias("_level"))
+        new = cut_lineage(new)
+        brought.append(new)
+        if len(brought) > 8:
+            brought = [cut_lineage(reduce(DataFrame.unionByName, brought).groupBy(*NODE).agg(F.sum("_n").alias("_n"), F.max("_level").alias("_level")))]
+        # a node is free once all its edges have been brought; only nodes that got one this round can be
+        total = reduce(DataFrame.unionByName, brought).join(new.select(*NODE), NODE, "left_semi").groupBy(*NODE).agg(F.sum("_n").alias("_n"), F.max("_level").alias("level"))
+        front = cut_lineage(total.join(waiting, NODE).where("_n = n").select(*NODE, "level"))
+        done.append(front)
+    found = cut_lineage(reduce(DataFrame.unionByName, done))
+    below = inner.join(found.select(G, F.col("node").alias("head"), F.col("level").alias("_level")), [G, "head"]).select(*NODE, (F.col("_level") + F.col("steps")).alias("level"))
+    return every.join(found.unionByName(below), NODE, "left").select(*NODE, F.col("level").cast("int").alias("level"))
 
 
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -236,39 +297,6 @@ def path_subgraph(edges: DataFrame, paths: DataFrame) -> DataFrame:
     return edges.join(path_edges(paths).select(*EDGE).distinct(), EDGE, "left_semi").select(edges.columns)
 
 
-def path_probabilities(edges: DataFrame, paths: DataFrame, weight: str = "weight") -> DataFrame:
-    """paths with ``strength`` (product of the edge weights, missing = 1) and ``probability`` (share per pair of ends)."""
-    hops = path_edges(paths).join(edges.select(*EDGE, F.col(weight).alias("_w")), EDGE, "left")
-    keys = [G, "source", "target", "path", "length"]
-    per = hops.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", F.coalesce("_w", F.lit(1.0)).alias("w")))).alias("ws"))
-    per = per.withColumn("strength", F.aggregate("ws", F.lit(1.0), lambda a, s: a * s["w"])).drop("ws")
-    total = per.groupBy(G, "source", "target").agg(F.sum("strength").alias("_t"))
-    share = F.when(F.col("_t") > 0, F.col("strength") / F.col("_t")).otherwise(F.col("strength"))
-    return per.join(total, [G, "source", "target"]).select(*keys, "strength", share.alias("probability"))
-
-
-def path_summary(edges: DataFrame, paths: DataFrame, weight: str = "weight") -> DataFrame:
-    """One row per pair of ends: counts, direct effect, mediators, lengths and the greatest path probability."""
-    probs = path_probabilities(edges, paths, weight)
-    inner = F.slice("path", F.lit(2), F.size("path") - 2)
-    return probs.groupBy(G, "source", "target").agg(
-        F.count(F.lit(1)).alias("paths"), F.bool_or(F.col("length") == 1).alias("has_direct"),
-        F.count(F.when(F.col("length") > 1, 1)).alias("indirect"), F.min("length").alias("shortest"), F.max("length").alias("longest"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(inner)))).alias("mediators"), F.max("probability").alias("top_probability"),
-    )
-
-
-def paths_by_length(paths: DataFrame) -> DataFrame:
-    return paths.groupBy(G, "source", "target", "length").agg(F.count(F.lit(1)).alias("paths"))
-
-
-def mediators(edges: DataFrame, paths: DataFrame, weight: str = "weight") -> DataFrame:
-    """(graph_id, source, target, node, paths_count, importance): importance = probability of the paths through the node."""
-    probs = path_probabilities(edges, paths, weight).where(F.col("length") > 1)
-    inner = probs.select(G, "source", "target", "probability", F.explode(F.slice("path", F.lit(2), F.size("path") - 2)).alias("node"))
-    return inner.groupBy(G, "source", "target", "node").agg(F.count(F.lit(1)).alias("paths_count"), F.sum("probability").alias("importance"))
-
-
 def confounders_colliders(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """(graph_id, source, target, node, role): common ancestors are confounders, common descendants colliders."""
     pairs = cut_lineage(ends.select(G, "source", "target").distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.lineage import cut_lineage
-from ...operators import graph, hidden
+from ...operators import graph, hidden, paths
 from ...operators.association import pair_stats
 from ..registry import load, query, rounded, rounded_sql
 from .q04_association import RICH, pairs_sql, rich
@@ -51,14 +51,18 @@ def ends(edges):
 
 
 ENDS = "ends AS (SELECT graph_id, min(src) AS source, max(dst) AS target FROM flows GROUP BY 1)"
-#: Longest path asked for: the number of paths between two nodes of a dense graph grows exponentially with it.
-HOPS = 3
+#: Longest path that ``all_simple_paths`` lists; the sums below know no limit, and tell how many paths it leaves out.
+LISTED = 3
 PATHS = f"""{ENDS}, walk AS (SELECT graph_id, source, target, [source] AS path, source AS cur FROM ends UNION ALL
-SELECT w.graph_id, w.source, w.target, list_append(w.path, f.dst), f.dst FROM walk w JOIN flows f ON f.graph_id = w.graph_id AND f.src = w.cur WHERE w.cur <> w.target AND len(w.path) <= {HOPS} AND NOT list_contains(w.path, f.dst)),
+SELECT w.graph_id, w.source, w.target, list_append(w.path, f.dst), f.dst FROM walk w JOIN flows f ON f.graph_id = w.graph_id AND f.src = w.cur WHERE w.cur <> w.target AND len(w.path) <= {LISTED} AND NOT list_contains(w.path, f.dst)),
 paths AS (SELECT graph_id, source, target, path, (len(path) - 1)::INT AS length FROM walk WHERE cur = target AND len(path) > 1)"""
-PROBS = PATHS + """, hops AS (SELECT p.*, unnest(range(1, length + 1)) AS i FROM paths p), probs0 AS (SELECT h.graph_id, source, target, path, length, product(weight) AS strength
-FROM hops h JOIN flows f ON f.graph_id = h.graph_id AND f.src = h.path[h.i] AND f.dst = h.path[h.i + 1] GROUP BY ALL),
-probs AS (SELECT *, strength / sum(strength) OVER (PARTITION BY graph_id, source, target) AS probability FROM probs0)"""
+# sums over all paths, level by level, from the source and back from the target
+SUMS = f"""{ENDS}, ahead AS (SELECT graph_id, source, target, source AS node, 0 AS length, 1::HUGEINT AS paths, 1::DOUBLE AS strength, 1::DOUBLE AS top FROM ends UNION ALL
+SELECT a.graph_id, source, target, f.dst, length + 1, sum(paths)::HUGEINT, sum(strength * weight), max(top * weight) FROM ahead a JOIN flows f ON f.graph_id = a.graph_id AND f.src = a.node GROUP BY ALL),
+back AS (SELECT graph_id, source, target, target AS node, 0 AS length, 1::HUGEINT AS paths, 1::DOUBLE AS strength FROM ends UNION ALL
+SELECT b.graph_id, source, target, f.src, length + 1, sum(paths)::HUGEINT, sum(strength * weight) FROM back b JOIN flows f ON f.graph_id = b.graph_id AND f.dst = b.node GROUP BY ALL),
+whole AS (SELECT graph_id, source, target, length, paths, strength, top FROM ahead WHERE node = target AND length > 0),
+through AS (SELECT a.graph_id, a.source, a.target, a.node, sum(a.paths * b.paths) AS paths, sum(a.strength * b.strength) AS strength FROM ahead a JOIN back b ON a.graph_id = b.graph_id AND a.source = b.source AND a.target = b.target AND a.node = b.node GROUP BY ALL)"""
 NODES = "nodes AS (SELECT graph_id, src AS node FROM flows UNION SELECT graph_id, dst FROM flows)"
 EOUT = "graph_id, src, dst, confidence"
 
@@ -110,59 +114,61 @@ def apply_all_filters(spark, sf):
     return out.select("graph_id", "src", "dst")
 
 
-# thin graphs: only heavy flows, so that a month falls into several components
-THIN = DAG.replace("flows AS", "raw AS") + ", flows AS (SELECT * FROM raw WHERE time_lag >= 1)"
-
-
-def thin(spark, sf):
-    return cut_lineage(flows(spark, sf).where("time_lag >= 1"))
-
-
 @query(
     "weak_components",
-    f"""WITH RECURSIVE {THIN}, und AS (SELECT graph_id, src AS a, dst AS b FROM flows UNION SELECT graph_id, dst, src FROM flows),
+    f"""WITH RECURSIVE {DAG}, und AS (SELECT graph_id, src AS a, dst AS b FROM flows UNION SELECT graph_id, dst, src FROM flows),
     r AS (SELECT graph_id, a AS node, a AS other FROM und UNION SELECT r.graph_id, r.node, u.b FROM r JOIN und u ON u.graph_id = r.graph_id AND u.a = r.other)
     SELECT graph_id, node, min(other) AS component FROM r GROUP BY 1, 2""",
 )
 def weak_components(spark, sf):
-    return graph.weak_components(thin(spark, sf))
+    return graph.weak_components(flows(spark, sf))
 
 
-@query("all_simple_paths", f"WITH RECURSIVE {DAG}, {PATHS} SELECT graph_id, source, target, path, length FROM paths")
+@query(
+    "all_simple_paths",
+    f"""WITH RECURSIVE {DAG}, {SUMS}, {PATHS.replace(ENDS + ", ", "")} SELECT graph_id, source, target, path, length, {LISTED} AS max_length, coalesce((SELECT sum(paths) FROM whole w WHERE w.graph_id = p.graph_id AND w.length > {LISTED}), 0)::BIGINT AS left_out FROM paths p""",
+)
 def all_simple_paths(spark, sf):
     e = flows(spark, sf)
-    return graph.all_simple_paths(e, ends(e), HOPS)
+    return paths.listed_paths(e, ends(e), LISTED).withColumn("left_out", F.col("left_out").cast("long"))
+
+
+@query("path_lengths", f"WITH RECURSIVE {DAG}, {SUMS} SELECT graph_id, source, target, length, paths::BIGINT AS paths FROM whole")
+def path_lengths(spark, sf):
+    e = flows(spark, sf)
+    return paths.path_lengths(paths.path_sums(e, ends(e))).withColumn("paths", F.col("paths").cast("long"))
 
 
 @query(
     "path_subgraph",
-    f"""WITH RECURSIVE {DAG}, {PATHS}, hops AS (SELECT p.*, unnest(range(1, length + 1)) AS i FROM paths p)
-    SELECT DISTINCT f.graph_id, f.src, f.dst FROM hops h JOIN flows f ON f.graph_id = h.graph_id AND f.src = h.path[h.i] AND f.dst = h.path[h.i + 1]""",
+    f"""WITH RECURSIVE {DAG}, {SUMS}, on_path AS (SELECT DISTINCT graph_id, node FROM through)
+    SELECT f.graph_id, f.src, f.dst FROM flows f JOIN on_path a ON a.graph_id = f.graph_id AND a.node = f.src JOIN on_path b ON b.graph_id = f.graph_id AND b.node = f.dst""",
 )
 def path_subgraph(spark, sf):
     e = flows(spark, sf)
-    return graph.path_subgraph(e, graph.all_simple_paths(e, ends(e), HOPS)).select("graph_id", "src", "dst")
+    return paths.path_edges_of(e, ends(e)).select("graph_id", "src", "dst")
 
 
 @query(
     "path_summary",
-    rounded_sql(f"""WITH RECURSIVE {DAG}, {PROBS}, m AS (SELECT graph_id, list_sort(list_distinct(flatten(list(path[2:-2])))) AS mediators FROM probs GROUP BY 1)
-    SELECT graph_id, source, target, count(*) AS paths, bool_or(length = 1) AS has_direct, count(*) FILTER (length > 1) AS indirect, min(length) AS shortest, max(length) AS longest, any_value(mediators) AS mediators, max(probability) AS top_probability
-    FROM probs JOIN m USING (graph_id) GROUP BY ALL""", "graph_id source target paths has_direct indirect shortest longest mediators", "top_probability"),
+    rounded_sql(f"""WITH RECURSIVE {DAG}, {SUMS}, m AS (SELECT graph_id, list(DISTINCT node ORDER BY node) AS mediators FROM through WHERE node NOT IN (source, target) GROUP BY 1)
+    SELECT graph_id, source, target, sum(paths)::BIGINT AS paths, bool_or(length = 1) AS has_direct, coalesce(sum(paths) FILTER (length > 1), 0)::BIGINT AS indirect, min(length) AS shortest, max(length) AS longest,
+    coalesce(any_value(mediators), []) AS mediators, max(top) / sum(strength) AS top_probability FROM whole LEFT JOIN m USING (graph_id) GROUP BY ALL""", "graph_id source target paths has_direct indirect shortest longest mediators", "top_probability"),
 )
 def path_summary(spark, sf):
     e = flows(spark, sf)
-    return rounded(graph.path_summary(e, graph.all_simple_paths(e, ends(e), HOPS)))
+    out = paths.path_summary(paths.path_sums(e, ends(e)))
+    return rounded(out.withColumns({"paths": F.col("paths").cast("long"), "indirect": F.col("indirect").cast("long")}))
 
 
 @query(
     "mediators",
-    rounded_sql(f"""WITH RECURSIVE {DAG}, {PROBS}, i AS (SELECT graph_id, source, target, probability, unnest(path[2:-2]) AS node FROM probs WHERE length > 1)
-    SELECT graph_id, source, target, node, count(*) AS paths_count, sum(probability) AS importance FROM i GROUP BY ALL""", "graph_id source target node paths_count", "importance"),
+    rounded_sql(f"""WITH RECURSIVE {DAG}, {SUMS}, t AS (SELECT graph_id, sum(strength) AS total FROM whole GROUP BY 1)
+    SELECT graph_id, source, target, node, paths::BIGINT AS paths_count, strength / total AS importance FROM through JOIN t USING (graph_id) WHERE node NOT IN (source, target)""", "graph_id source target node paths_count", "importance"),
 )
 def mediators(spark, sf):
     e = flows(spark, sf)
-    return rounded(graph.mediators(e, graph.all_simple_paths(e, ends(e), HOPS)))
+    return rounded(paths.mediators(paths.path_sums(e, ends(e))).withColumn("paths_count", F.col("paths_count").cast("long")))
 
 
 CLOSURE = "closure AS (SELECT graph_id, src AS a, dst AS b FROM flows WHERE src <> dst UNION SELECT c.graph_id, c.a, f.dst FROM closure c JOIN flows f ON f.graph_id = c.graph_id AND f.src = c.b)"
@@ -311,12 +317,12 @@ def fan_out(spark, sf):
     return graph.fan_out(flows(spark, sf))
 
 
-# large lines, from customer to part: as many nodes and edges as the tables have
-BULK = """flows AS (SELECT DISTINCT l_returnflag AS graph_id, 'C' || o_custkey AS src, 'P' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 44)"""
+# lines, from customer to part: as many nodes and edges as the tables have
+BULK = """flows AS (SELECT DISTINCT l_returnflag AS graph_id, 'C' || o_custkey AS src, 'P' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def bulk(spark, sf):
-    lines = load(spark, sf, "lineitem").where("l_quantity >= 44").select("l_orderkey", "l_partkey", "l_returnflag")
+    lines = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return cut_lineage(df.select(F.col("l_returnflag").alias("graph_id"), F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct())
