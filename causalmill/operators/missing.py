@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,16 +101,16 @@ def _seconds(df: DataFrame, c: str):
 
 
 def impute_knn(
-    df: DataFrame, columns: Sequence[str], key: str, k: int = 5, donors_max: int = 20_000
+    df: DataFrame, columns: Sequence[str], key: str, k: int = 5, donors_max: int = 2_000, counts: dict | None = None
 ) -> DataFrame:
     """Mean of the ``k`` nearest rows (distance over the columns both rows know, scaled up for missing ones).
 
-    Equal rows are merged with their count. Donors and incomplete combinations are cut into blocks of about ``donors_max``; every incomplete block is
-    compared with every block of donors, so the work grows with incomplete times donor combinations.
+    Equal rows are merged with their count. Donors and incomplete combinations are cut into blocks of at most ``donors_max`` by their distances to pivots;
+    only blocks that the triangle bound cannot shut out are compared, so the work follows the rows that are near.
     """
     from .neighbours import nan_euclidean_fill
 
-    return nan_euclidean_fill(df, columns, key, k, donors_max)
+    return nan_euclidean_fill(df, columns, key, k, donors_max, counts)
 
 
 def missingness_type(df: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
@@ -229,37 +229,13 @@ def impute_causal(df: DataFrame, edges: DataFrame | Sequence[tuple[str, str]], c
 
 
 def impute_multiple(
-    df: DataFrame, key: str, columns: Sequence[str], draws: int = 5, rounds: int = 1, trees: int = 10, seed: int = 42
+    df: DataFrame, key: str, columns: Sequence[str], draws: int = 5, rounds: int = 10, trees: int = 50, seed: int = 42
 ) -> DataFrame:
-    """``draws`` chained-equation imputations by random forests with residual noise, averaged per row."""
-    counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
-    holes = [c for c in columns if counts[c]]
-    if not holes:
-        return df
-    start = impute_mean_median(df.withColumns({f"_w_{c}": F.col(c).isNull() for c in holes}), columns)
-    done = []
-    for d in range(draws):
-        cur = start
-        for r in range(rounds):
-            for j, c in enumerate(holes):
-                others = [x for x in columns if x != c]
-                vec = VectorAssembler(inputCols=others, outputCol="_features").transform(cur)
-                known = vec.where(~F.col(f"_w_{c}"))
-                model = RandomForestRegressor(
-                    featuresCol="_features", labelCol=c, predictionCol="_pred", numTrees=trees, seed=seed + d
-                ).fit(known.select("_features", F.col(c).cast("double").alias(c)))
-                scored = model.transform(vec)
-                spread = scored.where(~F.col(f"_w_{c}")).agg(F.stddev_pop(F.col(c) - F.col("_pred"))).first()[0] or 0.0
-                # noise depends on the row key, so a recomputed task draws the same numbers
-                u1 = (F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1000 * d + 10 * r + j)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-                u2 = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1000 * d + 10 * r + j + 7)), F.lit(1 << 30)) / float(1 << 30)
-                normal = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * F.pi() * u2)
-                value = F.when(F.col(f"_w_{c}"), F.col("_pred") + normal * F.lit(spread)).otherwise(F.col(c))
-                cur = cut_lineage(scored.withColumn(c, value).drop("_features", "_pred"))
-        done.append(cur.where(sum((F.col(f"_w_{c}").cast("int") for c in holes), F.lit(0)) > 0).select(key, *holes))
-    drawn = done[0]
-    for x in done[1:]:
-        drawn = drawn.unionByName(x)
-    means = drawn.groupBy(key).agg(*[F.avg(c).alias(f"_a_{c}") for c in holes])
-    joined = df.join(means, key, "left")
-    return joined.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_a_{c}")).alias(c) if c in holes else F.col(c) for c in df.columns])
+    """``draws`` chained-equation imputations by random forests with residual noise, averaged per row.
+
+    The forests are fitted on a pool of about ``chained.POOL`` rows, drawn by a hash of the key; each draw is one task, and its whole chain (``rounds`` times over
+    the columns with holes) is then run over every row in one narrow pass. Filled columns become doubles. Keys may repeat: equal keys draw the same noise.
+    """
+    from .chained import impute
+
+    return impute(df, key, columns, draws, rounds, trees, seed)

@@ -7,8 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lineage import cut_lineage
 from ..functions.quantiles import collect_quantiles, modes
@@ -150,24 +152,26 @@ def _grow_tree(x: np.ndarray, rng: np.random.Generator, height: int) -> list[tup
 def outlier_isolation_forest(
     df: DataFrame, columns: Sequence[str], key: str, contamination: float = 0.05, trees: int = 100, sample: int = 256, seed: int = 42
 ) -> DataFrame:
-    """``anomaly_score`` and ``is_outlier`` (the ``contamination`` share with the highest scores).
+    """``anomaly_score`` and ``is_outlier`` (the ``contamination`` share with the highest scores); a row with a missing value has no score and is no outlier.
 
-    Each tree is grown by one task from its own ``sample`` rows; scoring walks the trees over Arrow batches. The forest
+    Each tree is grown by one task from its own ``sample`` rows; scoring walks the trees over Arrow batches of the whole rows, so keys may repeat. The forest
     holds at most ``trees * 2 * sample`` nodes, so sending it to the executors is bounded whatever the table length.
     """
     names = list(columns)
     known = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(c) for c in names]).na.drop()
     n = known.count()
-    # a hash of key and tree decides at every table length, so a recomputed task picks the same rows; each tree keeps its first ``sample`` rows
+    # a row draws into how many trees it goes (binomial, by a hash, so a recomputed task draws the same), and only then, if any, into which
     p = min(1.0, 1.3 * sample / max(n, 1))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("_key"), t, F.lit(seed)).alias("h")))
-    picks = F.filter(draws, lambda s: F.pmod(s["h"], F.lit(1 << 40)) <= F.lit(int(p * (1 << 40))))
-    sampled = known.select("*", F.inline(picks))
+    cdf = np.minimum(np.cumsum([math.comb(trees, i) * p**i * (1 - p) ** (trees - i) for i in range(trees + 1)]), 1.0)
+    u = F.pmod(F.xxhash64("_key", *names, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    many = F.size(F.filter(F.lit([float(c) for c in cdf]), lambda c: c <= u))
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(F.col("_key"), *names, t, F.lit(seed + 1)).alias("h"), t.alias("tree"))))
+    sampled = known.withColumn("_many", F.when(u < F.lit(float(cdf[0])), 0).otherwise(F.least(many, F.lit(trees)))).where("_many > 0").select("_key", *names, F.inline(F.slice(ranked, F.lit(1), F.col("_many"))))
     height = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        rows = pdf.sort_values(["h", "_key"]).head(sample)[names].to_numpy(dtype=float)
+        rows = pdf.sort_values(["h", *names]).head(sample)[names].to_numpy(dtype=float)
         nodes = _grow_tree(rows, np.random.default_rng(seed + t), height)
         out = pd.DataFrame(nodes, columns=["feature", "split", "left", "right"])
         return out.assign(tree=t, node=range(len(nodes)), rows=len(rows))
@@ -186,9 +190,9 @@ def outlier_isolation_forest(
         ))
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(batch.num_columns - len(names), batch.num_columns)])
             row = np.arange(len(x))
             depth, size = np.zeros(len(x)), 0
             for feature, split, left, right, path, rows in shared.value:
@@ -198,21 +202,26 @@ def outlier_isolation_forest(
                 depth += path[at]
                 size = max(size, rows)
             norm = float(_average_path(np.array(size))) or 1.0
-            yield pdf[["_key"]].assign(anomaly_score=2.0 ** (-depth / len(shared.value) / norm))
+            found = pa.array(2.0 ** (-depth / max(len(shared.value), 1) / norm), pa.float64(), mask=np.isnan(x).any(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: batch.num_columns - len(names)], found], names=[*batch.schema.names[: batch.num_columns - len(names)], "anomaly_score"])
 
-    scores = cut_lineage(known.mapInPandas(score, f"_key {dict(df.dtypes)[key]}, anomaly_score double"))
+    staged = df.select("*", *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
+    scores = cut_lineage(staged.mapInArrow(score, T.StructType([*df.schema.fields, T.StructField("anomaly_score", T.DoubleType())])))
     cut = collect_quantiles(scores, ["anomaly_score"], [1.0 - contamination])["anomaly_score"][0]
-    flagged = scores.withColumn("is_outlier", F.col("anomaly_score") > F.lit(cut)).withColumnRenamed("_key", key)
-    return df.join(flagged, key, "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(False)))
+    return scores.withColumn("is_outlier", F.coalesce(F.col("anomaly_score") > F.lit(cut).cast("double"), F.lit(False)))
 
 
-def outlier_dbscan(df: DataFrame, columns: Sequence[str], key: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """``is_outlier`` = DBSCAN noise on standardised columns (rows with a missing value are noise)."""
+def outlier_dbscan(df: DataFrame, columns: Sequence[str], key: str | None = None, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """``is_outlier`` = DBSCAN noise on standardised columns (rows with a missing value are noise).
+
+    Equal points are looked at once, with their number, and rows find their flag by their point: ``key`` is not needed and may repeat.
+    """
     from .neighbours import density_noise
 
     stats = _moments(df, columns, F.avg, F.stddev_pop)
-    scaled = df.select(
-        F.col(key).alias("_key"), *[((F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)).alias(f"x{i}") for i, (c, (m, s)) in enumerate(stats.items())]
-    ).na.drop()
-    noise = density_noise(scaled, [f"x{i}" for i in range(len(columns))], eps, min_samples)
-    return df.join(noise.withColumnRenamed("_key", key), key, "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(True)))
+    dims = [f"_x{i}" for i in range(len(columns))]
+    # + 0.0 makes one zero of the two, so that equal points are one
+    scaled = df.withColumns({x: (F.col(c) - F.lit(m)) / F.lit(s if s else 1.0) + F.lit(0.0) for x, (c, (m, s)) in zip(dims, stats.items())})
+    points = scaled.select(*dims).na.drop().groupBy(*dims).agg(F.count(F.lit(1)).alias("_w"))
+    noise = density_noise(points, dims, eps, min_samples)
+    return scaled.join(noise, dims, "left").withColumn("is_outlier", F.coalesce("is_outlier", F.lit(True))).drop(*dims)

@@ -141,11 +141,10 @@ def group_codes(df: DataFrame, column: str, output: str = "group_code") -> DataF
 
 
 def segments(df: DataFrame, order: Sequence[str], n: int = 4, output: str = "segment") -> DataFrame:
-    """``n`` segments of equal length along the order; earlier segments take the remainder, as ``ntile`` does."""
+    """``n`` segments of equal length along the order; the last one takes the remainder (all rows, if there are fewer than ``n``)."""
     rows = with_position(df, order, length="_len")
-    q, r = F.floor(F.col("_len") / n), F.col("_len") % n
-    big = (q + 1) * r
-    code = F.when(F.col("_pos") < big, F.floor(F.col("_pos") / (q + 1))).otherwise(r + F.floor((F.col("_pos") - big) / F.greatest(q, F.lit(1))))
+    size = F.floor(F.col("_len") / n)
+    code = F.when(size > 0, F.least(F.floor(F.col("_pos") / F.greatest(size, F.lit(1))), F.lit(n - 1))).otherwise(n - 1)
     return rows.withColumn(output, code.cast("int")).drop("_pos", "_len")
 
 

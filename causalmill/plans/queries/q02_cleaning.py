@@ -139,7 +139,7 @@ def impute_causal(spark, sf):
 @query("impute_multiple")
 def impute_multiple(spark, sf):
     df = holes(spark, sf).select(*KEYS.split(), "price", "qty", "disc").withColumn("row_key", F.xxhash64(*KEYS.split(), "price"))
-    return missing.impute_multiple(df, "row_key", ["price", "qty", "disc"], draws=2, trees=5)
+    return missing.impute_multiple(df, "row_key", ["price", "qty", "disc"])
 
 
 NUMS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -230,8 +230,8 @@ def bin_kmeans(spark, sf):
 @query(
     "group_codes",
     """WITH c AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::INT AS group_code FROM (SELECT DISTINCT event_type FROM events)),
-    s AS (SELECT min(ts) AS lo FROM events)
-    SELECT event_id, group_code, (ntile(4) OVER (ORDER BY ts, event_id) - 1)::INT AS segment,
+    s AS (SELECT min(ts) AS lo, count(*) AS n FROM events)
+    SELECT event_id, group_code, CASE WHEN n < 4 THEN 3 ELSE least((row_number() OVER (ORDER BY ts, event_id) - 1) // (n // 4), 3) END::INT AS segment,
     floor(date_diff('day', lo, ts) / 7)::INT AS period FROM events JOIN c USING (event_type), s""",
 )
 def group_codes(spark, sf):
