@@ -128,3 +128,62 @@ def parse_json_answers(answers: DataFrame, key: list[str], column: str = "answer
     ])
     flat = rows.select(*key, F.inline(entries))
     return flat.select(*key, "list", F.posexplode("items").alias("position", "item"))
+
+
+#: Parts of a knowledge answer with the fields that their entries may have.
+KNOWLEDGE = {
+    "relationships": ("source", "target", "type", "description", "confidence"),
+    "constraints": ("source", "target", "type", "description"),
+}
+
+
+def parse_knowledge_answers(answers: DataFrame, key: list[str], column: str = "answer") -> DataFrame:
+    """(key…, part, position, name, source, target, type, description, confidence, possible_values): what a JSON answer says about a domain.
+
+    Parts are ``variables`` (an object by name), ``relationships`` and ``constraints`` (arrays) and ``background`` (a text, as description). The answer is parsed
+    once, to a Variant; a fence around it is taken off. Entries of other shapes and answers that are no JSON give no rows; fields that an entry lacks, or that do not
+    parse, are null. Variables come in the order of their names.
+    """
+    doc = answers.select(*key, F.try_parse_json(strip_fence(F.coalesce(F.col(column), F.lit("")))).alias("_v"))
+    names = ("name", "source", "target", "type", "description")
+
+    def entry(v: Column, fields, name: Column | None = None) -> Column:
+        given = {f: F.try_variant_get(v, f"$.{f}", "string") for f in fields}
+        given["name"] = name
+        values = F.try_variant_get(v, "$.possible_values", "array<string>")
+        text = [(F.lit(None).cast("string") if given.get(f) is None else given[f]).alias(f) for f in names]
+        confidence = F.try_variant_get(v, "$.confidence", "double") if "confidence" in fields else F.lit(None).cast("double")
+        return F.struct(*text, confidence.alias("confidence"), values.alias("possible_values"))
+
+    def objects(path: str) -> Column:
+        return F.filter(F.try_variant_get("_v", path, "array<variant>"), lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
+
+    by_name = F.array_sort(F.map_keys(F.try_variant_get("_v", "$.variables", "map<string,variant>")))
+    variables = F.map_entries(F.try_variant_get("_v", "$.variables", "map<string,variant>"))
+    ordered = F.flatten(F.transform(by_name, lambda n: F.filter(variables, lambda e: e["key"] == n)))
+    parts = {"variables": F.transform(ordered, lambda e: entry(e["value"], ("type", "description"), e["key"]))}
+    for part, fields in KNOWLEDGE.items():
+        parts[part] = F.transform(objects(f"$.{part}"), lambda v: entry(v, fields))
+    background = F.try_variant_get("_v", "$.background", "string")
+    kind = "struct<name:string,source:string,target:string,type:string,description:string,confidence:double,possible_values:array<string>>"
+    alone = F.struct(*[(background if f == "description" else F.lit(None).cast("string")).alias(f) for f in names], F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("array<string>").alias("possible_values"))
+    none = F.array().cast(f"array<{kind}>")
+    parts["background"] = F.when(F.length(background) > 0, F.array(alone)).otherwise(none)
+    rows = doc.select(*key, F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.coalesce(v, none).alias("entries")) for p, v in parts.items()])))
+    return rows.select(*key, "part", F.posexplode("entries").alias("position", "e")).select(*key, "part", "position", "e.*")
+
+
+#: What the numbers of a direction answer stand for.
+DIRECTIONS = {"1": "forward", "2": "backward", "3": "bidirected"}
+
+
+def parse_conflict_answers(answers: DataFrame, key: list[str], column: str = "answer") -> DataFrame:
+    """(key…, direction, confidence): the first ``Direction: 1/2/3`` and ``Confidence: n`` lines; answers without both, or with other values, give no row."""
+    lines = F.split(F.coalesce(F.col(column), F.lit("")), "\n")
+
+    def first(label: str) -> Column:
+        return F.trim(F.get(F.split(F.get(F.filter(lines, lambda s: F.ltrim(s).startswith(f"{label}:")), 0), ":"), 1))
+
+    names = F.create_map(*[F.lit(x) for kv in DIRECTIONS.items() for x in kv])
+    out = answers.select(*key, F.try_element_at(names, first("Direction")).alias("direction"), first("Confidence").try_cast("int").alias("confidence"))
+    return out.where("direction is not null and confidence is not null")

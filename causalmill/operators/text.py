@@ -5,9 +5,8 @@ Chunk tables have document_id, chunk_id, content, metadata map<string,string> an
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lineage import cut_lineage, row_bound
+from ..functions.lineage import cut_lineage
 
 EMPTY = "[Empty file]"
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
@@ -138,6 +137,28 @@ def ingest_new(
     return chunks, listing
 
 
+def ingest_stream(
+    spark: SparkSession, folder: str, store: str, progress: str, run: str, patterns: str = "*.{txt,md}", separator: str = "\n\n",
+    document_id: str = r"([^/]+)$", files_per_batch: int = 1000,
+) -> DataFrame:
+    """Read the files under ``folder`` that no earlier call has read, add their chunks to ``store``, and return the table of all chunks.
+
+    A file stream that ends when nothing new is left: its log in ``progress`` is the record of what is stored, so a file is read once even if a run is
+    broken off and started again, and files of any number go through in batches. Files of no bytes are passed over. ``document_id`` takes the id from the path; ``run`` names the call in the table.
+    """
+    raw = (
+        spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", patterns)
+        .option("maxFilesPerTrigger", files_per_batch).schema("value string").load(folder)
+    )
+    files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("document_id", F.regexp_extract("path", document_id, 1))
+    chunks = chunk_paragraphs(files.withColumn("title", extract_title(F.col("text"))), "text", ["document_id", "path", "title"], separator)
+    query = chunks.withColumn("run", F.lit(run)).writeStream.format("parquet").option("path", store).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.read.schema(chunks.withColumn("run", F.lit(run)).schema).parquet(store)
+
+
 def list_documents(chunks: DataFrame) -> DataFrame:
     """(document_id, chunks, characters, metadata of the first chunk)."""
     return chunks.groupBy("document_id").agg(
@@ -178,59 +199,31 @@ def metadata_condition(where: Mapping[str, str]) -> Column:
 
 def vector_topk(
     queries: DataFrame, chunks: DataFrame, k: int = 5, min_score: float = 0.2, where: Mapping[str, str] | None = None,
-    metric: str = "sqeuclidean", query_block: int = 2048,
+    metric: str = "sqeuclidean", counts: dict | None = None,
 ) -> DataFrame:
     """(query_id, document_id, chunk_id, distance, score, rank): exact nearest chunks of every query.
 
-    Questions travel to the chunks: a block of at most ``query_block`` query vectors is broadcast, every task keeps its ``k``
-    best chunks per query over all its batches, and only those are shuffled. More queries make more passes.
-    score = 1 - d for d <= 1, else 1/d; scores below ``min_score`` are dropped.
+    The chunks are stored by cell and ring around centroids; all questions go through them in one pass and read only the rings that the triangle bound
+    cannot shut out (``vectors.nearest``). score = 1 - d for d <= 1, else 1/d; scores below ``min_score`` are dropped. With ``cosine``, vectors of
+    length 0 have no direction and are neither asked nor found.
     """
+    from .vectors import nearest
+
+    def unit(c: str) -> Column:
+        wide = F.transform(F.col(c), lambda v: v.cast("double"))
+        if metric != "cosine":
+            return wide
+        norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, v: a + v * v))
+        return F.when(norm > 0, F.transform(wide, lambda v: v / norm))
+
     rows = chunks.where(metadata_condition(where)) if where else chunks
-    rows = rows.select("document_id", "chunk_id", "embedding").where(F.col("embedding").isNotNull())
-    asked = queries.select("query_id", F.col("embedding").alias("_q"))
-    if row_bound(asked, query_block) > query_block:
-        blocks = -(-asked.count() // query_block)
-        asked = cut_lineage(asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks * 2))))
-        parts = [asked.where(F.col("_b") == b).drop("_b") for b in range(blocks * 2)]  # blocks about half full
-    else:
-        parts = [asked]
-    types = dict(rows.dtypes)
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, document_id {types['document_id']}, chunk_id {types['chunk_id']}, distance double"
-    found = None
-    for part in parts:
-        block = part.collect()  # at most query_block vectors
-        if not block:
-            continue
-        ids = [r.query_id for r in block]
-        vecs = np.array([r._q for r in block], dtype=float)
-        shared = rows.sparkSession.sparkContext.broadcast((ids, vecs))
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            best: list[list[tuple]] = [[] for _ in names]
-            for pdf in batches:
-                x = np.vstack(pdf["embedding"].to_numpy()).astype(float)
-                if metric == "cosine":
-                    d = 1.0 - (q @ x.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1))
-                else:
-                    d = np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2.0 * q @ x.T, 0.0)
-                    d = np.sqrt(d) if metric == "euclidean" else d
-                docs, cids = pdf["document_id"].tolist(), pdf["chunk_id"].tolist()
-                for i in range(len(names)):
-                    near = np.argpartition(d[i], k - 1)[:k] if d.shape[1] > k else np.arange(d.shape[1])
-                    limit = d[i][near].max()
-                    near = np.nonzero(d[i] <= limit)[0]  # ties of the k-th stay in
-                    best[i] = sorted(best[i] + [(float(d[i][j]), docs[j], cids[j]) for j in near])[:k]
-            out = [(n, doc, c, dist) for n, b in zip(names, best) for dist, doc, c in b]
-            yield pd.DataFrame(out, columns=["query_id", "document_id", "chunk_id", "distance"])
-
-        one = rows.mapInPandas(nearest, schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], schema)
-    w = Window.partitionBy("query_id").orderBy("distance", "document_id", "chunk_id")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rows = rows.select("document_id", "chunk_id", unit("embedding").alias("_v")).where("_v is not null")
+    asked = cut_lineage(queries.select("query_id", unit("embedding").alias("_e")).where("_e is not null").withColumn("_q", F.monotonically_increasing_id()))
+    found = nearest(asked.select("_q", "_e"), rows, k, counts).join(asked.select("_q", "query_id"), "_q")
+    d = F.col("_dist")
+    distance = {"cosine": d * d / 2, "euclidean": d}.get(metric, d * d)  # between unit vectors, 1 - cosine is half the squared distance
+    w = Window.partitionBy("_q").orderBy("distance", "document_id", "chunk_id")
+    ranked = found.withColumn("distance", distance).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     d = F.col("distance")
     scored = ranked.withColumn("score", F.when(d <= 1.0, 1.0 - d).otherwise(1.0 / d))
     return scored.where(F.col("score") >= min_score).select("query_id", "document_id", "chunk_id", "distance", "score", "rank")

@@ -46,6 +46,29 @@ def read_json_oriented(spark, sf):
     return files.read_json_oriented(spark, path, "lines", df.schema)
 
 
+@query("read_json_shapes", ORDERS_SQL)
+def read_json_shapes(spark, sf):
+    """Orders as one JSON table per twenty customers, in turn as records, columns, index, split and arrays; the reader finds each form."""
+    df, path = _orders(spark, sf), scratch(spark, "json")
+    text = F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    group = F.floor(F.col("o_custkey") / 20)
+    tables = df.groupBy(group.alias("g")).agg(F.collect_list(F.struct(*df.columns)).alias("rows"), F.collect_list(text).alias("texts"))
+    each = lambda make: F.map_from_entries(F.transform("texts", lambda r, i: F.struct(i.cast("string").alias("k"), make(r).alias("v"))))
+    cell = lambda c: lambda r: r[c]
+    shapes = [
+        F.to_json("rows"),
+        F.to_json(F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), each(cell(c)).alias("v")) for c in df.columns]))),
+        F.to_json(each(lambda r: r)),
+        F.to_json(F.struct(F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.transform("texts", lambda r: F.array(*[r[c] for c in df.columns])).alias("data"))),
+        F.to_json(F.struct(*[F.transform("texts", cell(c)).alias(c) for c in df.columns])),
+    ]
+    form = shapes[-1]
+    for k, s in enumerate(shapes[:-1]):
+        form = F.when(F.col("g") % len(shapes) == k, s).otherwise(form)
+    tables.select(form.alias("value")).write.text(path)
+    return files.read_json_oriented(spark, path, schema=df.schema, documents="line")
+
+
 @query("read_parquet", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def read_parquet(spark, sf):
     return files.read_parquet(spark, f"{sf}/orders.parquet").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))

@@ -63,27 +63,6 @@ def sanitize_metadata(spark, sf):
     return out.select("doc_id", *[F.try_element_at("metadata", F.lit(c)).alias(c) for c in ("lang", "source", "n_chars", "quality", "tags")])
 
 
-@query(
-    "ingest_new",
-    r"""WITH c AS (SELECT sum(length(regexp_replace(text, '\s', '', 'g')))::BIGINT AS n FROM documents)
-    SELECT 'first' AS pass, n AS characters, 0::BIGINT AS stored_files FROM c UNION ALL SELECT 'second', 0, 4 FROM c""",
-)
-def ingest_new(spark, sf):
-    """The corpus as four text files; the second pass finds all of them stored."""
-    root = scratch(spark, "corpus")
-    _docs(spark, sf).select("text").repartition(4).write.text(root)
-    out, stored = None, None
-    for name in ("first", "second"):
-        chunks, found = text.ingest_new(spark, root, stored, "*.txt")
-        chunks = cut_lineage(chunks)
-        n = chunks.agg(F.coalesce(F.sum(F.length(F.regexp_replace("content", r"\s", ""))), F.lit(0)).alias("characters")).withColumn("pass", F.lit(name))
-        k = found.agg(F.count(F.when(F.col("status") == "stored", 1)).alias("stored_files")).withColumn("pass", F.lit(name))
-        one = n.join(k, "pass")
-        out = one if out is None else out.unionByName(one)
-        stored = chunks
-    return out
-
-
 def _chunk_table(spark, sf):
     """Paragraph chunks of all documents, named by source, with metadata."""
     df = text.sanitize_metadata(_docs(spark, sf).withColumn("title", text.extract_title(F.col("text"))), ["lang", "source", "title"])
@@ -95,6 +74,22 @@ k AS (SELECT doc_id, lang, source, i::INT AS chunk_id, {STRIP.format('c')} AS co
 UNION ALL SELECT doc_id, lang, source, 0, '[Empty file]' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE content <> ''))"""
 
 
+@query(
+    "ingest_new",
+    f"""WITH {CHUNKS} SELECT doc_id::VARCHAR AS document_id, CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS run, chunk_id, md5(content) AS content FROM ck""",
+)
+def ingest_new(spark, sf):
+    """Every document is a file; the English ones are there at the first run, the others come before the second, and the third finds nothing new."""
+    root = scratch(spark, "corpus")
+    store, progress = scratch(spark, "chunks"), scratch(spark, "progress")
+    docs, english = _docs(spark, sf).select("doc_id", "text", "lang"), F.coalesce(F.col("lang") == "en", F.lit(False))
+    for run, part in (("first", docs.where(english)), ("second", docs.where(~english)), ("third", None)):
+        if part is not None:
+            part.select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(f"{root}/{run}")
+        chunks = text.ingest_stream(spark, root, store, progress, run, "*.txt", "\n", r"doc_id=([^/]+)/")
+    return chunks.select("document_id", "run", "chunk_id", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
 @query("list_documents", f"WITH {CHUNKS} SELECT doc_id AS document_id, count(*) AS chunks, sum(length(content))::BIGINT AS characters, any_value(lang) AS lang FROM ck GROUP BY 1")
 def list_documents(spark, sf):
     return text.list_documents(_chunk_table(spark, sf)).select("document_id", "chunks", "characters", F.col("metadata")["lang"].alias("lang"))
@@ -114,7 +109,7 @@ def get_delete_chunks(spark, sf):
 
 @query("embed_text")
 def embed_text(spark, sf):
-    out = text.embed_text(_docs(spark, sf).select("doc_id", "text"), "text", 128)
+    out = text.embed_text(_docs(spark, sf).select("doc_id", "text"), "text", 256)
     return out.select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
 
 
@@ -178,12 +173,12 @@ def hybrid_search(spark, sf):
 
 PACK = f"""{TITLED}, doc AS (SELECT *, 'Document: ' || title || ' (Unknown Author)' || chr(10) || chr(10) || content AS body FROM titled),
 tok AS (SELECT *, length(body) // 4 AS tk, sum(length(body) // 4) OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS run FROM doc),
-pack AS (SELECT query_id, count(*) AS documents, sum(tk)::BIGINT AS tokens, string_agg(body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, document_id) AS context FROM tok WHERE run <= 1500 GROUP BY 1)"""
+pack AS (SELECT query_id, count(*) AS documents, sum(tk)::BIGINT AS tokens, string_agg(body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY score DESC, document_id) AS context FROM tok WHERE run <= 4000 GROUP BY 1)"""
 
 
 @query("context_pack", f"WITH {FOUND}, {PACK} SELECT * FROM pack")
 def context_pack(spark, sf):
-    return text.context_pack(_retrieved(spark, sf), 1500)
+    return text.context_pack(_retrieved(spark, sf), 4000)
 
 
 @query(
@@ -193,7 +188,7 @@ def context_pack(spark, sf):
 )
 def augment_prompts(spark, sf):
     prompts = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("prompt"), F.lit("Be brief.").alias("system_prompt"))
-    packs = text.context_pack(_retrieved(spark, sf), 1500).withColumn("query_id", F.col("query_id").cast("long"))
+    packs = text.context_pack(_retrieved(spark, sf), 4000).withColumn("query_id", F.col("query_id").cast("long"))
     return text.augment_prompts(prompts, packs)
 
 
@@ -287,3 +282,38 @@ def parse_json_answers(spark, sf):
     free = F.format_string("My view.\nPrimary\n- pc\n- ges %d\n\nSecondary:\n1. anm\nNot recommended\n* size %d", F.col("n"), F.col("n"))
     ans = F.when(F.col("id") < 8, half).when(F.col("id") < 16, full).otherwise(free)
     return answers.parse_json_answers(n.select("id", ans.alias("answer")), ["id"])
+
+
+KNOWN = "n AS (SELECT c_nationkey AS id, count(*) AS n FROM customer GROUP BY 1)"
+
+
+@query(
+    "parse_knowledge_answers",
+    f"""WITH {KNOWN}, e AS (
+    SELECT id, 'variables' AS part, 0 AS position, 'age group' AS name, NULL AS source, NULL AS target, 'categorical' AS type, NULL AS description, NULL::DOUBLE AS confidence, ['young', 'old ' || n] AS possible_values FROM n WHERE id < 16
+    UNION ALL SELECT id, 'variables', 1, 'income', NULL, NULL, 'continuous', 'mean of ' || n, NULL, NULL FROM n WHERE id < 16
+    UNION ALL SELECT id, 'relationships', 0, NULL, 'age group', 'income', 'direct', 'n=' || n, CASE WHEN id < 8 THEN 0.9::DOUBLE END, NULL FROM n WHERE id < 16
+    UNION ALL SELECT id, 'constraints', 0, NULL, 'income', 'age group', 'forbidden_edge', NULL, NULL, NULL FROM n WHERE id < 8
+    UNION ALL SELECT id, 'background', 0, NULL, NULL, NULL, NULL, n || ' customers', NULL, NULL FROM n WHERE id < 8) FROM e""",
+)
+def parse_knowledge_answers(spark, sf):
+    n = load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    variables = '"variables": {"income": {"description": "mean of %d", "type": "continuous"}, "age group": {"type": "categorical", "possible_values": ["young", "old %d"]}}'
+    full = F.format_string(
+        "As asked:\n```json\n{" + variables + ', "relationships": [{"source": "age group", "target": "income", "confidence": 0.9, "type": "direct", "description": "n=%d"}, "oops"], '
+        '"constraints": [{"type": "forbidden_edge", "source": "income", "target": "age group"}], "background": "%d customers"}\n```', *["n"] * 4,
+    )
+    half = F.format_string("{" + variables + ', "relationships": [{"source": "age group", "target": "income", "confidence": "sure", "type": "direct", "description": "n=%d"}], "constraints": {}}', *["n"] * 3)
+    ans = F.when(F.col("id") < 8, full).when(F.col("id") < 16, half).otherwise("I know nothing of {this}.")
+    return answers.parse_knowledge_answers(n.select("id", ans.alias("answer")), ["id"])
+
+
+@query(
+    "parse_conflict_answers",
+    f"WITH {KNOWN} SELECT id, ['forward', 'backward', 'bidirected'][id % 3 + 1] AS direction, (n % 10 + 1)::INT AS confidence FROM n WHERE id < 20",
+)
+def parse_conflict_answers(spark, sf):
+    n = load(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    good = F.concat(F.lit("Let me think.\n  Direction: "), F.col("id") % 3 + 1, F.lit("\nConfidence: "), F.col("n") % 10 + 1, F.lit("\nReasoning: as above\nDirection: 9"))
+    ans = F.when(F.col("id") < 20, good).when(F.col("id") < 22, "Direction: 1\nno confidence").when(F.col("id") < 24, "Direction: both\nConfidence: 3")
+    return answers.parse_conflict_answers(n.select("id", ans.alias("answer")), ["id"])

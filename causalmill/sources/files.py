@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,30 +56,92 @@ def read_delimited_text(spark: SparkSession, path: str, header: bool = True, sch
     return _read_separated(spark, path, _separator(_head(spark, path), TEXT_SEPARATORS), header, schema)
 
 
+ORIENTS = ("auto", "lines", "records", "columns", "index", "split")
+
+
 def read_json_oriented(
-    spark: SparkSession, path: str, orient: str = "records", schema: T.StructType | None = None
+    spark: SparkSession, path: str, orient: str = "auto", schema: T.StructType | None = None, documents: str = "file"
 ) -> DataFrame:
-    """JSON tables: ``lines`` (one record per line, splittable), ``records`` (array), ``columns``, ``index``, ``split``.
+    """JSON tables: ``lines`` (one record per line, splittable), ``records`` (array of objects), ``columns``, ``index``, ``split``.
 
-    The last three hold a table in one JSON document per file. A document cannot be cut, so each *file* is one task;
-    many files are read side by side. Their cells come back as strings unless ``schema`` is given.
+    ``auto`` finds the form: lines from the first lines of the text, the others document by document from the value (``json_tables``), so one folder may hold
+    several. A document cannot be cut, so each *file* is one task, or with ``documents="line"`` each line holds a document. Cells come back as strings
+    unless ``schema`` is given.
     """
-    if orient in ("lines", "records"):
-        reader = spark.read.option("multiLine", orient == "records")
+    if orient not in ORIENTS or documents not in ("file", "line"):
+        raise ValueError(f"unknown orient or documents: {orient}, {documents}")
+    if orient == "lines" or (orient == "auto" and documents == "file" and _is_lines(spark, path)):
+        reader = spark.read.option("mode", "PERMISSIVE")
+        return (reader.schema(schema) if schema is not None else reader).json(path)
+    if orient == "records" and documents == "file":
+        reader = spark.read.option("multiLine", True)
         return (reader.schema(schema) if schema is not None else reader).json(path)
-    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
-    if orient == "split":
-        doc = raw.select(F.from_json("value", "columns array<string>, data array<array<string>>").alias("d"))
-        names = schema.names if schema is not None else doc.select("d.columns").first()[0]
-        cells = doc.select("d.columns", F.explode("d.data").alias("row"))
-        return cells.select(*[_typed(F.element_at("row", F.array_position("columns", c).cast("int")), c, schema) for c in names])
-    if orient not in ("columns", "index"):
-        raise ValueError(f"unknown orient: {orient}")
-    doc = raw.select("_file", F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("outer", "inner"))
-    flat = doc.select("_file", "outer", F.explode("inner").alias("inner", "cell"))
-    row, column = ("inner", "outer") if orient == "columns" else ("outer", "inner")
-    names = schema.names if schema is not None else [r[0] for r in flat.select(column).distinct().orderBy(column).collect()]
-    wide = flat.groupBy("_file", row).pivot(column, names).agg(F.first("cell", ignorenulls=True))
+    return json_tables(spark.read.text(path, wholetext=documents == "file"), "value", orient, schema)
+
+
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Two lines or more, each of the first ones an object of its own."""
+    lines = _head(spark, path)
+    if len(lines) < 2:
+        return False
+    found = spark.createDataFrame([(line,) for line in lines], "line string").select(F.try_variant_get(F.try_parse_json("line"), "$", "map<string,variant>").alias("o"))
+    return found.where("o is null").isEmpty()
+
+
+def json_shape(document: Column) -> Column:
+    """The form of a table in a Variant: records, split, columns, index, lists (an object of arrays), record (a single object), or null for anything else.
+
+    Objects of objects are read by columns, unless only the outer keys are row numbers.
+    """
+    rows, parts = F.try_variant_get(document, "$", "array<map<string,variant>>"), F.try_variant_get(document, "$", "map<string,variant>")
+    nested, lists = F.try_variant_get(document, "$", "map<string,map<string,variant>>"), F.try_variant_get(document, "$", "map<string,array<variant>>")
+    known = lambda values: F.forall(values, lambda v: v.isNotNull())  # noqa: E731 - what does not fit a type inside is null
+    number = lambda k: k.rlike(r"^-?\d+$")
+    by_row = F.forall(F.map_keys(nested), number) & ~F.forall(F.flatten(F.transform(F.map_values(nested), lambda m: F.map_keys(m))), number)
+    return (
+        F.when(known(rows), "records")
+        .when(F.try_variant_get(document, "$.columns", "array<string>").isNotNull() & F.try_variant_get(document, "$.data", "array<array<variant>>").isNotNull(), "split")
+        .when((F.size(nested) > 0) & known(F.map_values(nested)), F.when(by_row, "index").otherwise("columns"))
+        .when((F.size(lists) > 0) & known(F.map_values(lists)), "lists")
+        .when(parts.isNotNull(), "record")
+    )
+
+
+def json_cells(documents: DataFrame, column: str, orient: str = "auto") -> DataFrame:
+    """(_document, row, column, cell): every cell of the tables in ``documents``, one JSON text each; texts of no known form give none."""
+    doc = documents.select(F.monotonically_increasing_id().alias("_document"), F.try_parse_json(column).alias("v"))
+    doc = doc.select("_document", "v", (json_shape(F.col("v")) if orient == "auto" else F.lit(orient)).alias("shape"))
+    cell = "struct<row:string,column:string,cell:string>"
+
+    def get(path: str, kind: str) -> Column:
+        return F.try_variant_get("v", path, kind)
+
+    def entries(of: Column, make) -> Column:
+        return F.transform(F.map_entries(of), make)
+
+    def struct(row: Column, name: Column, value: Column) -> Column:
+        return F.struct(row.cast("string").alias("row"), name.alias("column"), value.alias("cell"))
+
+    strings, rows = "map<string,string>", get("$", "array<map<string,string>>")
+    outer = get("$", "map<string,map<string,string>>")
+    names = get("$.columns", "array<string>")
+    found = (
+        F.when(F.col("shape") == "records", F.flatten(F.transform(rows, lambda r, i: entries(r, lambda e: struct(i, e["key"], e["value"])))))
+        .when(F.col("shape") == "split", F.flatten(F.transform(get("$.data", "array<array<string>>"), lambda r, i: F.transform(names, lambda n, j: struct(i, n, F.get(r, j))))))
+        .when(F.col("shape") == "columns", F.flatten(entries(outer, lambda o: entries(o["value"], lambda e: struct(e["key"], o["key"], e["value"])))))
+        .when(F.col("shape") == "index", F.flatten(entries(outer, lambda o: entries(o["value"], lambda e: struct(o["key"], e["key"], e["value"])))))
+        .when(F.col("shape") == "lists", F.flatten(entries(get("$", "map<string,array<string>>"), lambda o: F.transform(o["value"], lambda x, i: struct(i, o["key"], x)))))
+        .when(F.col("shape") == "record", entries(get("$", strings), lambda e: struct(F.lit(0), e["key"], e["value"])))
+        .otherwise(F.array().cast(f"array<{cell}>"))
+    )
+    return doc.select("_document", F.inline(found))
+
+
+def json_tables(documents: DataFrame, column: str, orient: str = "auto", schema: T.StructType | None = None) -> DataFrame:
+    """The rows of all tables in ``documents`` in one pass; a column that a table lacks is null. Columns come from ``schema``, or by name from the documents."""
+    cells = json_cells(documents, column, orient)
+    names = schema.names if schema is not None else [r[0] for r in cells.select("column").distinct().orderBy("column").collect()]  # columns of a table
+    wide = cells.groupBy("_document", "row").pivot("column", names).agg(F.first("cell", ignorenulls=True))
     return wide.select(*[_typed(F.col(f"`{c}`"), c, schema) for c in names])
 
 
@@ -107,22 +169,20 @@ def dataset_metadata(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "errorifexists") -> DataFrame:
-    """Save as csv, json or parquet (format from the extension unless given); returns (path, format, rows, bytes)."""
+    """Save as csv, json or parquet (format from the extension unless given); returns (path, format, rows, bytes).
+
+    One job: the rows are observed while they are written, nothing is read back. ``bytes`` is the size of the files in the folder, from their listing.
+    """
     spark = df.sparkSession
     kind = fmt or FORMATS.get(path.rsplit(".", 1)[-1].lower())
     if kind not in set(FORMATS.values()):
         raise ValueError(f"cannot tell the format of {path}")
-    writer = df.write.mode(mode)
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
-    written = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    size = written.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
-    back = spark.read.schema(df.schema).format(kind)
-    rows = (back.option("header", True) if kind == "csv" else back).load(path).agg(F.count(F.lit(1)).alias("rows"))
-    total = rows.select("rows", F.lit(0).cast("long").alias("bytes")).unionByName(
-        size.select(F.lit(0).cast("long").alias("rows"), "bytes")
-    )
-    return total.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).select(
-        F.lit(path).alias("path"), F.lit(kind).alias("format"), "rows", "bytes"
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return listing.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).select(
+        F.lit(path).alias("path"), F.lit(kind).alias("format"), F.lit(seen.get["rows"]).cast("long").alias("rows"), "bytes"
     )
 
 

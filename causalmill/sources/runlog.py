@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def append(df: DataFrame, root: str, table: str) -> None:
-    """Append rows to one of the run tables under ``root``."""
-    df.write.mode("append").parquet(f"{root}/{table}")
+def append(df: DataFrame, root: str, table: str) -> int:
+    """Append rows to one of the run tables under ``root``; how many, as observed by the write."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(f"{root}/{table}")
+    return seen.get["rows"]
 
 
-def append_graph(runs: DataFrame, edges: DataFrame, root: str) -> None:
-    """Store run rows with node and edge counts taken from their edge table (keyed by ``run_id``)."""
+def append_graph(runs: DataFrame, edges: DataFrame, root: str) -> dict[str, int]:
+    """Store run rows with node and edge counts taken from their edge table (keyed by ``run_id``); the rows written to each table."""
     ends = edges.select("run_id", F.explode(F.array("src", "dst")).alias("node"))
     nodes = ends.groupBy("run_id").agg(F.count_distinct("node").alias("nodes_count"))
     counts = edges.groupBy("run_id").agg(F.count(F.lit(1)).alias("edges_count")).join(nodes, "run_id")
@@ -20,8 +22,7 @@ def append_graph(runs: DataFrame, edges: DataFrame, root: str) -> None:
     full = runs.join(counts, "run_id", "left").withColumns(
         {c: F.coalesce(c, zero) for c in ("nodes_count", "edges_count")}
     )
-    append(full, root, "runs")
-    append(edges, root, "run_edges")
+    return {"runs": append(full, root, "runs"), "run_edges": append(edges, root, "run_edges")}
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
