@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.joins import join_checked, zip_single_rows
+from ..functions.joins import zip_single_rows
 from ..functions.lineage import cut_lineage
 from ..functions.moments import complete_rows, correlation, feature_moments, from_moments, moment_rows, ols, partial_correlation
 from ..functions.ordered import range_slices, with_position, with_running_sums, with_suffix_min
 from ..functions.pvalues import chi2_p, f_p, gamma_q, ks_p, norm_two_sided_p, t_p, t_quantile, t_two_sided
-from ..functions.quantiles import average_ranks
 from .scaling import _moments
 
 _SQL_PAIRS, _SQL_PAIRS_BY = 6, 15  # more pairs than this outgrow one compiled aggregation
@@ -113,19 +112,50 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return wide.select(*by, "column", *[F.when(F.col("column") == c, F.lit(1.0)).otherwise(F.col(c)).alias(c) for c in columns])
 
 
+def with_average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the average rank of ``column`` (1-based, equal values share the mean of their places), from positions in sorted slices.
+
+    The table is sorted over all tasks; inside a slice the peers of a value give its first and last place, and a table with one row per slice joins
+    the runs of equal values that cross slices. A value that a third of the rows hold lies in a third of the slices.
+    """
+    kept = rows.columns
+    slices = range_slices(rows.withColumn("_tie", F.rand(7)), [column, "_tie"])  # equal values must not all go to one slice
+    peers = Window.partitionBy("_slice").orderBy(column).rangeBetween(Window.currentRow, Window.currentRow)
+    local = cut_lineage(slices.select(*kept, "_slice", F.min("_idx").over(peers).alias("_first"), F.max("_idx").over(peers).alias("_last")))
+    ends = local.groupBy("_slice").agg(
+        (F.max("_last") + 1).alias("n"), F.min_by(column, "_first").alias("low"), F.max_by(column, "_last").alias("high"),
+        F.min("_last").alias("low_last"), F.max("_first").alias("high_first"),
+    ).orderBy("_slice").collect()  # one row per slice
+    before = np.concatenate([[0], np.cumsum([e["n"] for e in ends])])
+    same = lambda a, b: a == b or (a != a and b != b)  # noqa: E731 - NaN is one value
+    first, last = [0] * len(ends), [0] * len(ends)
+    for i, e in enumerate(ends):  # where the run of the lowest value begins: here, or where the run that ends the slice before begins
+        joins = i > 0 and same(ends[i - 1]["high"], e["low"])
+        whole = joins and same(ends[i - 1]["low"], ends[i - 1]["high"])
+        first[i] = (first[i - 1] if whole else int(before[i - 1]) + ends[i - 1]["high_first"]) if joins else int(before[i])
+    for i in range(len(ends) - 1, -1, -1):
+        e = ends[i]
+        joins = i + 1 < len(ends) and same(ends[i + 1]["low"], e["high"])
+        whole = joins and same(ends[i + 1]["low"], ends[i + 1]["high"])
+        last[i] = (last[i + 1] if whole else int(before[i + 1]) + ends[i + 1]["low_last"]) if joins else int(before[i + 1]) - 1
+    table = rows.sparkSession.createDataFrame([(e["_slice"], int(before[i]), e["n"], first[i], last[i]) for i, e in enumerate(ends)], "_slice int, _before long, _n long, _run_first long, _run_last long")
+    joined = local.join(F.broadcast(table), "_slice")
+    begin = F.when(F.col("_first") == 0, F.col("_run_first")).otherwise(F.col("_before") + F.col("_first"))
+    end = F.when(F.col("_last") == F.col("_n") - 1, F.col("_run_last")).otherwise(F.col("_before") + F.col("_last"))
+    return joined.select(*kept, ((begin + end) / 2.0 + 1.0).alias(name))
+
+
 def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows that know all ``columns``, with ``{col}_rank`` (average rank)."""
     rows = complete_rows(df, columns)
-    ranks = cut_lineage(average_ranks(rows, columns))
     for c in columns:
-        one = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"{c}_rank"))
-        rows = join_checked(rows, one, [c])
+        rows = with_average_rank(rows, c, f"{c}_rank")
     return rows
 
 
 def corr_spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x, y, n, r): rank correlation over complete rows."""
-    ranked = rank_columns(df, columns)
+    ranked = rank_columns(df.select(*columns), columns)
     named = ranked.select(*[F.col(f"{c}_rank").alias(c) for c in columns])
     return pair_stats(named, columns).drop("cov")
 

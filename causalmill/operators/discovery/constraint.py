@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ...functions.cubes import counts_by_set, set_id
 from ...functions.lineage import cut_lineage
 from ...functions.moments import moment_rows, partial_correlation
 from ...functions.pvalues import chi2_p
@@ -37,12 +38,11 @@ def fisher_z(df: DataFrame, columns: Sequence[str], by: str | None = None) -> Te
     moments = cut_lineage(moment_rows(with_graph(df, by), cols, [G]))
 
     @F.pandas_udf(T.DoubleType())
-    def p_of(cov: pd.Series, n: pd.Series, x: pd.Series, y: pd.Series, given: pd.Series) -> pd.Series:
+    def p_of(cov: pd.Series, n: pd.Series, given: pd.Series) -> pd.Series:
         out = []
-        for c, rows, a, b, s in zip(cov, n, x, y, given):
-            m = np.asarray(c, dtype=float).reshape(p, p)
-            r = partial_correlation(m, cols.index(a), cols.index(b), [cols.index(v) for v in s])
-            free = rows - len(s) - 3
+        for c, rows, s in zip(cov, n, given):
+            r = partial_correlation(np.asarray(c, dtype=float).reshape(s + 2, s + 2), 0, 1, list(range(2, s + 2)))
+            free = rows - s - 3
             if not np.isfinite(r) or free <= 0:
                 out.append(1.0)
                 continue
@@ -51,26 +51,31 @@ def fisher_z(df: DataFrame, columns: Sequence[str], by: str | None = None) -> Te
         return pd.Series(out, dtype="float64")
 
     def run(tests: DataFrame) -> DataFrame:
-        rows = tests.join(moments.select(G, "n", "cov"), G)
-        return rows.select(*PAIR, "given", p_of("cov", "n", "x", "y", "given").alias("p_value"))
+        rows = tests.join(F.broadcast(moments.select(G, "n", "cov")), G) if by is None else tests.join(moments.select(G, "n", "cov"), G)  # one row, or one per graph
+        # only the numbers of the test's own columns go to Python
+        at = F.transform(F.concat(F.array("x", "y"), "given"), lambda c: F.array_position(F.lit(cols), c).cast("int") - 1)
+        own = F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: F.get("cov", i * p + j))))
+        return rows.select(*PAIR, "given", p_of(own, "n", F.size("given")).alias("p_value"))
 
     return run
 
 
 def count_test(df: DataFrame, columns: Sequence[str], by: str | None = None, statistic: str = "chi2") -> Tester:
-    """Chi-square or G² within the strata of the conditioning values, from counts of the value combinations that occur."""
+    """Chi-square or G² within the strata of the conditioning values, from counts of the value combinations that occur.
+
+    The combinations of all columns are counted once; from them one statement of grouping sets gives the counts of every column set that the tests ask for.
+    """
     cols = list(columns)
     cube = with_graph(df, by).select(G, *[F.col(c).cast("string").alias(c) for c in cols]).na.drop().groupBy(G, *cols).agg(F.count(F.lit(1)).alias("_n"))
-    values = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*cols))
-    cube = cut_lineage(cube.select(G, values.alias("_v"), "_n"))
+    cube = cut_lineage(cube)
 
     def run(tests: DataFrame) -> DataFrame:
+        named = tests.withColumn("_set", set_id(F.concat("given", F.array("x", "y"))))
         cell = lambda c: F.element_at("_v", c)
-        long = tests.join(cube, G).select(
-            *PAIR, "given", F.transform("given", cell).alias("stratum"), cell(F.col("x")).alias("a"), cell(F.col("y")).alias("b"), "_n"
+        counts = named.join(counts_by_set(cube, [G], cols, named), [G, "_set"]).select(
+            *PAIR, "given", F.transform("given", cell).alias("stratum"), cell(F.col("x")).alias("a"), cell(F.col("y")).alias("b"), "o"
         )
-        counts = long.groupBy(*PAIR, "given", "stratum", "a", "b").agg(F.sum("_n").alias("o"))
-        per = chi2_stats(counts, [*PAIR, "given", "stratum"], correction=False)
+        per = chi2_stats(cut_lineage(counts), [*PAIR, "given", "stratum"], correction=False)
         total = per.groupBy(*PAIR, "given").agg(F.sum(statistic).alias("s"), F.sum("dof").alias("d"))
         p = F.when(F.col("d") > 0, chi2_p(F.col("s"), F.col("d").cast("double"))).otherwise(F.lit(1.0))
         return total.select(*PAIR, "given", p.alias("p_value"))

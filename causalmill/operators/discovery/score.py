@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ...functions.cubes import counts_by_set, set_id
 from ...functions.lineage import cut_lineage
 from ...functions.moments import moment_rows
 from ..graph import G
@@ -40,7 +42,7 @@ def bic_scorer(df: DataFrame, columns: Sequence[str], by: str | None = None, pen
         return pd.Series(out, dtype="float64")
 
     def run(families: DataFrame) -> DataFrame:
-        rows = families.join(moments.select(G, "n", "cov"), G)
+        rows = families.join(F.broadcast(moments.select(G, "n", "cov")) if by is None else moments.select(G, "n", "cov"), G)  # one row, or one per graph
         return rows.select(*families.columns, score_of("cov", "n", "node", "parents").alias("score"))
 
     return run
@@ -84,24 +86,22 @@ def cv_scorer(df: DataFrame, columns: Sequence[str], key: Sequence[str], folds:
 
 
 def bdeu_scorer(df: DataFrame, columns: Sequence[str], by: str | None = None, prior: float = 1.0) -> Scorer:
-    """BDeu for categorical columns, from counts of the value combinations that occur."""
+    """BDeu for categorical columns, from counts of the value combinations that occur: one statement of grouping sets serves all families."""
     from ...functions.pvalues import lgamma_col
 
     cols = list(columns)
     text = with_graph(df, by).select(G, *[F.col(c).cast("string").alias(c) for c in cols]).na.drop()
-    cube = text.groupBy(G, *cols).agg(F.count(F.lit(1)).alias("_n"))
-    values = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*cols))
-    cube = cut_lineage(cube.select(G, values.alias("_v"), "_n"))
-    levels = cube.select(G, F.explode("_v").alias("c", "v")).distinct().groupBy(G, "c").agg(F.count(F.lit(1)).alias("k"))
-    levels = cut_lineage(levels.groupBy(G).agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("_k")))
+    cube = cut_lineage(text.groupBy(G, *cols).agg(F.count(F.lit(1)).alias("_n")))
+    levels = cut_lineage(cube.select(G, F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols]))).distinct().groupBy(G, "c").agg(F.count(F.lit(1)).alias("k")))
 
     def run(families: DataFrame) -> DataFrame:
-        rows = families.join(cube, G)
-        cells = rows.select(*families.columns, F.transform("parents", lambda c: F.element_at("_v", c)).alias("_p"), F.element_at("_v", F.col("node")).alias("_x"), "_n")
-        fine = cells.groupBy(*families.columns, "_p", "_x").agg(F.sum("_n").cast("double").alias("nijk")).join(levels, G)
-        q = F.aggregate("parents", F.lit(1.0), lambda a, c: a * F.element_at("_k", c))
-        r = F.element_at("_k", F.col("node")).cast("double")
-        fine = fine.withColumn("ajk", F.lit(float(prior)) / (q * r)).withColumn("aj", F.lit(float(prior)) / q)
+        named = families.withColumn("_set", set_id(F.concat("parents", F.array("node"))))
+        cells = named.join(counts_by_set(cube, [G], cols, named), [G, "_set"])
+        fine = cells.select(*families.columns, F.transform("parents", lambda c: F.element_at("_v", c)).alias("_p"), F.col("o").cast("double").alias("nijk"))
+        wide = named.select(*families.columns, F.explode(F.concat("parents", F.array("node"))).alias("c")).join(levels, [G, "c"])
+        k = F.col("k").cast("double")
+        wide = wide.groupBy(*families.columns).agg(F.coalesce(F.product(F.when(F.col("c") != F.col("node"), k)), F.lit(1.0)).alias("q"), F.max(F.when(F.col("c") == F.col("node"), k)).alias("r"))
+        fine = fine.join(wide, families.columns).withColumn("ajk", F.lit(float(prior)) / (F.col("q") * F.col("r"))).withColumn("aj", F.lit(float(prior)) / F.col("q"))
         fine = fine.withColumn("_f", lgamma_col(F.col("nijk") + F.col("ajk")) - lgamma_col(F.col("ajk")))
         per = fine.groupBy(*families.columns, "_p").agg(F.sum("_f").alias("_f"), F.sum("nijk").alias("nij"), F.first("aj").alias("aj"))
         per = per.withColumn("_g", F.col("_f") + lgamma_col(F.col("aj")) - lgamma_col(F.col("nij") + F.col("aj")))
@@ -115,11 +115,11 @@ def score_batch(scorer: Scorer, families: DataFrame) -> DataFrame:
     return scorer(families)
 
 
-def greedy_search(scorer: Scorer, graphs: DataFrame, columns: Sequence[str], min_gain: float = 1e-6, max_rounds: int = 1000) -> DataFrame:
+def greedy_search(scorer: Scorer, graphs: DataFrame, columns: Sequence[str], min_gain: float = 1e-6, max_rounds: int = 1000, scored_per_round: list | None = None) -> DataFrame:
     """(graph_id, src, dst): greedy adding, removing and turning of edges while the score grows, on DAGs.
 
-    Each round makes a table of all allowed changes of all graphs, scores the families that change, and applies the best
-    change per graph; the two directions of a first edge score alike, the one from the smaller name is taken. ``state`` has one row per graph with its edges (p² at most).
+    Each round makes a table of all allowed changes of all graphs and applies the best change per graph. Scores are kept by family (node and parent set):
+    after the first round only the families around the node that changed are new and are scored; ``scored_per_round`` (if given) receives how many. The two directions of a first edge score alike, the one from the smaller name is taken. ``state`` has one row per graph with its edges (p² at most).
     """
     cols = list(columns)
     edge = "array<struct<s:string,d:string>>"
@@ -150,6 +150,8 @@ def greedy_search(scorer: Scorer, graphs: DataFrame, columns: Sequence[str], min
             out.append(s in seen)
         return pd.Series(out)
 
+    cache: list[DataFrame] = []
+    known = None
     for _ in range(max_rounds):
         moves = state.select(G, "e", F.inline(pairs))
         a, b = F.col("a"), F.col("b")
@@ -166,7 +168,15 @@ def greedy_search(scorer: Scorer, graphs: DataFrame, columns: Sequence[str], min
         parts = parts.when(F.col("kind") == "add", F.array(fam(b, F.col("pb"), -1.0), fam(b, grown, 1.0)))
         parts = parts.otherwise(F.array(fam(b, F.col("pb"), -1.0), fam(b, grown, 1.0), fam(a, F.col("pa"), -1.0), fam(a, less_a, 1.0)))
         long = cut_lineage(moves.select(G, "a", "b", "kind", F.inline(parts)))
-        scored = scorer(long.select(*FAMILY).distinct())
+        new = long.select(*FAMILY).distinct()
+        new = cut_lineage(new if known is None else new.join(known, FAMILY, "left_anti"))
+        if scored_per_round is not None:
+            scored_per_round.append(new.count())
+        fresh = cut_lineage(scorer(new))
+        cache.append(fresh)
+        if len(cache) > 8:
+            cache = [cut_lineage(reduce(DataFrame.unionByName, cache))]
+        known = scored = reduce(DataFrame.unionByName, cache)
         gains = long.join(scored, FAMILY).groupBy(G, "a", "b", "kind").agg(F.sum(F.col("w") * F.col("score")).alias("gain"))
         best = gains.where(F.col("gain") > min_gain).groupBy(G).agg(F.min_by(F.struct("a", "b", "kind"), F.struct(-F.round("gain", 6), F.col("a") > F.col("b"), "kind", "a", "b")).alias("m"))
         best = cut_lineage(best)

@@ -190,7 +190,7 @@ def var_lingam(spark, sf):
     return rounded(temporal.var_lingam(df.withColumn("mix", F.col("qty") + F.col("disc") + F.col("price")), ["price", "qty", "mix"], ["day"], 1), 3)
 
 
-TE_BINS = 6
+TE_BINS = 10
 
 
 def _te_sql() -> str:

@@ -43,11 +43,12 @@ def _defaults() -> None:
 
     for module, names in (
         (reshape, ["filter_conditions", "select_columns", "collapse_categories"]),
-        (missing, ["dropna", "impute_mean_median", "impute_mode_constant", "fill_forward_backward", "interpolate_time"]),
+        (missing, ["dropna", "impute_mean_median", "impute_mode_constant", "fill_forward_backward", "interpolate_time",
+                   "impute_knn", "impute_regression"]),
         (scaling, ["scale_standard", "scale_minmax", "scale_robust", "encode_onehot", "encode_label", "encode_ordinal",
-                   "bin_uniform", "bin_quantile"]),
-        (outliers, ["outlier_remove_rows", "outlier_replace"]),
-        (windows, ["lag_features", "diff_features", "rolling_features", "time_features", "parse_datetime", "resample"]),
+                   "bin_uniform", "bin_quantile", "bin_kmeans", "group_codes", "segments", "period_codes"]),
+        (outliers, ["outlier_zscore", "outlier_iqr", "outlier_remove_rows", "outlier_replace", "outlier_isolation_forest", "outlier_dbscan"]),
+        (windows, ["lag_features", "diff_features", "rolling_features", "time_features", "parse_datetime", "resample", "seasonal_decompose"]),
     ):
         for name in names:
             register_step(name, getattr(module, name))

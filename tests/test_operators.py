@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from causalmill.operators import answers, association, effects, graph, missing, outliers, scaling, text, windows
+from causalmill.operators import answers, association, effects, graph, missing, outliers, scaling, text, vectors, windows
 from causalmill.operators.discovery import constraint, lingam, pairwise, score, temporal
 from causalmill.plans.steps import run_steps
 from causalmill.sources import databases, files
@@ -92,14 +92,19 @@ def test_dbscan_noise_brute_force(spark):
 
 
 def test_isolation_forest_draws_each_tree_from_all_rows(spark):
-    """A table far longer than all samples: a tree's rows are those with the least hashes of key and tree, whatever other trees hold."""
-    df = spark.range(3000).select("id", F.rand(3).alias("x")).localCheckpoint()
+    """A table far longer than all samples: a hash says into how many trees a row goes, others into which; a tree takes the rows of least hash."""
+    df = spark.range(3000).select("id", F.rand(3).alias("x")).persist()
     x = {r.id: r.x for r in df.collect()}
-    hashes = df.select("id", *[F.xxhash64("id", F.lit(t), F.lit(42)).alias(f"h{t}") for t in (0, 1)]).collect()
-    depth = np.zeros(len(x))
+    hashes = df.select("id", F.xxhash64("id", "x", F.lit(42)).alias("u"), *[F.xxhash64("id", "x", F.lit(t), F.lit(43)).alias(f"h{t}") for t in (0, 1)]).collect()
+    p = 1.3 * 64 / 3000
+    depth, drawn = np.zeros(len(x)), {0: [], 1: []}
+    for r in hashes:
+        u = r.u % (1 << 40) / (1 << 40)
+        many = (u >= (1 - p) ** 2) + (u >= (1 - p) ** 2 + 2 * p * (1 - p))
+        for h, t in sorted([(r.h0, 0), (r.h1, 1)])[:many]:
+            drawn[t].append((h, r.id))
     for t in (0, 1):
-        limit = int(1.3 * 64 / 3000 * (1 << 40))
-        rows = sorted((r[f"h{t}"], r.id) for r in hashes if r[f"h{t}"] % (1 << 40) <= limit)[:64]
+        rows = sorted(drawn[t])[:64]
         nodes = outliers._grow_tree(np.array([[x[i]] for _, i in rows]), np.random.default_rng(42 + t), 6)
         for i, v in x.items():
             at = 0
@@ -262,13 +267,14 @@ def test_counterfactual_chain_and_category(spark):
     assert guess.where("g = k").count() > 4900
 
 
-def test_vector_topk_blocks(spark):
+def test_vector_topk_blocks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x, q = rng.normal(size=(80, 6)), rng.normal(size=(9, 6))
     chunks = spark.createDataFrame([(i, 0, [float(v) for v in r], {"k": str(i % 2)}) for i, r in enumerate(x)], "document_id long, chunk_id int, embedding array<float>, metadata map<string,string>").repartition(5)
     queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "query_id long, embedding array<double>")
     for block in (100, 2):
-        got = text.vector_topk(queries, chunks, 4, 0.0, query_block=block).toPandas()
+        monkeypatch.setattr(vectors, "QUERIES", block)
+        got = text.vector_topk(queries, chunks, 4, 0.0).toPandas()
         for i in range(9):
             d = ((x - q[i]) ** 2).sum(axis=1)
             assert list(got[got.query_id == i].sort_values("rank")["document_id"]) == list(np.argsort(d)[:4])
