@@ -123,13 +123,20 @@ def from_moments(
     return moments.mapInPandas(run, fields)
 
 
+def scaled_inverse(m: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of a covariance matrix, taken of its correlations: columns of very different scale lose no digits."""
+    s = np.sqrt(np.maximum(np.diag(m), 0.0))
+    s = np.where(s > 0, s, 1.0)
+    return np.linalg.pinv(m / np.outer(s, s), hermitian=True) / np.outer(s, s) if len(m) else np.zeros((0, 0))
+
+
 def ols(n: float, means: np.ndarray, cov: np.ndarray, y: int, xs: Sequence[int]) -> dict:
     """Least squares with intercept from moments: coefficients (intercept first), SE, t, R2, residual sum of squares."""
     xs = list(xs)
     sxx = n * cov[np.ix_(xs, xs)]
     sxy = n * cov[xs, y]
     syy = n * cov[y, y]
-    inv = np.linalg.pinv(sxx, hermitian=True) if xs else np.zeros((0, 0))
+    inv = scaled_inverse(sxx)
     beta = inv @ sxy
     rss = max(syy - float(beta @ sxy), 0.0)
     k = len(xs)
@@ -147,7 +154,7 @@ def ols(n: float, means: np.ndarray, cov: np.ndarray, y: int, xs: Sequence[int])
 
 def partial_correlation(cov: np.ndarray, i: int, j: int, given: Sequence[int]) -> float:
     idx = [i, j, *given]
-    prec = np.linalg.pinv(cov[np.ix_(idx, idx)], hermitian=True)
+    prec = scaled_inverse(cov[np.ix_(idx, idx)])
     d = prec[0, 0] * prec[1, 1]
     return float(np.clip(-prec[0, 1] / np.sqrt(d), -1.0, 1.0)) if d > 0 else np.nan
 

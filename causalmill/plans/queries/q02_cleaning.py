@@ -308,7 +308,14 @@ def outlier_isolation_forest(spark, sf):
     return rounded(out)
 
 
-@query("outlier_dbscan")
+@query(
+    "outlier_dbscan",
+    """WITH e AS (SELECT event_id, value, hour(ts)::DOUBLE AS hour FROM events), s AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(hour) AS mh, stddev_pop(hour) AS sh FROM e),
+    z AS (SELECT event_id, value, hour, (value - mv) / sv AS x, (hour - mh) / sh AS y FROM e, s),
+    n AS (SELECT a.event_id, b.event_id AS other FROM z a JOIN z b ON b.y BETWEEN a.y - 0.3 AND a.y + 0.3 AND b.x BETWEEN a.x - 0.3 AND a.x + 0.3 WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.3::DOUBLE * 0.3::DOUBLE),
+    core AS (SELECT event_id FROM n GROUP BY 1 HAVING count(*) >= 5)
+    SELECT event_id, value, hour, event_id NOT IN (SELECT n.event_id FROM n JOIN core c ON c.event_id = n.other) AS is_outlier FROM z""",
+)
 def outlier_dbscan(spark, sf):
     df = load(spark, sf, "events").select("event_id", "value", F.hour("ts").cast("double").alias("hour"))
     return outliers.outlier_dbscan(df, ["value", "hour"], "event_id", eps=0.3)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ...operators import association as assoc
 from ...operators import windows
 from ..registry import load, query, rounded, rounded_sql
+from ..sqlstats import chi2_upper, f_upper, ks_upper, t_two_sided
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 # line items with derived columns that depend on each other
@@ -85,7 +86,14 @@ def average_correlations(spark, sf):
     return rounded(assoc.average_correlations(rich(spark, sf), RCOLS))
 
 
-@query("corr_clusters")
+@query(
+    "corr_clusters",
+    f"""WITH RECURSIVE p AS ({pairs_sql(RCOLS, RICH, 'corr({a}, {b}) AS r')}), e AS (SELECT list(x || '>' || y) FILTER (abs(r) >= 0.7) AS e FROM p), st(i, taken, num, out) AS (SELECT 0, []::VARCHAR[], 0, []::STRUCT(cluster INT, "column" VARCHAR)[]
+    UNION ALL SELECT i + 1, list_concat(taken, grp), num + (len(grp) > 0)::INT, CASE WHEN len(grp) > 0 THEN list_concat(out, list_transform(list_concat([seed], grp), lambda c: {{'cluster': num, 'column': c}})) ELSE out END
+    FROM (SELECT *, cols[i + 1] AS seed, CASE WHEN list_contains(taken, cols[i + 1]) THEN []::VARCHAR[] ELSE list_filter(cols[i + 2:], lambda c: NOT list_contains(taken, c) AND (list_contains(e, cols[i + 1] || '>' || c) OR list_contains(e, c || '>' || cols[i + 1]))) END AS grp
+    FROM st, e, (SELECT {RCOLS} AS cols) WHERE i < {len(RCOLS)}))
+    SELECT o.cluster, o."column" FROM (SELECT unnest(out) AS o FROM st WHERE i = {len(RCOLS)})""",
+)
 def corr_clusters(spark, sf):
     return assoc.corr_clusters(rich(spark, sf), RCOLS)
 
@@ -133,10 +141,10 @@ def _chi_sql(cols: list[str]) -> str:
 CHI_COLS = ["o_orderstatus", "o_orderpriority", "c_mktsegment", "c_nationkey", "done", "big"]
 
 
-@query("chi2_independence", rounded_sql(f"SELECT x, y, n, chi2, (r - 1) * (k - 1) AS dof FROM ({_chi_sql(CHI_COLS)})", "x y n dof", "chi2"))
+@query("chi2_independence", rounded_sql(f"SELECT x, y, n, chi2, (r - 1) * (k - 1) AS dof, {chi2_upper('chi2', '(r - 1) * (k - 1)')} AS p_value FROM ({_chi_sql(CHI_COLS)})", "x y n dof", "chi2 p_value"))
 def chi2_independence(spark, sf):
     out = assoc.chi2_independence(categories(spark, sf), list(itertools.combinations(CHI_COLS, 2)))
-    return rounded(out.select("x", "y", "n", "dof", "chi2"))
+    return rounded(out.select("x", "y", "n", "dof", "chi2", "p_value"))
 
 
 @query(
@@ -152,10 +160,11 @@ def cramers_v(spark, sf):
 @query(
     "anova_oneway",
     rounded_sql("""WITH g AS (SELECT event_type, count(*)::DOUBLE AS c, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1), t AS (SELECT sum(c) AS n, count(*) AS k, sum(c * m) / sum(c) AS gm, sum(c * v) AS ssw FROM g),
-    b AS (SELECT sum(c * power(m - gm, 2)) AS ssb FROM g, t) SELECT k AS "groups", n::BIGINT AS n, (ssb / (k - 1)) / (ssw / (n - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM t, b""", '"groups" n', "f eta2"),
+    b AS (SELECT sum(c * power(m - gm, 2)) AS ssb FROM g, t), r AS (SELECT k AS "groups", n::BIGINT AS n, (ssb / (k - 1)) / (ssw / (n - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM t, b)
+    SELECT *, """ + f_upper("f", '"groups" - 1', 'n - "groups"') + " AS p_value FROM r", '"groups" n', "f eta2 p_value"),
 )
 def anova_oneway(spark, sf):
-    return rounded(assoc.anova_oneway(load(spark, sf, "events"), "value", "event_type")[0].drop("p_value"))
+    return rounded(assoc.anova_oneway(load(spark, sf, "events"), "value", "event_type")[0])
 
 
 @query("anova_groups", rounded_sql("SELECT event_type, count(*) AS count, avg(value) AS mean, stddev_samp(value) AS std FROM events GROUP BY 1", "event_type count", "mean std"))
@@ -165,24 +174,24 @@ def anova_groups(spark, sf):
 
 @query(
     "linregress",
-    rounded_sql(f"""SELECT l_returnflag, count(*) AS n, regr_slope(net, qty) AS slope, regr_intercept(net, qty) AS intercept, regr_r2(net, qty) AS r2,
-    sqrt((1 - regr_r2(net, qty)) * var_pop(net) / (var_pop(qty) * (count(*) - 2))) AS std_err, covar_samp(qty, net) AS covariance FROM {RICH} GROUP BY 1""", "l_returnflag n", "slope intercept r2 std_err covariance", 4),
+    rounded_sql(f"""SELECT *, {t_two_sided('slope / std_err', 'n - 2')} AS p_value FROM (SELECT l_returnflag, count(*) AS n, regr_slope(net, qty) AS slope, regr_intercept(net, qty) AS intercept, regr_r2(net, qty) AS r2,
+    sqrt((1 - regr_r2(net, qty)) * var_pop(net) / (var_pop(qty) * (count(*) - 2))) AS std_err, covar_samp(qty, net) AS covariance FROM {RICH} GROUP BY 1)""", "l_returnflag n", "slope intercept r2 std_err covariance p_value", 4),
 )
 def linregress(spark, sf):
-    return rounded(assoc.linregress(rich(spark, sf), "qty", "net", ["l_returnflag"]).drop("p_value"), 4)
+    return rounded(assoc.linregress(rich(spark, sf), "qty", "net", ["l_returnflag"]), 4)
 
 
 @query(
     "correlation_test",
-    rounded_sql(f"SELECT l_returnflag, n, r, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT l_returnflag, count(*) AS n, corr(hdisc, net) AS r FROM {RICH} WHERE hdisc IS NOT NULL GROUP BY 1)", "l_returnflag n", "r t", 5),
+    rounded_sql(f"SELECT l_returnflag, n, r, r * sqrt((n - 2) / (1 - r * r)) AS t, {t_two_sided('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')} AS p_value FROM (SELECT l_returnflag, count(*) AS n, corr(hdisc, net) AS r FROM {RICH} WHERE hdisc IS NOT NULL GROUP BY 1)", "l_returnflag n", "r t p_value", 5),
 )
 def correlation_test(spark, sf):
-    return rounded(assoc.correlation_test(rich(spark, sf), "hdisc", "net", True, by=["l_returnflag"]).select("l_returnflag", "n", "r", "t"), 5)
+    return rounded(assoc.correlation_test(rich(spark, sf), "hdisc", "net", True, by=["l_returnflag"]).select("l_returnflag", "n", "r", "t", "p_value"), 5)
 
 
-@query("point_biserial", rounded_sql(f"SELECT count(*) AS n, max(l_linestatus) AS high, corr(CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END, net) AS r FROM {RICH}", "n high", "r"))
+@query("point_biserial", rounded_sql(f"SELECT *, {t_two_sided('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')} AS p_value FROM (SELECT count(*) AS n, max(l_linestatus) AS high, corr(CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END, net) AS r FROM {RICH})", "n high", "r p_value"))
 def point_biserial(spark, sf):
-    return rounded(assoc.point_biserial(rich(spark, sf), "net", "l_linestatus").drop("p_value"))
+    return rounded(assoc.point_biserial(rich(spark, sf), "net", "l_linestatus"))
 
 
 @query("logistic_auc")
@@ -196,24 +205,25 @@ def logistic_auc(spark, sf):
     rounded_sql("""WITH s AS (SELECT user_id, event_type = 'purchase' AS f, value FROM events), m AS (SELECT user_id, count(*) FILTER (f)::DOUBLE AS a, count(*) FILTER (NOT f)::DOUBLE AS b, avg(value) FILTER (f) AS m1, avg(value) FILTER (NOT f) AS m0,
       var_samp(value) FILTER (f) AS v1, var_samp(value) FILTER (NOT f) AS v0 FROM s GROUP BY 1),
     r AS (SELECT user_id, f, rank() OVER (PARTITION BY user_id ORDER BY value) + (count(*) OVER (PARTITION BY user_id, value) - 1) / 2.0::DOUBLE AS r FROM s),
-    u AS (SELECT user_id, sum(r) FILTER (f) AS sr FROM r GROUP BY 1)
-    SELECT user_id, a::BIGINT AS n1, b::BIGINT AS n0, m1 AS mean1, m0 AS mean0, (m1 - m0) / sqrt(v1 / a + v0 / b) AS t,
-    power(v1 / a + v0 / b, 2) / (power(v1 / a, 2) / (a - 1) + power(v0 / b, 2) / (b - 1)) AS df, sr - a * (a + 1) / 2 AS u FROM m JOIN u USING (user_id)""", "user_id n1 n0", "mean1 mean0 t df u"),
+    u AS (SELECT user_id, sum(r) FILTER (f) AS sr FROM r GROUP BY 1),
+    w AS (SELECT user_id, a::BIGINT AS n1, b::BIGINT AS n0, m1 AS mean1, m0 AS mean0, (m1 - m0) / sqrt(v1 / a + v0 / b) AS t,
+    power(v1 / a + v0 / b, 2) / (power(v1 / a, 2) / (a - 1) + power(v0 / b, 2) / (b - 1)) AS df, sr - a * (a + 1) / 2 AS u FROM m JOIN u USING (user_id))
+    SELECT *, """ + t_two_sided("t", "df") + " AS p_value FROM w", "user_id n1 n0", "mean1 mean0 t df u p_value"),
 )
 def welch_t(spark, sf):
     df = load(spark, sf, "events").withColumn("f", F.col("event_type") == "purchase")
-    return rounded(assoc.welch_t(df, "value", "f", ["user_id"]).select("user_id", "n1", "n0", "mean1", "mean0", "t", "df", "u"))
+    return rounded(assoc.welch_t(df, "value", "f", ["user_id"]).select("user_id", "n1", "n0", "mean1", "mean0", "t", "df", "u", "p_value"))
 
 
 @query(
     "ks_two_sample",
     rounded_sql("""WITH s AS (SELECT l_returnflag AS g, l_linestatus = 'O' AS f, l_extendedprice AS v FROM lineitem), c AS (SELECT g, v, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b FROM s GROUP BY 1, 2),
     r AS (SELECT g, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY g) AS ta, sum(b) OVER (PARTITION BY g) AS tb FROM c WINDOW w AS (PARTITION BY g ORDER BY v))
-    SELECT g AS l_returnflag, max(ta)::BIGINT AS n1, max(tb)::BIGINT AS n2, max(abs(ca::DOUBLE / ta - cb::DOUBLE / tb)) AS d FROM r GROUP BY 1""", "l_returnflag n1 n2", "d"),
+    SELECT *, """ + ks_upper("d", "n1", "n2") + """ AS p_value FROM (SELECT g AS l_returnflag, max(ta)::BIGINT AS n1, max(tb)::BIGINT AS n2, max(abs(ca::DOUBLE / ta - cb::DOUBLE / tb)) AS d FROM r GROUP BY 1)""", "l_returnflag n1 n2", "d p_value"),
 )
 def ks_two_sample(spark, sf):
     df = load(spark, sf, "lineitem").withColumn("f", F.col("l_linestatus") == "O")
-    return rounded(assoc.ks_two_sample(df, "l_extendedprice", "f", ["l_returnflag"]).drop("p_value"))
+    return rounded(assoc.ks_two_sample(df, "l_extendedprice", "f", ["l_returnflag"]))
 
 
 def _rpart() -> str:
@@ -222,9 +232,9 @@ def _rpart() -> str:
     (SELECT l_returnflag, count(*) AS n, corr(net, volume) AS a, corr(net, qty) AS b, corr(volume, qty) AS c FROM {RICH} GROUP BY 1)"""
 
 
-@query("partial_corr", rounded_sql(f"SELECT l_returnflag, n, r, r * sqrt((n - 3) / (1 - r * r)) AS t, n - 3 AS df FROM ({_rpart()})", "l_returnflag n df", "r t", 4))
+@query("partial_corr", rounded_sql(f"SELECT l_returnflag, n, r, r * sqrt((n - 3) / (1 - r * r)) AS t, n - 3 AS df, {t_two_sided('r * sqrt((n - 3) / (1 - r * r))', 'n - 3')} AS p_value FROM ({_rpart()})", "l_returnflag n df", "r t p_value", 4))
 def partial_corr(spark, sf):
-    return rounded(assoc.partial_corr(rich(spark, sf), "net", "volume", ["qty"], by=["l_returnflag"]).select("l_returnflag", "n", "r", "t", "df"), 4)
+    return rounded(assoc.partial_corr(rich(spark, sf), "net", "volume", ["qty"], by=["l_returnflag"]).select("l_returnflag", "n", "r", "t", "df", "p_value"), 4)
 
 
 @query(
@@ -246,10 +256,13 @@ def regression_sql(y: str, x: str, z: str, src: str, by: str) -> str:
     SELECT {by}, n::BIGINT AS n, b1 AS coefficient, sqrt(rss / (n - 3) * szz / (n * (sxx * szz - sxz * sxz))) AS std_err, 1 - rss / (n * syy) AS r2, 1 - (rss / (n * syy)) * (n - 1) / (n - 3) AS adj_r2 FROM s"""
 
 
-@query("regression_test", rounded_sql(regression_sql("volume", "qty", "disc", RICH, "l_returnflag"), "l_returnflag n", "coefficient std_err r2 adj_r2", 4))
+@query(
+    "regression_test",
+    rounded_sql(f"SELECT *, {t_two_sided('coefficient / std_err', 'n - 3')} AS p_value FROM ({regression_sql('volume', 'qty', 'disc', RICH, 'l_returnflag')})", "l_returnflag n", "coefficient std_err r2 adj_r2 p_value", 4),
+)
 def regression_test(spark, sf):
     out = assoc.regression_test(rich(spark, sf), "qty", "volume", ["disc"], by=["l_returnflag"])
-    return rounded(out.select("l_returnflag", "n", "coefficient", "std_err", "r2", "adj_r2"), 4)
+    return rounded(out.select("l_returnflag", "n", "coefficient", "std_err", "r2", "adj_r2", "p_value"), 4)
 
 
 @query(

@@ -328,12 +328,7 @@ def bulk(spark, sf):
     return cut_lineage(df.select(F.col("l_returnflag").alias("graph_id"), F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct())
 
 
-@query(
-    "weak_components_bulk",
-    f"""WITH RECURSIVE {BULK}, und AS (SELECT graph_id, src AS a, dst AS b FROM flows UNION SELECT graph_id, dst, src FROM flows),
-    r AS (SELECT graph_id, a AS node, a AS other FROM und UNION SELECT r.graph_id, r.node, u.b FROM r JOIN und u ON u.graph_id = r.graph_id AND u.a = r.other)
-    SELECT graph_id, node, min(other) AS component FROM r GROUP BY 1, 2""",
-)
+@query("weak_components_bulk")  # SQL would need all pairs of a component; tested against union-find
 def weak_components_bulk(spark, sf):
     return graph.weak_components(bulk(spark, sf))
 

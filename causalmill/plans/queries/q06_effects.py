@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import effects, graph
 from ..registry import load, query, rounded, rounded_sql
+from ..sqlstats import covariances, least_squares, t_two_sided
 from .q04_association import RICH, regression_sql, rich
 from .q05_graphs import CLOSURE, DAG, flows
 
@@ -89,7 +90,17 @@ def ate_bootstrap(spark, sf):
     return rounded(effects.ate_bootstrap(df, "l_quantity", "net", ["l_discount"], key=["l_orderkey", "l_linenumber"]), 4)
 
 
-@query("cate_interactions")
+def _cate_sql() -> str:
+    src = f"(SELECT *, qty * disc AS x_disc, qty * tax AS x_tax FROM {PER_SUPP})"
+    xs = ["qty", "disc", "tax", "x_disc", "x_tax", "price"]
+    fit = f"""WITH RECURSIVE cov AS ({covariances(src, 'l_suppkey', ['net', *xs])}), {least_squares([('f', 'net', xs)])},
+    r AS (SELECT f.g AS l_suppkey, CASE x WHEN 'qty' THEN 'main' WHEN 'x_disc' THEN 'disc' ELSE 'tax' END AS term, coef AS effect, sqrt(rss / (f.n - 7) * inv / f.n) AS std_err, f.n - 7 AS df, 1 - rss / (f.n * syy) AS r2
+      FROM fit f JOIN rss USING (g, fam) WHERE x IN ('qty', 'x_disc', 'x_tax'))
+    SELECT l_suppkey, term, effect, std_err, effect / std_err AS t, {t_two_sided('effect / std_err', 'df')} AS p_value, r2 FROM r"""
+    return rounded_sql(fit, "l_suppkey term", "effect std_err t p_value r2", 4)
+
+
+@query("cate_interactions", _cate_sql())
 def cate_interactions(spark, sf):
     return rounded(effects.cate_interactions(per_supplier(spark, sf), "qty", "net", ["disc", "tax"], ["price"], ["l_suppkey"]), 4)
 

@@ -10,6 +10,7 @@ from ...functions.lineage import cut_lineage
 from ...functions.moments import moment_rows
 from ...operators.discovery import constraint, ensemble, lingam, pairwise, score, shift, temporal
 from ..registry import load, query, rounded, rounded_sql
+from ..sqlstats import covariances, f_upper, least_squares
 from .q04_association import RICH, rich
 from .q05_graphs import CYC, DAG, flows
 
@@ -147,7 +148,24 @@ def days(spark, sf):
     )
 
 
-@query("var_fit")
+def _lagged(lags: int) -> str:
+    cols = ", ".join(f"lag({c}, {k}) OVER w AS {c}_{k}" for k in range(1, lags + 1) for c in SERIES)
+    return f"(SELECT *, {cols} FROM {DAYS} WINDOW w AS (PARTITION BY graph_id ORDER BY day))"
+
+
+def _known(lags: int) -> str:
+    return " AND ".join(f"{c}_{lags} IS NOT NULL" for c in SERIES)
+
+
+def _var_sql(lags: int, threshold: float) -> str:
+    xs = [f"{c}_{k}" for k in range(1, lags + 1) for c in SERIES]
+    parts = "str_split(x, '_')"
+    return f"""WITH RECURSIVE cov AS ({covariances(_lagged(lags), 'graph_id', [*SERIES, *xs], _known(lags))}), {least_squares([(c, c, xs) for c in SERIES])},
+    c AS (SELECT g AS graph_id, {parts}[1] AS src, fam AS dst, {parts}[2]::INT AS lag, abs(coef) AS a FROM fit WHERE {parts}[1] <> fam)
+    SELECT graph_id, src, dst, min(lag) FILTER (a > {threshold}) AS time_lag, sum(a) AS weight FROM c GROUP BY ALL HAVING count(*) FILTER (a > {threshold}) > 0"""
+
+
+@query("var_fit", rounded_sql(_var_sql(3, 0.02), "graph_id src dst time_lag", "weight"))
 def var_fit(spark, sf):
     return rounded(temporal.var_fit(days(spark, sf), SERIES, ["day"], 3, 0.02, "flag"))
 
@@ -168,7 +186,21 @@ def granger_tests(spark, sf):
     return rounded(temporal.granger_tests(lagged, SERIES, 1).drop("p_value"), 5)
 
 
-@query("granger_pairwise")
+def _granger_pairs_sql(lags: int, alpha: float) -> str:
+    """Per lag length the rows that know all its lags; restricted and full families of every ordered pair."""
+    parts = []
+    for size in range(1, lags + 1):
+        names = [f"{c}_{k}" for k in range(1, size + 1) for c in SERIES]
+        own = {c: [f"{c}_{k}" for k in range(1, size + 1)] for c in SERIES}
+        families = [(y, y, own[y]) for y in SERIES] + [(f"{x}>{y}", y, own[y] + own[x]) for x, y in itertools.permutations(SERIES, 2)]
+        parts.append(f"""(WITH RECURSIVE cov AS ({covariances(_lagged(size), 'graph_id', [*SERIES, *names], _known(size))}), {least_squares(families)},
+        f AS (SELECT b.g AS graph_id, str_split(b.fam, '>')[1] AS src, str_split(b.fam, '>')[2] AS dst, {size} AS lag, ((a.rss - b.rss) / {size}) / (b.rss / (b.n - {2 * size + 1})) AS f, b.n - {2 * size + 1} AS d2
+          FROM rss b JOIN rss a ON a.g = b.g AND a.fam = str_split(b.fam, '>')[2] WHERE contains(b.fam, '>'))
+        SELECT graph_id, src, dst, lag, {f_upper('f', str(size), 'd2')} AS p FROM f)""")
+    return f"""SELECT graph_id, src, dst, arg_min(lag, p) AS time_lag, min(p) AS p_value, 1 - min(p) AS weight FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL HAVING min(p) < {alpha}"""
+
+
+@query("granger_pairwise", rounded_sql(_granger_pairs_sql(3, 0.2), "graph_id src dst time_lag", "p_value weight"))
 def granger_pairwise(spark, sf):
     return rounded(temporal.granger_pairwise(days(spark, sf), SERIES, ["day"], 3, 0.2, "flag"))
 
@@ -178,7 +210,20 @@ def granger_lasso(spark, sf):
     return rounded(temporal.granger_lasso(days(spark, sf), SERIES, ["day"], 2, 0.02, "flag"))
 
 
-@query("instantaneous_effects")
+def _instant_sql(threshold: float) -> str:
+    """``mix`` is a sum of two others, so its lag adds nothing to the regression."""
+    names = ["price", "qty", "disc", "mix"]
+    lags = ", ".join(f"lag({c}) OVER w AS {c}_1" for c in names)
+    src = f"(SELECT *, {lags} FROM (SELECT *, qty + disc AS mix FROM {DAYS}) WINDOW w AS (PARTITION BY graph_id ORDER BY day))"
+    xs = ["price_1", "qty_1", "disc_1"]
+    return f"""WITH RECURSIVE cov AS ({covariances(src, 'graph_id', [*names, *xs], 'price_1 IS NOT NULL AND qty_1 IS NOT NULL AND disc_1 IS NOT NULL')}), {least_squares([(c, c, xs) for c in names])},
+    res AS (SELECT s.g, s.a, s.b, any_value(s.v) - sum(f.coef * c.v) AS v FROM cov s JOIN fit f ON f.g = s.g AND f.fam = s.a JOIN cov c ON c.g = s.g AND c.a = f.x AND c.b = s.b
+      WHERE s.a IN {tuple(names)} AND s.b IN {tuple(names)} GROUP BY 1, 2, 3),
+    r AS (SELECT x.g AS graph_id, x.a AS src, x.b AS dst, abs(x.v) / sqrt(p.v * q.v) AS weight FROM res x JOIN res p ON p.g = x.g AND p.a = x.a AND p.b = x.a JOIN res q ON q.g = x.g AND q.a = x.b AND q.b = x.b WHERE x.a <> x.b)
+    SELECT graph_id, src, dst, weight, true AS instantaneous FROM r WHERE weight > {threshold}"""
+
+
+@query("instantaneous_effects", rounded_sql(_instant_sql(0.3), "graph_id src dst instantaneous", "weight"))
 def instantaneous_effects(spark, sf):
     df = days(spark, sf).withColumn("mix", F.col("qty") + F.col("disc"))
     return rounded(temporal.instantaneous_effects(df, ["price", "qty", "disc", "mix"], ["day"], 1, 0.3, "flag"))

@@ -310,3 +310,23 @@ def test_observed_writes(spark, tmp_path):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c")], "run_id long, src string, dst string")
     wrote = runlog.append_graph(spark.createDataFrame([(1,), (2,)], "run_id long"), edges, str(tmp_path / "runs"))
     assert wrote == {"runs": 2, "run_edges": 2} and math.isclose(runlog.read(spark, str(tmp_path / "runs"), "runs").agg(F.sum("nodes_count")).first()[0], 3)
+
+
+def test_bulk_components_by_union_find(spark, sf):
+    from causalmill.plans.queries import q05_graphs
+
+    edges = [(r.graph_id, r.src, r.dst) for r in q05_graphs.bulk(spark, sf).collect()]
+    assert len(edges) == spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_returnflag", "o_custkey", "l_partkey").distinct().count()
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for g, a, b in edges:
+        x, y = sorted((find((g, a)), find((g, b))))
+        root[y] = x  # the smaller name leads
+    got = {(r.graph_id, r.node): (r.graph_id, r.component) for r in q05_graphs.weak_components_bulk(spark, sf).collect()}
+    assert got == {n: find(n) for n in list(root)}
