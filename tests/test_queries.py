@@ -38,3 +38,19 @@ def test_matches_sql(spark, sf, name):
     names = [d[0] for d in cur.description]
     rows = sorted((tuple(canon(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
     assert sorted(names) == cols and mine == rows
+
+
+def test_workers_get_the_package(tmp_path):
+    """A driver and workers that were started in another folder run a query that calls Python."""
+    import subprocess
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {home!r})
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", entry.queries()["ate_backdoor"](spark, "/root/testdata/sf0.001").count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
