@@ -21,11 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut_lineage
-from .common import C1, SLICE, WordHashes, ascii_words, mix, sent
+from .common import C1, WordHashes, ascii_words, mix, per_batch, sent
 from .components import components
 
 #: log2 of the places of the frequency table behind the order of shingles: PER_ROW for each text within these bounds; places of one stretch of it.
@@ -34,6 +33,7 @@ LEAST, MOST, PER_ROW, STRETCH = 20, 26, 32, 1 << 14
 BLOCK = 1_000_000
 #: Neighbours a task ties before it passes on what is left.
 WAITING = 500_000
+LOW = (1 << 32) - 1
 
 
 class Shingles:
@@ -151,18 +151,19 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
     docs = docs.withColumns({"_r1": F.xxhash64("_key", "_text"), "_r2": F.xxhash64("_text")})
     context = df.sparkSession.sparkContext
     rank = context.broadcast(_frequencies(docs, words))
-    made = cut_lineage(_sets(docs, words, num, den, rank))
-    rows = made.where("kind = 0").select("_key", "_r1", "_r2", "n", F.col("a").alias("set"), F.col("b").alias("group"))
+    rows = cut_lineage(_sets(docs, words, num, den, rank))
     classes = cut_lineage(rows.where("set is not null").groupBy("set").agg(
         F.min("_key").alias("least"), F.min(F.struct("_r1", "_r2")).alias("row"), F.first("n").alias("n"), F.first("group").alias("group"), F.count("*").alias("rows")
     ))
 
-    # intervals of sizes under a key, in order: one that begins within reach of those before it joins them
-    left = made.where("kind = 2").select(F.col("a").alias("key"), "n", F.col("b").alias("to"), F.col("c").alias("group"))
-    before = Window.partitionBy("key").orderBy("n", "to", "group")
-    near = F.max("to").over(before.rowsBetween(Window.unboundedPreceding, -1)) * den >= F.col("n") * num
-    across = left.select(F.lag("group").over(before).alias("a"), F.col("group").alias("b"), near.alias("near")).where("near and a != b").select("a", "b")
-    family = components(made.where("kind = 1").select("a", "b").unionByName(across))
+    # intervals of sizes under a key, in order: one that begins within reach of those before it joins them. Ties made inside a task go along as they are
+    near = _neighbours(docs, words, num, den, rank)
+    before = Window.partitionBy("at").orderBy("span", "group")
+    end = F.when(F.col("span") >= 0, F.col("span").bitwiseAND(F.lit(LOW)))
+    joins = F.max(end).over(before.rowsBetween(Window.unboundedPreceding, -1)) * den >= F.shiftright("span", 32) * num
+    tie = F.col("span") < 0
+    ties = near.select(F.when(tie, F.col("at")).otherwise(F.lag("group").over(before)).alias("a"), F.col("group").alias("b"), (tie | joins).alias("tied"))
+    family = components(ties.where("tied and a != b").select("a", "b"))
     members = classes.join(family.withColumnRenamed("node", "group"), "group", "left").withColumn("family", F.coalesce("component", "group"))
     weights = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).where("sets > 1")
     members = members.join(weights, "family").select("family", "set", "n", "rows", "row._r1", "row._r2", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
@@ -184,17 +185,29 @@ def link(df: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100),
 
 
 def _sets(docs: DataFrame, words: int, num: int, den: int, rank: object) -> DataFrame:
-    """Three kinds of rows: 0, a text with its size, set ``a`` and group ``b``; 1, a tie between groups ``a`` and ``b``; 2, under key ``a`` an interval of sizes ``n``..``b`` of group ``c``."""
-    schema = f"kind int, _key {dict(docs.dtypes)['_key']}, _r1 bigint, _r2 bigint, n bigint, a bigint, b bigint, c bigint"
-    key_type = to_arrow_type(docs.schema["_key"].dataType)
-    names = ["kind", "_key", "_r1", "_r2", "n", "a", "b", "c"]
+    """Per text: key, row hashes, size ``n``, ``set`` (a hash of the whole set) and ``group`` (of its prefix and size); both null without words."""
 
-    def rows(kind: int, count: int, **columns: object) -> pa.RecordBatch:
-        given = {"kind": pa.array(np.full(count, kind, np.int32))} | columns
-        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(count, key_type if c == "_key" else pa.int64())) for c in names], names=names)
+    def run(data: dict, shingles: Shingles) -> dict:
+        out: dict[str, list] = {"n": [], "set": [], "group": []}
+        for t in data["_text"]:
+            s = shingles.of(t)
+            out["n"].append(len(s))
+            out["set"].append(_signed_hash(s.tobytes()) if len(s) else None)
+            out["group"].append(_group(_ordered(s, rank.value), num, den) if len(s) else None)
+        return {c: data[c] for c in ("_key", "_r1", "_r2")} | out
 
-    def signed(values: np.ndarray) -> pa.Array:
-        return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, pa.int64())
+    return per_batch(docs, f"_key {dict(docs.dtypes)['_key']}, _r1 bigint, _r2 bigint, n bigint, set bigint, group bigint", run, lambda: Shingles(words))
+
+
+def _group(order: np.ndarray, num: int, den: int) -> int:
+    return _signed_hash(order[: _prefix_size(len(order), num, den)].tobytes() + len(order).to_bytes(8))
+
+
+def _neighbours(docs: DataFrame, words: int, num: int, den: int, rank: object) -> DataFrame:
+    """(at, span, group): under key ``at`` an interval of sizes (low and high in the halves of ``span``) of a group; or, with span -1, a tie of groups ``at`` and ``group``.
+
+    What a task has tied itself leaves it as ties and one interval per run, so a key of a third of all texts sends a few rows per task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, waiting, held = Shingles(words), [], 0
@@ -202,37 +215,27 @@ def _sets(docs: DataFrame, words: int, num: int, den: int, rank: object) -> Data
         def settle() -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(k) for k, _, _ in waiting])
             key = np.concatenate([k for k, _, _ in waiting])
-            pairs, at, left = _ties(key, np.repeat([n for _, n, _ in waiting], sizes), np.repeat(np.array([g for _, _, g in waiting], np.int64), sizes), num, den)
-            yield rows(1, pairs.shape[1], a=signed(pairs[0]), b=signed(pairs[1]))
-            yield rows(2, len(at), n=signed(left[0]), a=signed(at), b=signed(left[1]), c=signed(left[2]))
-
-        for whole in batches:
-            for begin in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(begin, SLICE)
-                sizes, sets, groups = [], [], []
-                for t in batch.column(1).to_pylist():
-                    s = shingles.of(t)
-                    n = len(s)
-                    sizes.append(n)
-                    if not n:
-                        sets.append(None)
-                        groups.append(None)
-                        continue
-                    order = _ordered(s, rank.value)
-                    sets.append(_signed_hash(s.tobytes()))
-                    groups.append(_signed_hash(order[: _prefix_size(n, num, den)].tobytes() + n.to_bytes(8)))
-                    keys = _keys(order, num, den)
-                    if len(keys):
-                        waiting.append((keys, n, groups[-1]))
-                        held += len(keys)
-                yield rows(0, batch.num_rows, _key=batch.column(0), _r1=batch.column(2), _r2=batch.column(3), n=pa.array(sizes, pa.int64()), a=pa.array(sets, pa.int64()), b=pa.array(groups, pa.int64()))
+            pairs, at, (low, high, group) = _ties(key, np.repeat([n for _, n, _ in waiting], sizes), np.repeat(np.array([g for _, _, g in waiting], np.int64), sizes), num, den)
+            columns = np.r_[pairs[0], at.view(np.int64)], np.r_[np.full(pairs.shape[1], -1), (low << 32) | high], np.r_[pairs[1], group]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["at", "span", "group"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                s = shingles.of(t)
+                if not len(s):
+                    continue
+                order = _ordered(s, rank.value)
+                keys = _keys(order, num, den)
+                if len(keys):
+                    waiting.append((keys, len(s), _group(order, num, den)))
+                    held += len(keys)
                 if held >= WAITING:
                     yield from settle()
                     waiting, held = [], 0
         if waiting:
             yield from settle()
 
-    return docs.select("_key", "_text", "_r1", "_r2").mapInArrow(run, schema)
+    return docs.select("_text").mapInArrow(run, "at bigint, span bigint, group bigint")
 
 
 def _signed_hash(data: bytes) -> int:
