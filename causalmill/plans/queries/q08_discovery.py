@@ -10,7 +10,7 @@ from ...functions.lineage import cut_lineage
 from ...functions.moments import moment_rows
 from ...operators.discovery import constraint, ensemble, lingam, pairwise, score, shift, temporal
 from ..registry import load, query, rounded, rounded_sql
-from ..sqlstats import covariances, f_upper, least_squares
+from ..sqlstats import chi2_upper, covariances, f_upper, least_squares
 from .q04_association import RICH, rich
 from .q05_graphs import CYC, DAG, flows
 
@@ -309,9 +309,12 @@ def _rel_sql() -> str:
     SELECT x, y, count(*) AS periods, sum(w * z * z) - sum(w * z) * sum(w * z) / sum(w) AS statistic, var_pop(r) AS strength FROM k GROUP BY 1, 2"""
 
 
-@query("relation_change", rounded_sql(_rel_sql(), "x y periods", "statistic strength", 4))
+@query(
+    "relation_change",
+    rounded_sql(f"WITH p AS (SELECT *, {chi2_upper('statistic', '(periods - 1)')} AS p_value FROM ({_rel_sql()})) SELECT *, p_value < 0.05 AS changing FROM p", "x y periods changing", "statistic strength p_value", 4),
+)
 def relation_change(spark, sf):
-    return rounded(shift.relation_change(shifted(spark, sf), SCOLS, "period").select("x", "y", "periods", "statistic", "strength"), 4)
+    return rounded(shift.relation_change(shifted(spark, sf), SCOLS, "period").select("x", "y", "periods", "statistic", "strength", "p_value", "changing"), 4)
 
 
 def _nonstationary_sql() -> str:
@@ -341,9 +344,12 @@ def _chow_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("domain_invariance", rounded_sql(_chow_sql(), "x y domains n", "f slope_variance mean_r2", 3))
+@query(
+    "domain_invariance",
+    rounded_sql(f"WITH c AS (SELECT *, {f_upper('f', '((domains - 1) * 2)', '(n - 2 * domains)')} AS p_value FROM ({_chow_sql()})) SELECT *, p_value > 0.05 AS invariant FROM c", "x y domains n invariant", "f p_value slope_variance mean_r2", 3),
+)
 def domain_invariance(spark, sf):
-    return rounded(shift.domain_invariance(shifted(spark, sf), ["disc", "mix", "qty"], "period").drop("p_value", "invariant"), 3)
+    return rounded(shift.domain_invariance(shifted(spark, sf), ["disc", "mix", "qty"], "period"), 3)
 
 
 @query("anm_direction")
