@@ -16,13 +16,13 @@ from ..functions.lineage import row_bound
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows handed to Python at a time, and bytes of text they may hold (one row may be longer); such a slice is what a task holds besides its input batch.
-SLICE, SLICE_BYTES = 512, 1 << 21
+SLICE, SLICE_BYTES = 512, 1 << 20
 #: A table of at most this many rows is sent to every executor; a longer one is joined by shuffle, with the same result.
 SENT_ROWS = 200_000
 #: So is one of at most this many bytes, where rows have no fixed width.
 SENT_BYTES = 1 << 25
 #: Words kept with their hash, per task.
-WORDS = 200_000
+WORDS = 100_000
 
 
 class WordHashes:

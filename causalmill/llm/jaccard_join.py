@@ -30,9 +30,9 @@ from .components import components
 #: log2 of the places of the frequency table behind the order of shingles: PER_ROW for each text within these bounds; places of one stretch of it.
 LEAST, MOST, PER_ROW, STRETCH = 20, 26, 32, 1 << 14
 #: Shingles of a family's block, about; a pair of blocks is what one task holds.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Neighbours a task ties before it passes on what is left.
-WAITING = 500_000
+WAITING = 200_000
 LOW = (1 << 32) - 1
 
 

@@ -30,7 +30,7 @@ PLACES = 1 << 13
 KINDS, WEIGHTS = (0, PLACES, 2 * PLACES), (1.0, 1.0, 0.5)
 TERMS = 2 * PLACES + SHAPES
 #: Texts whose dense vectors are held at once.
-HELD = 128
+HELD = 64
 
 
 def _classes() -> np.ndarray:

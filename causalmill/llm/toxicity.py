@@ -28,9 +28,9 @@ SEEDS, EVIDENCE, DOCUMENTS = 20_000, 30.0, 3
 #: Token probabilities below this don't add to a document's score; a token from SPAN on is an offending one.
 FLOOR, SPAN = 0.02, 0.5
 #: Words kept with their score, per task.
-CACHE = 200_000
+CACHE = 100_000
 #: Tokens, with padding, whose marginals are worked out at once.
-CELLS = 500_000
+CELLS = 250_000
 TOKEN = re.compile(r"\w+")
 
 
