@@ -29,6 +29,11 @@ def _asc(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _desc(order: Sequence[str | Column]) -> list[Column]:
+    """The reverse of ``_asc``. A frame that ends at the last row is evaluated anew for every row; over the reversed order it is a running one."""
+    return [(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order]
+
+
 def range_slices(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
     """Sort the table over all tasks; adds ``_slice`` (task) and ``_idx`` (row number inside the slice)."""
     keys = [F.col(c) for c in by] + _asc(order)
@@ -169,10 +174,10 @@ def carried(
     forward, backward = dict(forward or {}), dict(backward or {})
     exprs = {**forward, **backward}
     if fits_one_task(df, by):
-        w = _series(by).orderBy(*_asc(order))
-        past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        past = _series(by).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+        ahead = _series(by).orderBy(*_desc(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(
-            "*", *[F.last(e, True).over(past).alias(k) for k, e in forward.items()], *[F.first(e, True).over(ahead).alias(k) for k, e in backward.items()]
+            "*", *[F.last(e, True).over(past).alias(k) for k, e in forward.items()], *[F.last(e, True).over(ahead).alias(k) for k, e in backward.items()]
         )
     rows = range_slices(df.select("*", *[e.alias(f"_v_{k}") for k, e in exprs.items()]), order, by)
     aggs = []
@@ -181,17 +186,17 @@ def carried(
     for k in backward:
         aggs.append(F.min_by(f"_v_{k}", F.when(F.col(f"_v_{k}").isNotNull(), F.col("_idx"))).alias(f"_s_{k}"))
     runs = rows.groupBy(*_slice_key(by)).agg(*aggs)
-    series = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_slice")
+    series, inside = _series(by), Window.partitionBy(*_slice_key(by))
+    to_here, before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
     runs = runs.select(
         *_slice_key(by),
-        *[F.last(f"_s_{k}", True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{k}") for k in forward],
-        *[F.first(f"_s_{k}", True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias(f"_c_{k}") for k in backward],
+        *[F.last(f"_s_{k}", True).over(series.orderBy("_slice").rowsBetween(*before)).alias(f"_c_{k}") for k in forward],
+        *[F.last(f"_s_{k}", True).over(series.orderBy(F.desc("_slice")).rowsBetween(*before)).alias(f"_c_{k}") for k in backward],
     )
-    inside = Window.partitionBy(*_slice_key(by)).orderBy("_idx")
     local = rows.select(
         *[c for c in rows.columns if not c.startswith("_v_")],
-        *[F.last(f"_v_{k}", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_l_{k}") for k in forward],
-        *[F.first(f"_v_{k}", True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias(f"_l_{k}") for k in backward],
+        *[F.last(f"_v_{k}", True).over(inside.orderBy("_idx").rowsBetween(*to_here)).alias(f"_l_{k}") for k in forward],
+        *[F.last(f"_v_{k}", True).over(inside.orderBy(F.desc("_idx")).rowsBetween(*to_here)).alias(f"_l_{k}") for k in backward],
     )
     out = _join_runs(local, runs, by)
     out = out.withColumns({k: F.coalesce(f"_l_{k}", f"_c_{k}") for k in exprs})
@@ -201,11 +206,9 @@ def carried(
 def with_suffix_min(df: DataFrame, order: Sequence[str | Column], column: str, output: str, by: Sequence[str] = ()) -> DataFrame:
     """Add the minimum of ``column`` from the row to the end of its series."""
     rows = range_slices(df, order, by)
-    series = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_slice")
-    runs = rows.groupBy(*_slice_key(by)).agg(F.min(column).alias("_m")).select(
-        *_slice_key(by), F.min("_m").over(series.rowsBetween(1, Window.unboundedFollowing)).alias("_later")
-    )
-    inside = Window.partitionBy(*_slice_key(by)).orderBy("_idx").rowsBetween(0, Window.unboundedFollowing)
+    series = _series(by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*_slice_key(by)).agg(F.min(column).alias("_m")).select(*_slice_key(by), F.min("_m").over(series).alias("_later"))
+    inside = Window.partitionBy(*_slice_key(by)).orderBy(F.desc("_idx")).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.min(column).over(inside))
     out = _join_runs(local, runs, by).withColumn(output, F.least("_local", "_later"))
     return out.drop("_slice", "_idx", "_local", "_later")
