@@ -29,3 +29,28 @@ def test_suffix_min_is_a_running_frame(spark):
     out = ordered.with_suffix_min(df, ["i"], "v", "m")
     assert "unboundedfollowing" not in _plan(out)
     assert [r.m for r in out.orderBy("i").collect()] == [min(float((j * 7) % 11) for j in range(i, 50)) for i in range(50)]
+
+
+def test_ks_marks_change_nothing(spark, monkeypatch):
+    """Every row is sorted once whatever the number of pairs; the distances of 7 periods are those by hand, with nulls, -0.0, NaN and small periods."""
+    import numpy as np
+
+    from causalmill.operators.discovery import shift
+
+    monkeypatch.setattr(shift, "GRID", 5)
+    monkeypatch.setattr(shift, "TOGETHER", 3)
+    rng = np.random.default_rng(3)
+    rows = [(f"p{k % 7}" if k % 31 else None, float(v), float("nan") if k % 17 == 0 else None if k % 13 == 0 else float(np.floor(v * (1 + k % 7))) * -0.0 if k % 11 == 0 else float(k % 4), None)
+            for k, v in enumerate(rng.normal(size=700))] + [("p9", 1.0, 2.0, None)] * 4
+    df = spark.createDataFrame(rows, "period string, a double, b double, e double")
+    got = {(r.column, r.p1, r.p2): (r.n1, r.n2, r.d) for r in shift.detail_ks(df, ["a", "b", "e"], "period").collect()}
+    want = {}
+    for c, at in (("a", 1), ("b", 2)):
+        parts = {p: np.sort([float("inf") if np.isnan(r[at]) else r[at] for r in rows if r[0] == p and r[at] is not None]) for p in sorted({r[0] for r in rows if r[0]}) if p != "p9"}
+        for p in parts:
+            for q in parts:
+                if p < q:
+                    v = np.concatenate([parts[p], parts[q]])
+                    d = np.abs(np.searchsorted(parts[p], v, "right") / len(parts[p]) - np.searchsorted(parts[q], v, "right") / len(parts[q])).max()
+                    want[(c, p, q)] = (len(parts[p]), len(parts[q]), d)
+    assert got == want
