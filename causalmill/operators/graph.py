@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut_lineage
+from ..functions.lineage import cut_lineage, row_bound, stored
 
 G = "graph_id"
 EDGE = [G, "src", "dst"]
@@ -143,6 +143,44 @@ def reach(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
+SMALL = 100_000  # rows of a round that are sent to every task instead of shuffling the table they meet
+
+
+def _meet(few: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return table.join(F.broadcast(few) if row_bound(few, SMALL) <= SMALL else few, list(keys))
+
+
+def reach_in_groups(members: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
+    """``reach`` over the edges from each member of a group to the greater ones, read off the members (graph_id, group, node); no edge is written.
+
+    A group is known by its lowest member reached so far (``backward``: the highest): all beyond it are reached. A round takes up the groups where that one moved.
+    """
+    nearest = F.max if backward else F.min
+
+    def beyond(a: Column, b: Column) -> Column:
+        return a < b if backward else a > b
+
+    node, keys = F.col("node"), [G, "seed", "group"]
+    delta = cut_lineage(seeds.select(G, F.col("node").alias("seed"), "node").distinct())
+    parts, edge = [], []
+    while not delta.isEmpty():
+        touched = _meet(delta, members, NODE).groupBy(*keys).agg(nearest("node").alias("now"))
+        if edge:
+            old = reduce(DataFrame.unionByName, edge).groupBy(*keys).agg(nearest("now").alias("was"))
+            touched = touched.join(old, keys, "left")
+        else:
+            touched = touched.withColumn("was", F.lit(None).cast(touched.schema["now"].dataType))
+        moved = cut_lineage(touched.where(F.col("was").isNull() | beyond(F.col("was"), F.col("now"))))
+        edge.append(moved.drop("was"))
+        if len(edge) > 8:
+            edge = [cut_lineage(reduce(DataFrame.unionByName, edge).groupBy(*keys).agg(nearest("now").alias("now")))]
+        found = _meet(moved, members, [G, "group"]).where(beyond(node, F.col("now")) & (F.col("was").isNull() | ~beyond(node, F.col("was"))))
+        found = found.select(G, "seed", "node").distinct()
+        delta = cut_lineage(found.join(_grow(parts), [G, "seed", "node"], "left_anti") if parts else found)
+        parts.append(delta)
+    return reduce(DataFrame.unionByName, parts) if parts else seeds.select(G, F.col("node").alias("seed"), "node").limit(0)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(graph_id, ancestor, descendant) over at least one edge, by path doubling.
 
@@ -162,11 +200,15 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def ancestors_descendants(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(graph_id, ancestor, descendant) for the given nodes, or the whole transitive closure."""
+    """(graph_id, ancestor, descendant) for the given nodes, or the whole transitive closure.
+
+    With ``seeds``, ``edges`` may also be given by groups (graph_id, group, node): each member has an edge to the greater ones of its group.
+    """
     if seeds is None:
         return closure(edges)
-    down = reach(edges, seeds).select(G, F.col("seed").alias("ancestor"), F.col("node").alias("descendant"))
-    up = reach(edges, seeds, backward=True).select(G, F.col("node").alias("ancestor"), F.col("seed").alias("descendant"))
+    walk = reach_in_groups if "group" in edges.columns else reach
+    down = walk(edges, seeds).select(G, F.col("seed").alias("ancestor"), F.col("node").alias("descendant"))
+    up = walk(edges, seeds, backward=True).select(G, F.col("node").alias("ancestor"), F.col("seed").alias("descendant"))
     return down.unionByName(up).distinct()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions.lineage import cut_lineage
+from ...functions.lineage import cut_lineage, stored
 from ...operators import graph, hidden, paths
 from ...operators.association import pair_stats
 from ..registry import load, query, rounded, rounded_sql
@@ -325,7 +325,8 @@ def bulk(spark, sf):
     lines = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return cut_lineage(df.select(F.col("l_returnflag").alias("graph_id"), F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct())
+    keys = stored(df.select("l_returnflag", "o_custkey", "l_partkey").distinct())  # keys are shorter than names
+    return keys.select(F.col("l_returnflag").alias("graph_id"), F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"))
 
 
 @query("weak_components_bulk")  # SQL would need all pairs of a component; tested against union-find
@@ -362,9 +363,9 @@ def shared_neighbours_bulk(spark, sf):
 )
 def ancestors_descendants_seeds(spark, sf):
     """Parts bought in bulk by the same customer, the lower name first; everything above and below the first part."""
-    e = bulk(spark, sf)
-    hop = cut_lineage(e.select("graph_id", "src", F.col("dst").alias("a")).join(e.select("graph_id", "src", F.col("dst").alias("b")), ["graph_id", "src"]).where("a < b").select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
-    return graph.ancestors_descendants(hop, hop.groupBy("graph_id").agg(F.min("src").alias("node")))
+    members = bulk(spark, sf).select("graph_id", F.col("src").alias("group"), F.col("dst").alias("node")).na.drop()
+    lowest = members.groupBy("graph_id", "group").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node < last")
+    return graph.ancestors_descendants(members, lowest.groupBy("graph_id").agg(F.min("node").alias("node")))
 
 
 KNOW = """know AS (SELECT a.n_name AS source, b.n_name AS target, CASE a.n_regionkey WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.75 WHEN 2 THEN 0.95 ELSE 0.6 END AS k, CASE WHEN a.n_regionkey = 2 THEN 'indirect' ELSE 'direct' END AS type

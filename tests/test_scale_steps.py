@@ -54,3 +54,19 @@ def test_ks_marks_change_nothing(spark, monkeypatch):
                     d = np.abs(np.searchsorted(parts[p], v, "right") / len(parts[p]) - np.searchsorted(parts[q], v, "right") / len(parts[q])).max()
                     want[(c, p, q)] = (len(parts[p]), len(parts[q]), d)
     assert got == want
+
+
+def test_groups_reach_without_written_edges(spark):
+    """Edges between all pairs of a group are read off its members; both directions and several seeds give what the pairs give."""
+    import random
+
+    from causalmill.operators import graph
+
+    rng = random.Random(5)
+    rows = [(g, f"c{rng.randrange(25)}", f"p{rng.randrange(40)}") for g in "ab" for _ in range(70)] + [("a", None, "p1"), ("a", "c1", None), (None, "c1", "p1")]
+    members = spark.createDataFrame(rows, "graph_id string, `group` string, node string")
+    one, two = members.withColumnRenamed("node", "src"), members.withColumnRenamed("node", "dst")
+    pairs = one.join(two, ["graph_id", "group"]).where("src < dst").select("graph_id", "src", "dst").distinct()
+    seeds = spark.createDataFrame([("a", "p2"), ("a", "p30"), ("b", "p1")], "graph_id string, node string")
+    got = sorted(map(tuple, graph.ancestors_descendants(members, seeds).collect()))
+    assert len(got) > 20 and got == sorted(map(tuple, graph.ancestors_descendants(pairs, seeds).collect()))
