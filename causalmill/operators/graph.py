@@ -268,20 +268,20 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     """(graph_id, node, component): the smallest node of the weakly connected component.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): the number of rounds grows with the logarithm of the
-    component size, not with its diameter.
+    component size, not with its diameter. The edges of a round are stored as compressed columns.
     """
     every = nodes_of(edges) if nodes is None else nodes_of(edges).unionByName(nodes.select(*NODE)).distinct()
-    cur = cut_lineage(edges.where("src != dst").select(G, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    cur = stored(edges.where("src != dst").select(G, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     mark = None
     while True:
         both = cur.unionByName(cur.select(G, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(G, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, [G, "u"]).select(G, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large)
+        large = stored(large)
         least = large.groupBy(G, "u").agg(F.min("v").alias("m"))
         joined = large.join(least, [G, "u"])
         small = joined.select(G, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select(G, "u", F.col("m").alias("v")))
-        cur = cut_lineage(small.where("u != v").distinct())
+        cur = stored(small.where("u != v").distinct())
         now = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64(G, "u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
@@ -445,31 +445,28 @@ def shared_neighbours(edges: DataFrame, least: int = 2) -> DataFrame:
     """(graph_id, a, b, common, shared): node pairs with at least ``least`` (>= 2) common neighbours.
 
     Two common neighbours make a 4-cycle, so the pairs are read off 4-cycles. Wedges start at their highest-degree end
-    (Chiba and Nishizeki 1985), which keeps a hub from emitting all pairs of its neighbours.
+    (Chiba and Nishizeki 1985), which keeps a hub from emitting all pairs of its neighbours. Every common neighbour of a pair
+    is in a 4-cycle with another one, so the cycles bring all of them.
     """
-    nb = edges.where("src != dst").select(G, F.inline(F.array(
-        F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")),
-    ))).distinct()
-    deg = nb.groupBy(G, "u").agg(F.count(F.lit(1)).alias("d"))
-    ru = deg.select(G, "u", F.struct("d", "u").alias("ru"))
-    rv = deg.select(G, F.col("u").alias("v"), F.struct("d", "u").alias("rv"))
-    nb = cut_lineage(nb.join(ru, [G, "u"]).join(rv, [G, "v"]).select(G, "u", "v", "ru", "rv"))
-    top = nb.where(F.struct(F.col("rv.d"), F.col("rv.u")) > F.struct(F.col("ru.d"), F.col("ru.u"))).select(G, "u", F.col("v").alias("h"), F.col("rv").alias("rh"))
-    low = nb.select(G, "u", F.col("v").alias("w"), F.col("rv").alias("rw"))
-    wedge = top.join(low, [G, "u"]).where(F.struct(F.col("rw.d"), F.col("rw.u")) < F.struct(F.col("rh.d"), F.col("rh.u"))).select(G, "h", "w", "u")
-    wedge = cut_lineage(wedge)
-    many = wedge.groupBy(G, "h", "w").agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").drop("_c")
-    mids = wedge.join(many, [G, "h", "w"])
-    # two middles of one pair share both of its ends: every pair emitted here is a row of the result
-    across = mids.join(mids.withColumnRenamed("u", "u2"), [G, "h", "w"]).where("u < u2").select(G, F.col("u").alias("a"), F.col("u2").alias("b"))
-    ends = many.select(G, F.least("h", "w").alias("a"), F.greatest("h", "w").alias("b"))
-    pairs = across.unionByName(ends).distinct()
-    na = nb.select(G, F.col("u").alias("a"), F.col("v").alias("c"))
-    nbb = nb.select(G, F.col("u").alias("b"), F.col("v").alias("c"))
-    out = pairs.join(na, [G, "a"]).join(nbb, [G, "b", "c"]).groupBy(G, "a", "b").agg(
-        F.count(F.lit(1)).alias("common"), F.array_sort(F.collect_list("c")).alias("shared")
-    )
-    return out.where(F.col("common") >= least)
+    ends = edges.where("src != dst").select(G, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    ends = stored(ends)
+    deg = ends.select(G, F.explode(F.array("a", "b")).alias("u")).groupBy(G, "u").agg(F.count(F.lit(1)).alias("d"))
+    deg = stored(deg)
+    ranked = ends.join(deg.select(G, F.col("u").alias("a"), F.col("d").alias("da")), [G, "a"]).join(deg.select(G, F.col("u").alias("b"), F.col("d").alias("db")), [G, "b"])
+    ranked = stored(ranked)
+    rise = F.struct("da", "a") < F.struct("db", "b")  # from a to b
+    top = ranked.select(G, F.when(rise, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(rise, F.col("b")).otherwise(F.col("a")).alias("h"), F.greatest("da", "db").alias("dh"))
+    low = ranked.select(G, F.inline(F.array(
+        F.struct(F.col("a").alias("u"), F.col("b").alias("w"), F.col("db").alias("dw")), F.struct(F.col("b").alias("u"), F.col("a").alias("w"), F.col("da").alias("dw")),
+    )))
+    wedge = top.join(low, [G, "u"]).where(F.struct("dw", "w") < F.struct("dh", "h")).select(G, "h", "w", "u")
+    same = Window.partitionBy(G, "h", "w")
+    mids = stored(wedge.withColumn("_c", F.count(F.lit(1)).over(same)).where("_c >= 2").drop("_c"))
+    # two middles of one pair share both of its ends, and the ends share the middles
+    across = mids.join(mids.withColumnRenamed("u", "u2"), [G, "h", "w"]).where("u < u2").select(G, F.col("u").alias("a"), F.col("u2").alias("b"), F.explode(F.array("h", "w")).alias("c"))
+    outer = mids.select(G, F.least("h", "w").alias("a"), F.greatest("h", "w").alias("b"), F.col("u").alias("c"))
+    out = across.unionByName(outer).groupBy(G, "a", "b").agg(F.array_sort(F.collect_set("c")).alias("shared"))
+    return out.select(G, "a", "b", F.size("shared").cast("long").alias("common"), "shared").where(F.col("common") >= least)
 
 
 def fan_out(edges: DataFrame, least: int = 2) -> DataFrame:
