@@ -70,3 +70,43 @@ def test_groups_reach_without_written_edges(spark):
     seeds = spark.createDataFrame([("a", "p2"), ("a", "p30"), ("b", "p1")], "graph_id string, node string")
     got = sorted(map(tuple, graph.ancestors_descendants(members, seeds).collect()))
     assert len(got) > 20 and got == sorted(map(tuple, graph.ancestors_descendants(pairs, seeds).collect()))
+
+
+def _no_uncompressed_copy(monkeypatch, graph):
+    def refuse(df):
+        raise AssertionError("a table of the size of the edges is stored uncompressed")
+
+    monkeypatch.setattr(graph, "cut_lineage", refuse)
+
+
+def test_shared_neighbours_off_cycles(spark, monkeypatch):
+    """All common neighbours of every pair, with hubs, loops, repeated and null ends; no wedge is stored."""
+    import itertools
+    import random
+
+    from causalmill.operators import graph
+
+    _no_uncompressed_copy(monkeypatch, graph)
+    rng = random.Random(9)
+    rows = [(g, f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for g in "ab" for _ in range(80)] + [("a", "hub", f"n{i}") for i in range(30)] + [("a", None, "n1"), (None, "n1", "n2")]
+    got = {(r.graph_id, r.a, r.b): (r.common, r.shared) for r in graph.shared_neighbours(spark.createDataFrame(rows, "graph_id string, src string, dst string")).collect()}
+    near = {}
+    for g, s, d in rows:
+        if g and s and d and s != d:
+            near.setdefault((g, s), set()).add(d)
+            near.setdefault((g, d), set()).add(s)
+    want = {}
+    for (g, a), (h, b) in itertools.product(near, near):
+        both = near[(g, a)] & near[(h, b)]
+        if g == h and a < b and len(both) >= 2:
+            want[(g, a, b)] = (len(both), sorted(both))
+    assert got == want
+
+
+def test_weak_components_store_compact_rounds(spark, monkeypatch):
+    from causalmill.operators import graph
+
+    _no_uncompressed_copy(monkeypatch, graph)
+    edges = [("a", f"n{i:02d}", f"n{i + 1:02d}") for i in range(20) if i != 9] + [("b", "x", "x"), ("b", "y", "x")]
+    got = {(r.graph_id, r.node): r.component for r in graph.weak_components(spark.createDataFrame(edges, "graph_id string, src string, dst string")).collect()}
+    assert got == {**{("a", f"n{i:02d}"): "n00" if i < 10 else "n10" for i in range(21)}, ("b", "x"): "x", ("b", "y"): "x"}
