@@ -5,7 +5,8 @@ Chunk tables have document_id, chunk_id, content, metadata map<string,string> an
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.lineage import cut_lineage
 
 EMPTY = "[Empty file]"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 RULE = "\n\n---\n\n"
 
@@ -137,23 +139,36 @@ def ingest_new(
     return chunks, listing
 
 
+@contextmanager
+def listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, a listing of many folders or files takes four tasks per core instead of one for each of them."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def ingest_stream(
     spark: SparkSession, folder: str, store: str, progress: str, run: str, patterns: str = "*.{txt,md}", separator: str = "\n\n",
-    document_id: str = r"([^/]+)$", files_per_batch: int = 1000,
+    document_id: str = r"([^/]+)$", files_per_batch: int = 20_000,
 ) -> DataFrame:
     """Read the files under ``folder`` that no earlier call has read, add their chunks to ``store``, and return the table of all chunks.
 
     A file stream that ends when nothing new is left: its log in ``progress`` is the record of what is stored, so a file is read once even if a run is
     broken off and started again, and files of any number go through in batches. Files of no bytes are passed over. ``document_id`` takes the id from the path; ``run`` names the call in the table.
+    A listing is cut into a few tasks per core, not one per folder or file.
     """
-    raw = (
-        spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", patterns)
-        .option("maxFilesPerTrigger", files_per_batch).schema("value string").load(folder)
-    )
-    files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("document_id", F.regexp_extract("path", document_id, 1))
-    chunks = chunk_paragraphs(files.withColumn("title", extract_title(F.col("text"))), "text", ["document_id", "path", "title"], separator)
-    query = chunks.withColumn("run", F.lit(run)).writeStream.format("parquet").option("path", store).option("checkpointLocation", progress).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with listing_tasks(spark):
+        raw = (
+            spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", patterns)
+            .option("maxFilesPerTrigger", files_per_batch).schema("value string").load(folder)
+        )
+        files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("document_id", F.regexp_extract("path", document_id, 1))
+        chunks = chunk_paragraphs(files.withColumn("title", extract_title(F.col("text"))), "text", ["document_id", "path", "title"], separator)
+        query = chunks.withColumn("run", F.lit(run)).writeStream.format("parquet").option("path", store).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        query.awaitTermination()
     if query.exception():
         raise query.exception()
     return spark.read.schema(chunks.withColumn("run", F.lit(run)).schema).parquet(store)

@@ -110,3 +110,19 @@ def test_weak_components_store_compact_rounds(spark, monkeypatch):
     edges = [("a", f"n{i:02d}", f"n{i + 1:02d}") for i in range(20) if i != 9] + [("b", "x", "x"), ("b", "y", "x")]
     got = {(r.graph_id, r.node): r.component for r in graph.weak_components(spark.createDataFrame(edges, "graph_id string, src string, dst string")).collect()}
     assert got == {**{("a", f"n{i:02d}"): "n00" if i < 10 else "n10" for i in range(21)}, ("b", "x"): "x", ("b", "y"): "x"}
+
+
+def test_small_files_listed_in_few_tasks_and_batches(spark, tmp_path):
+    from causalmill.operators import text
+
+    for i in range(1_001):
+        (tmp_path / "in" / f"d{i % 50}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{i % 50}" / f"{i}.txt").write_text(f"a{i}\n\nb")
+    before = spark.conf.get(text.LISTING)
+    with text.listing_tasks(spark):
+        assert int(spark.conf.get(text.LISTING)) == 4 * spark.sparkContext.defaultParallelism
+    folder, store, progress = (str(tmp_path / d) for d in ("in", "store", "progress"))
+    out = text.ingest_stream(spark, folder, store, progress, "1")
+    assert out.count() == 2_002 and out.select("document_id").distinct().count() == 1_001 and spark.conf.get(text.LISTING) == before
+    assert [p.name for p in (tmp_path / "progress" / "commits").iterdir() if not p.name.startswith(".")] == ["0"]  # one batch
+    assert text.ingest_stream(spark, folder, store, progress, "2").where("run = '2'").isEmpty()
