@@ -264,30 +264,36 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     return every.join(found.unionByName(below), NODE, "left").select(*NODE, F.col("level").cast("int").alias("level"))
 
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Of edges (graph_id, u, v) with ``u`` > ``v``: each ``u`` and its neighbours tied to the least of these."""
+    least = edges.groupBy(G, "u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, [G, "u"]).where("v != m").select(G, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return moved.unionByName(least.withColumnRenamed("m", "v"))
+
+
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(graph_id, node, component): the smallest node of the weakly connected component.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): the number of rounds grows with the logarithm of the
-    component size, not with its diameter. The edges of a round are stored as compressed columns.
+    component size, not with its diameter. The first step is a small-star over the edges as given; the edges of a round are stored as compressed columns.
     """
-    every = nodes_of(edges) if nodes is None else nodes_of(edges).unionByName(nodes.select(*NODE)).distinct()
-    cur = stored(edges.where("src != dst").select(G, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    linked = F.coalesce(F.col("src") != F.col("dst"), F.lit(False)) & F.col(G).isNotNull()
+    # nodes without an edge to another; all others are found with their labels
+    single = nodes_of(edges.where(~linked)) if nodes is None else nodes_of(edges.where(~linked)).unionByName(nodes.select(*NODE)).distinct()
+    cur = stored(_small_star(edges.where(linked).select(G, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))))
     mark = None
     while True:
         both = cur.unionByName(cur.select(G, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(G, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, [G, "u"]).select(G, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large)
-        least = large.groupBy(G, "u").agg(F.min("v").alias("m"))
-        joined = large.join(least, [G, "u"])
-        small = joined.select(G, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select(G, "u", F.col("m").alias("v")))
-        cur = stored(small.where("u != v").distinct())
+        cur = stored(_small_star(stored(large)))
         now = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64(G, "u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
     labels = cur.groupBy(G, F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return every.join(labels, NODE, "left").withColumn("component", F.coalesce("component", "node"))
+    found = labels.unionByName(cur.select(G, F.col("v").alias("node"), F.col("v").alias("component")).distinct())  # in the end a ``v`` leads its component
+    return found.unionByName(single.join(found.select(*NODE), NODE, "left_anti").withColumn("component", F.col("node")))
 
 
 def component_of(edges: DataFrame, graph_id, node) -> DataFrame:

@@ -126,3 +126,19 @@ def test_small_files_listed_in_few_tasks_and_batches(spark, tmp_path):
     assert out.count() == 2_002 and out.select("document_id").distinct().count() == 1_001 and spark.conf.get(text.LISTING) == before
     assert [p.name for p in (tmp_path / "progress" / "commits").iterdir() if not p.name.startswith(".")] == ["0"]  # one batch
     assert text.ingest_stream(spark, folder, store, progress, "2").where("run = '2'").isEmpty()
+
+
+def test_weak_components_list_lone_nodes_only(spark, monkeypatch):
+    from causalmill.operators import graph
+
+    listed, plain = [], graph.nodes_of
+    monkeypatch.setattr(graph, "nodes_of", lambda edges: listed.extend(edges.collect()) or plain(edges))
+    edges = [("a", "n2", "n1"), ("a", "n1", "n2"), ("a", "n3", "n2"), ("a", "n3", "n3"), ("a", "n9", "n9"), ("a", None, "n8"), (None, "n1", "n2"), ("b", "n2", "n4"), ("b", "n2", "n4")]
+    given = spark.createDataFrame(edges, "graph_id string, src string, dst string")
+    nodes = spark.createDataFrame([("a", "n1"), ("c", "n7"), ("c", "n7")], "graph_id string, node string")
+    lone = [("a", "n8", "n8"), ("a", "n9", "n9"), ("a", None, None), (None, "n1", "n1"), (None, "n2", "n2")]
+    tied = [("a", "n1", "n1"), ("a", "n2", "n1"), ("a", "n3", "n1"), ("b", "n2", "n2"), ("b", "n4", "n2")]
+    for extra, more in ((None, []), (nodes, [("c", "n7", "n7")])):
+        got = [tuple(r) for r in graph.weak_components(given, extra).select("graph_id", "node", "component").collect()]
+        assert sorted(got, key=str) == sorted(lone + tied + more, key=str)
+    assert listed and all(None in tuple(r) or r.src == r.dst for r in listed)
