@@ -26,6 +26,8 @@ DEPTH = 5
 FREQUENT = 1 << 18
 #: Bytes of text whose runs are sorted or scored at once; characters of text of a chunk, about.
 PIECE, CHUNK = 2_000_000, 16_000_000
+#: Bytes of texts that a task packs at once.
+HELD = 32_000_000
 #: Ends a text and stands before it; no byte of UTF-8.
 END = 255
 #: The token that ends every text, beside the hashes of its words.
@@ -209,21 +211,69 @@ def _log_probability(key: np.ndarray, levels: list[Level]) -> np.ndarray:
 
 def _counted(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """Distinct runs of a task in order, how often training has them, and the runs of each block with its chunk."""
-    blocks = [(c, np.frombuffer(k, "<u8"), np.frombuffer(n, "<i8")) for b in batches for c, k, n in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)]
+    blocks = [(c, _keys(k), _loose(n, "<i8")) for b in batches for c, k, n in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True)]
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     key, n = _sums(np.concatenate([b[1] for b in blocks]), np.concatenate([b[2] for b in blocks]))
     return key, n, [b[:2] for b in blocks]
 
 
-def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of rows of one chunk (column 0); rows are in the order of the chunks."""
-    for batch in batches:
-        chunk = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
-        for a, b in zip(cuts, cuts[1:]):
-            for at in range(a, b, 1024):
-                yield int(chunk[at]), batch.slice(at, min(1024, b - at))
+def _squeezed(values: np.ndarray) -> bytes:
+    """An array of eight-byte numbers as compressed bytes, all first bytes first."""
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8).T), "zstd", asbytes=True)
+
+
+def _loose(blob: bytes, kind: str) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    data = pa.decompress(blob[8:], 8 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).reshape(-1).view(kind)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Keys in order as the compressed steps between them."""
+    return _squeezed(np.diff(keys, prepend=U64(0)))
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_loose(blob, "<u8"), dtype=np.uint64)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` as compressed Arrow streams of the rows of a chunk: ``_chunk``, ``packed``, so that texts are shuffled in fewer bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            table = table.take(pa.array(np.argsort(table.column("_chunk").to_numpy(), kind="stable")))
+            chunk = table.column("_chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            for a, b in zip(cuts, cuts[1:]):
+                out = pa.BufferOutputStream()
+                part = table.slice(a, b - a).drop_columns("_chunk")
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_table(part)
+                yield pa.RecordBatch.from_arrays([pa.array([int(chunk[a])], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["_chunk", "packed"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size > HELD:
+                yield from emit()
+                held, size = [], 0
+        if held:
+            yield from emit()
+
+    return rows.mapInArrow(pack, "_chunk bigint, packed binary")
+
+
+def _unpacked(blob: bytes) -> Iterator[pa.RecordBatch]:
+    """The rows of a stream of ``_packed``, in slices."""
+    for batch in pa.ipc.open_stream(blob):
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
@@ -252,28 +302,29 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
             key, n, bucket = key[order], n[order], bucket[order]
             cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             spans = list(zip(cuts, cuts[1:]))
-            columns = [[int(bucket[a]) for a, _ in spans], [now] * len(spans), [key[a:b].tobytes() for a, b in spans], [n[a:b].tobytes() for a, b in spans]]
+            columns = [[int(bucket[a]) for a, _ in spans], [now] * len(spans), [_steps(key[a:b]) for a, b in spans], [_squeezed(n[a:b]) for a, b in spans]]
             for at in range(0, len(spans), 256):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c[at : at + 256], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys", "n"]
                 )
 
-        for chunk, part in _by_chunk(batches):
+        for chunk, blob in ((c.as_py(), b.as_py()) for batch in batches for c, b in zip(*batch.columns, strict=True)):
             if chunk != now:
                 yield from emit()
                 now = chunk
-            train = part.column(1).to_numpy(zero_copy_only=False)
-            texts = [ascii_words(t) for t in part.column(2).to_pylist()]
-            for learnt in (True, False):
-                for piece in _pieces([t for t, k in zip(texts, train, strict=True) if bool(k) == learnt]):
-                    key, n = np.unique(runs(piece)[0], return_counts=True)
-                    waiting.append((key, n if learnt else np.zeros(len(n), np.int64)))
-                    size += len(key)
-            if size > 1_000_000:
-                settle()
+            for part in _unpacked(blob):
+                train = part.column(0).to_numpy(zero_copy_only=False)
+                texts = [ascii_words(t) for t in part.column(1).to_pylist()]
+                for learnt in (True, False):
+                    for piece in _pieces([t for t, k in zip(texts, train, strict=True) if bool(k) == learnt]):
+                        key, n = np.unique(runs(piece)[0], return_counts=True)
+                        waiting.append((key, n if learnt else np.zeros(len(n), np.int64)))
+                        size += len(key)
+                if size > 1_000_000:
+                    settle()
         yield from emit()
 
-    placed = docs.select("_chunk", "_train", "_text").repartition("_chunk").sortWithinPartitions("_chunk")
+    placed = _packed(docs.select("_chunk", "_train", "_text")).repartition("_chunk").sortWithinPartitions("_chunk")
     return placed.mapInArrow(count, "bucket bigint, chunk bigint, keys binary, n binary")
 
 
@@ -288,7 +339,7 @@ def _values(stored: DataFrame, top: object) -> DataFrame:
         for at in range(0, len(blocks), 64):
             part = blocks[at : at + 64]
             yield pa.RecordBatch.from_arrays([
-                pa.array([c for c, _ in part], pa.int64()), pa.array([k.tobytes() for _, k in part], pa.binary()), pa.array([found[np.searchsorted(key, k)].tobytes() for _, k in part], pa.binary()),
+                pa.array([c for c, _ in part], pa.int64()), pa.array([_steps(k) for _, k in part], pa.binary()), pa.array([found[np.searchsorted(key, k)].tobytes() for _, k in part], pa.binary()),
             ], names=["chunk", "keys", "values"])
 
     return stored.mapInArrow(value, "chunk bigint, keys binary, values binary")
@@ -298,7 +349,7 @@ class Scorer:
     """Sums over the texts of a chunk, whose runs and their log10 probabilities it is given; a run is looked up by hash, or by search if another has its place."""
 
     def __init__(self, parts: list[tuple[bytes, bytes]]):
-        key, value = np.concatenate([np.frombuffer(k, "<u8") for k, _ in parts]), np.concatenate([np.frombuffer(v, "<f4") for _, v in parts])
+        key, value = np.concatenate([_keys(k) for k, _ in parts]), np.concatenate([np.frombuffer(v, "<f4") for _, v in parts])
         order = np.argsort(key)
         self.key, self.value = key[order], value[order]
         places = 1 << max(10, math.ceil(math.log2(2 * len(key))))
@@ -362,27 +413,23 @@ def score(df: DataFrame, train: object, text: str = "text", key: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, now, parts, scorer = WordHashes(), None, [], None
-        for chunk, part in _by_chunk(batches):
+        for chunk, is_text, *given in (tuple(v.as_py() for v in row) for batch in batches for row in zip(*batch.columns, strict=True)):
             if chunk != now:
                 now, parts, scorer = chunk, [], None
-            row = part.column(1).to_numpy(zero_copy_only=False)  # the values of a chunk stand before its texts
-            given = part.filter(pa.array(~row))
-            parts += zip(given.column(4).to_pylist(), given.column(5).to_pylist(), strict=True)
-            texts = part.filter(pa.array(row))
-            if not texts.num_rows:
+            if not is_text:  # the values of a chunk stand before its texts
+                parts.append((given[1], given[2]))
                 continue
             if scorer is None:
                 scorer, parts = Scorer(parts), []
-            for at in range(0, texts.num_rows, SLICE):
-                some = texts.slice(at, SLICE)
-                out = measure(some.column(3).to_pylist(), scorer, hashes)
-                yield pa.RecordBatch.from_arrays([some.column(2), *[pa.array(out[c], t) for c, t in columns.items()]], names=["_key", *columns])
+            for some in _unpacked(given[0]):
+                out = measure(some.column(1).to_pylist(), scorer, hashes)
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(out[c], t) for c, t in columns.items()]], names=["_key", *columns])
 
     kind = dict(df.dtypes)[key]
     schema = f"_key {kind}, n_tokens bigint, score double, n_known bigint, base double, rare array<bigint>, times array<int>"
-    none = F.lit(None)
-    texts = docs.select("_chunk", F.lit(True).alias("_is_text"), "_key", "_text", none.cast("binary").alias("keys"), none.cast("binary").alias("values"))
-    values = values.select(F.col("chunk").alias("_chunk"), F.lit(False).alias("_is_text"), none.cast(kind).alias("_key"), none.cast("string").alias("_text"), "keys", "values")
+    none = F.lit(None).cast("binary")
+    texts = _packed(docs.select("_chunk", "_key", "_text")).select("_chunk", F.lit(True).alias("_is_text"), "packed", none.alias("keys"), none.alias("values"))
+    values = values.select(F.col("chunk").alias("_chunk"), F.lit(False).alias("_is_text"), none.alias("packed"), "keys", "values")
     rows = cut_lineage(texts.union(values).repartition("_chunk").sortWithinPartitions("_chunk", "_is_text").mapInArrow(run, schema))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())  # over the stored copy, so always the same
     rare = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("_t")).select("_row", F.col("_t.rare").alias("key"), F.col("_t.times").alias("times"))

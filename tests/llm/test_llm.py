@@ -230,6 +230,18 @@ def test_context_tree_base(spark, sf, odd, none):
     assert all(r.n_known == 0 for r in context_tree.score(odd, F.lit(False)).collect())
 
 
+def test_context_tree_shuffles_compressed(spark):
+    """Texts, runs and counts come back whole from the forms in which they are shuffled, and those are small."""
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 20, 5_000).astype(np.uint64))
+    counts = np.arange(len(keys)) % 7
+    assert (context_tree._keys(context_tree._steps(keys)) == keys).all() and (context_tree._loose(context_tree._squeezed(counts), "<i8") == counts).all()
+    assert len(context_tree._steps(keys)) * 4 < keys.nbytes and len(context_tree._keys(context_tree._steps(keys[:0]))) == 0
+    rows = [(i % 3, f"k{i}", None if i % 100 == 7 else "some words of a text " * 20 + str(i)) for i in range(2_000)]
+    packed = context_tree._packed(spark.createDataFrame(rows, "_chunk long, _key string, _text string").repartition(2)).collect()
+    back = [(r._chunk, *map(str, row.values())) for r in packed for part in context_tree._unpacked(bytes(r.packed)) for row in part.to_pylist()]
+    assert sorted(back) == sorted((c, k, str(t)) for c, k, t in rows) and sum(len(r.packed) for r in packed) * 4 < sum(len(t or "") for _, _, t in rows)
+
+
 def test_context_tree_brute_force(spark):
     """Mixed probabilities of every depth, by the definition, on a tiny corpus; the table keeps probabilities to about a hundredth."""
     texts = ["ab ab ba", "ab aab", "b ab ab ab"]
