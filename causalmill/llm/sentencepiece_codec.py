@@ -13,6 +13,7 @@ import re
 import struct
 import zlib
 from itertools import pairwise
+from operator import concat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,10 +23,12 @@ from .common import per_batch
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units kept with their segmentation, per task.
-CACHE = 400_000
+#: Words kept with their ids, per task.
+CACHE = 200_000
 #: Symbols up to which merging scans a list; a longer unit uses a heap.
 SHORT = 48
+#: New units from which they are merged side by side, in a table for each of these numbers of characters; longer ones are cut first.
+TOGETHER, WIDTHS = 64, (7, 10, 14, 20, 32)
 NONE = float("-inf")
 
 
@@ -85,6 +88,8 @@ def _offset(unit: int) -> int:
 class Codec:
     def __init__(self, model: dict):
         self.m = model
+        #: spaces are escaped, one is put in front, all else stays
+        self.alike = not model["charsmap"] and not model["squeeze"] and model["prefix"]
         pieces, types = model["pieces"], model["types"]
         self.map = CharMap(model["charsmap"])
         self.score = {p: s for p, s, t in zip(pieces, model["scores"], types, strict=True) if t in (NORMAL, UNUSED)}
@@ -93,23 +98,38 @@ class Codec:
         self.unk = types.index(UNKNOWN)
         self.byte = [self.id.get(f"<0x{b:02X}>") for b in range(256)]
         self.raw = [self._raw(p, t) for p, t in zip(pieces, types, strict=True)]
+        self.characters = [len(p) for p in pieces]
         self.decimal = [str(i) for i in range(len(pieces))]
         # bytes of each piece in the normalised text, and in the source where a space is one byte
         self.width = np.array([1 if t == BYTE else len(p.encode()) if t in (NORMAL, UNUSED) else 0 for p, t in zip(pieces, types, strict=True)])
         self.source_width = np.array([1 if t == BYTE else len(p.replace(SPACE, " ").encode()) if t in (NORMAL, UNUSED) else 0 for p, t in zip(pieces, types, strict=True)])
         long = [p for p in self.score if len(p) > 1]
-        apart = not any(SPACE in p.lstrip(SPACE) for p in long)
-        alone = "" if any("\n" in p for p in long) else "\n"
-        self.apart, self.alone = apart, alone
+        self.apart = apart = not any(SPACE in p.lstrip(SPACE) for p in long)
         self.beside = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if apart else re.compile("(?s).+")
-        self.line = re.compile("\n|[^\n]+")
         self.plain = {p: i for p, i in self.id.items() if p in self.score}
-        #: ids of the words of texts with single spaces, packed; ids of any unit
+        self.pair_keys, self.pair_made, self.pair_scores = self._pairs(long)
+        #: symbol of each character: the id of its piece; -2 if no piece holds it; -1 if one does, but it is none itself
+        self.symbol = np.full(0x110000, -2, np.int32)
+        for c in {c for p in long for c in p}:
+            self.symbol[ord(c)] = -1
+        for p, i in self.plain.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        #: packed ids: of the words of texts with single spaces, of other units
         self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
         self.other: dict[str, bytes] = {}
 
+    def _pairs(self, long: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbours that merge, as left id * pieces + right id in order, with the id and the score of what they make; scores grow with 1 and more, 0 is none."""
+        plain, n = self.plain, len(self.raw)
+        halves = [(a * n + b, plain[p], self.score[p]) for p in long for i in range(1, len(p)) if (a := plain.get(p[:i])) is not None and (b := plain.get(p[i:])) is not None]
+        key, made = (np.array([h[k] for h in halves], np.int64) for k in (0, 1))
+        ranks = np.unique(np.array([h[2] for h in halves], float), return_inverse=True)[1].astype(np.int32) + 1
+        at = np.argsort(key)
+        # a last key that no pair has, so that every place that is looked up exists
+        return np.append(key[at], np.iinfo(np.int64).max), np.append(made[at], 0), np.append(ranks[at], 0).astype(np.int32)
+
     def _raw(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
             return bytes([int(piece[3:5], 16)])
@@ -126,7 +146,7 @@ class Codec:
         """
         if not text:
             return "", np.zeros(1, np.int64)
-        if not self.m["charsmap"] and not self.m["squeeze"] and self.m["prefix"] and SPACE not in text:
+        if self.alike and SPACE not in text:
             return SPACE + text.replace(" ", SPACE), None
         data, squeeze = text.encode(), self.m["squeeze"]
         at, out, source = 0, [], []
@@ -228,44 +248,126 @@ class Codec:
         else:
             out.append(self.unk)
 
-    def _unit(self, unit: str) -> list[int]:
-        """Ids of a unit, cut first where no piece holds the two characters beside the cut."""
-        if "\n" in unit and self.alone and len(unit) > 1:
-            return [i for part in self.line.findall(unit) for i in self._unit(part)]
-        if len(unit) > 2 and unit[-2:] not in self.beside:
-            return self._seen(unit[:-1]) + self._seen(unit[-1])
-        return self._merge(unit)
-
-    def _seen(self, unit: str) -> list[int]:
-        ids = self.parts.get(unit)
-        if ids is None:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            ids = self.parts[unit] = self._unit(unit)
-        return ids
-
-    def _fill(self, units: list[str], before: str) -> None:
+    def _cut(self, unit: str) -> list[str]:
+        """The unit in stretches: no piece holds the two characters beside a cut."""
+        beside = self.beside
+        cuts = [i for i, pair in enumerate(map(concat, unit, unit[1:]), 1) if pair not in beside]
+        return [unit[i:j] for i, j in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+
+    def _packed(self, units: list[str]) -> list[bytes]:
+        """The packed ids of different units."""
+        if len(units) < TOGETHER or self.unused:
+            return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self._merge, units)]
+        out: list[bytes] = [b""] * len(units)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        low = 0
+        for width in WIDTHS:
+            at = np.flatnonzero((size > low) & (size <= width))
+            for i, data in zip(at.tolist(), self._merge_table([units[i] for i in at.tolist()], size[at], width), strict=True):
+                out[i] = data
+            low = width
+        if (long := np.flatnonzero(size > low).tolist()):
+            cut = [self._cut(units[i]) for i in long]
+            stretches = list(dict.fromkeys(s for c in cut for s in c))
+            short = [s for s in stretches if len(s) <= low]
+            known = dict(zip(short, self._packed(short), strict=True))
+            for s in stretches:
+                if s not in known:
+                    ids = self._merge(s)
+                    known[s] = struct.pack(f"<{len(ids)}I", *ids)
+            for i, c in zip(long, cut, strict=True):
+                out[i] = b"".join(map(known.__getitem__, c))
+        return out
+
+    def _merge_table(self, units: list[str], size: np.ndarray, width: int) -> list[bytes]:
+        """Packed ids of units of at most ``width`` characters, merged side by side, one merge of each a round."""
+        n, keys = len(self.raw), self.pair_keys
+        column = np.arange(width)
+        table = np.full((len(units), width), -1, np.int64)
+        table[column < size[:, None]] = self.symbol[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")]
+        odd = np.flatnonzero((table < 0).sum(axis=1) != width - size)  # units with a character that is no piece
+        rows = np.arange(len(units))  # those that still merge
+
+        def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Place of each pair among the keys; the last place, of score 0, if it does not merge."""
+            key = np.where((a >= 0) & (b >= 0), a * n + b, -1)
+            at = np.searchsorted(keys, key)
+            return np.where(keys[at] == key, at, len(keys) - 1)
+
+        pair = look(table[:, :-1], table[:, 1:])
+        out, count = np.full(table.shape, -1, np.int64), size.copy()
+        while len(rows):
+            score = self.pair_scores[pair]
+            best = score.argmax(axis=1)  # the leftmost of equal ones
+            going = score[np.arange(len(rows)), best] > 0
+            if not going.all():
+                out[rows[~going]] = table[~going]
+                rows, table, pair, best = rows[going], table[going], pair[going], best[going]
+            i = np.arange(len(rows))
+            made = self.pair_made[pair[i, best]]
+            moved = np.minimum(column + (column > best[:, None]), width - 1)
+            table = np.take_along_axis(table, moved, axis=1)
+            table[:, -1] = -1
+            table[i, best] = made
+            pair = np.take_along_axis(pair, np.minimum(moved[:, :-1], width - 2), axis=1)
+            pair[:, -1] = len(keys) - 1
+            count[rows] -= 1
+            pair[i, best] = look(made, table[i, best + 1])
+            left = best > 0
+            pair[i[left], best[left] - 1] = look(table[i[left], best[left] - 1], made[left])
+        data = out[column < count[:, None]].astype("<u4").tobytes()
+        ends = (np.cumsum(count) * 4).tolist()
+        packed = [data[i:j] for i, j in zip([0, *ends], ends)]
+        for i in odd.tolist():
+            packed[i] = self._with_others(units[i], out[i, : count[i]].tolist())
+        return packed
+
+    def _with_others(self, unit: str, ids: list[int]) -> bytes:
+        """The packed ids of a merged unit with characters that are no piece; they stand as negative numbers among ``ids``."""
+        if -1 in ids:  # may be part of a piece
+            every = self._merge(unit)
+        else:
+            every, at = [], 0
+            for i in ids:
+                if i < 0:
+                    self._ids(unit[at], {}, every)
+                else:
+                    every.append(i)
+                at += 1 if i < 0 else self.characters[i]
+        return struct.pack(f"<{len(every)}I", *every)
+
+    def _words(self, text: str) -> list[str] | None:
+        """With single spaces and nothing else changed, the words of the text are its units, each with the space before it."""
+        plain = self.alike and self.apart and text and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " "
+        return text.split(" ") if plain else None
+
+    def _fill(self, cache: dict[str, bytes], units: set[str], before: str) -> None:
+        """Put the packed ids of those units that are new into ``cache``, each encoded with ``before`` ahead of it."""
+        new = list(units.difference(cache))
+        cache.update(zip(new, self._packed([before + u for u in new] if before else new), strict=True))
+
+    def prepare(self, texts: list[str]) -> None:
+        """Encode the new words of many texts side by side; ``encode`` then finds them."""
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        for u in set(units).difference(self.cache):
-            ids = self._seen(before + u)
-            self.cache[u] = struct.pack(f"<{len(ids)}I", *ids)
+        new: set[str] = set()
+        for t in texts:
+            new.update(self._words(t) or ())
+        self._fill(self.cache, new, SPACE)
 
     def encode(self, text: str, spans: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Ids, and the first byte and the byte after the last of each piece in the source."""
-        norm, align = self.normalise(text)
-        # with single spaces and nothing else changed, the words of the source are the units, each with the space before it
-        words = align is None and self.apart and "  " not in text and text[0] != " " and text[-1] != " "
-        units = text.split(" ") if words else self.units.findall(norm)
-        cache = self.cache if words else self.other
+        units, before, cache, align, norm = self._words(text), SPACE, self.cache, None, ""
+        if units is None:
+            norm, align = self.normalise(text)
+            units, before, cache = self.units.findall(norm), "", self.other
         try:
             data = b"".join(map(cache.__getitem__, units))
         except KeyError:
-            if words:
-                self._fill(units, SPACE)
-                data = b"".join(map(cache.__getitem__, units))
-            else:
-                data = b"".join(struct.pack(f"<{len(ids)}I", *ids) for ids in map(self._seen, units))
+            if len(cache) >= CACHE:
+                cache.clear()
+            self._fill(cache, set(units), before)
+            data = b"".join(map(cache.__getitem__, units))
         which = np.frombuffer(data, "<u4")
         if not spans:
             return which, None, None
@@ -337,6 +439,7 @@ def encode(df: DataFrame, model: dict, text: str = "text", key: str = "doc_id",
 
     def run(data: dict, codec: Codec) -> dict:
         ids, begins, ends = [], [], []
+        codec.prepare(data["_text"])
         for t in data["_text"]:
             i, b, e = codec.encode(t)
             if add_eos:
@@ -371,6 +474,7 @@ def digest(df: DataFrame, model: dict, text: str = "text", key: str = "doc_id")
 
     def run(data: dict, codec: Codec) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", "whole")}
+        codec.prepare(data["_text"])
         for t in data["_text"]:
             ids, begins, ends = codec.encode(t)
             ids = [*ids.tolist(), codec.m["eos"]]

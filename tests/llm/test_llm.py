@@ -66,6 +66,23 @@ def test_codec_matches_library():
         assert codec.decode(ids) == library.decode(ids)
 
 
+def test_codec_merges_new_words_side_by_side(monkeypatch):
+    codec, library = sentencepiece_codec.Codec(sentencepiece_codec.load_model(MODEL)), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    monkeypatch.setattr(sentencepiece_codec, "CACHE", 500)
+    rnd = random.Random(11)
+    syllables = ["the", "tion", "sch", "é", "ou", "ing", "aaaa", "\n", "ch.", "😀", "0x", "##", "Ne"]
+    merged = []
+    one = codec._merge
+    monkeypatch.setattr(codec, "_merge", lambda unit: merged.append(unit) or one(unit))
+    for _ in range(4):
+        texts = [" ".join("".join(rnd.choices(syllables, k=rnd.randint(1, 20))) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+        codec.prepare(texts)
+        ids = [codec.encode(t)[0] for t in texts]
+        assert len(merged) < 20 and len(codec.cache) < 500 + 60 * 40  # new words are not merged one by one
+        assert [i.tolist() for i in ids] == [library.encode(t) for t in texts]
+        assert [codec.decode(i) for i in ids] == texts
+
+
 def _double_array(pairs):
     """A character map with the given replacements, one key per first byte: units (offset << 10 | leaf << 8 | label), as in the compiled form."""
     texts, where = b"", {}
