@@ -31,6 +31,8 @@ from .components import components
 LEAST, MOST, PER_ROW, STRETCH = 20, 26, 32, 1 << 14
 #: Shingles of a family's block, about; a pair of blocks is what one task holds.
 BLOCK = 500_000
+#: Texts whose shingles a task counts at once.
+SETTLED = 512
 #: Neighbours a task ties before it passes on what is left.
 WAITING = 200_000
 LOW = (1 << 32) - 1
@@ -74,7 +76,7 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 waiting.append(shingles.of(t))
-                if len(waiting) == 2048:
+                if len(waiting) == SETTLED:
                     settle()
         if waiting:
             settle()

@@ -131,6 +131,20 @@ def test_codec_tables(spark, odd, none):
     assert sentencepiece_codec.digest(none, model).count() == 0
 
 
+def test_pipeline_stages_pass_small_batches(spark):
+    rows = spark.createDataFrame([(i, "word " * 4000) for i in range(400)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get(pipeline.BATCH_SETTING)
+
+    def stage(spark, docs, sf_dir):
+        return docs.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id long")
+
+    try:
+        assert pipeline.in_small_batches(stage)(spark, rows, "").count() >= 4  # 8 MB of text
+        assert all(hasattr(stage, "__wrapped__") for _, stage in pipeline.STAGES)
+    finally:
+        spark.conf.set(pipeline.BATCH_SETTING, before)
+
+
 # ---- sharding
 
 def test_sharding(spark, sf, odd, none):
