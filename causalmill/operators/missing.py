@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lineage import cut_lineage
+from ..functions.moments import correlation, ols
 from ..functions.ordered import carried
 from ..functions.quantiles import collect_quantiles, modes
 
+MOMENT_COLUMNS = 8  # a regression on fewer numbers is solved from SQL moments, others by MLlib
+
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, T.NumericType)
@@ -151,29 +157,47 @@ def missingness_type(df: DataFrame, columns: Sequence[str], alpha: float = 0.05)
     return rows.unionByName(spark.createDataFrame(out, rows.schema))
 
 
-def _features(df: DataFrame, predictors: Sequence[str]):
-    """Feature stages for mixed predictors: numbers as they are, categories one-hot."""
-    numeric = [c for c in predictors if _is_numeric(df, c)]
-    texts = [c for c in predictors if c not in numeric]
-    stages = []
-    if texts:
-        stages.append(StringIndexer(inputCols=texts, outputCols=[f"_i_{c}" for c in texts], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in texts], outputCols=[f"_o_{c}" for c in texts]))
-    stages.append(VectorAssembler(inputCols=numeric + [f"_o_{c}" for c in texts], outputCol="_features", handleInvalid="skip"))
-    return stages, numeric, texts
+def _with_numbers(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """``df`` and ``_m_<c>``: the numeric predictors, with their mean where they are missing."""
+    if not numeric:
+        return df
+    base = df.withColumns({f"_n_{c}": F.col(c).cast("double") for c in numeric})
+    return Imputer(inputCols=[f"_n_{c}" for c in numeric], outputCols=[f"_m_{c}" for c in numeric]).fit(base).transform(base)
+
 
+def _with_features(df: DataFrame, numeric: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """``_features`` for mixed predictors: numbers as they are, categories one-hot.
+
+    ``VectorAssembler`` is not deterministic to Spark, so passes that do not ask for its vectors make them too; plain numbers go without it.
+    """
+    if not texts:
+        return df.withColumn("_features", array_to_vector(F.array(*[F.col(f"_m_{c}") for c in numeric])))
+    index = StringIndexer(inputCols=list(texts), outputCols=[f"_i_{c}" for c in texts], handleInvalid="keep")
+    onehot = OneHotEncoder(inputCols=[f"_i_{c}" for c in texts], outputCols=[f"_o_{c}" for c in texts])
+    for s in (index, onehot):
+        df = s.fit(df).transform(df)
+    return VectorAssembler(inputCols=[f"_m_{c}" for c in numeric] + [f"_o_{c}" for c in texts], outputCol="_features").transform(df)
 
-def _with_features(df: DataFrame, predictors: Sequence[str], fitted_on: DataFrame | None = None) -> DataFrame:
-    stages, numeric, texts = _features(df, predictors)
-    base = df
-    if numeric:
-        base = base.withColumns({f"_n_{c}": F.col(c).cast("double") for c in numeric})
-        imp = Imputer(inputCols=[f"_n_{c}" for c in numeric], outputCols=[f"_m_{c}" for c in numeric])
-        base = imp.fit(base).transform(base)
-    stages[-1] = VectorAssembler(inputCols=[f"_m_{c}" for c in numeric] + [f"_o_{c}" for c in texts], outputCol="_features")
-    for s in stages:
-        base = s.fit(base).transform(base) if hasattr(s, "fit") else s.transform(base)
-    return base
+
+def _line(known: DataFrame, y: str, xs: Sequence[str]) -> Column | None:
+    """Least squares of ``y`` on a few columns ``xs``, as a column: one scan of moments, no row becomes a vector.
+
+    None where moments do not do: values that are not finite, or columns that hang together.
+    """
+    cols = [y, *xs]
+    p = len(cols)
+    aggs = [F.avg(c) for c in cols] + [F.covar_pop(cols[i], cols[j]) for i in range(p) for j in range(i, p)]
+    n, *stats = known.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(F.count(F.lit(1)), *aggs).first()
+    if not n or not np.isfinite(stats).all():
+        return None
+    cov = np.zeros((p, p))
+    cov[np.triu_indices(p)] = stats[p:]
+    cov += np.triu(cov, 1).T
+    if not (np.diag(cov) > 0).all() or np.linalg.eigvalsh(correlation(cov[1:, 1:]))[0] < 1e-6:
+        return None
+    coef = ols(float(n), np.array(stats[:p]), cov, 0, range(1, p))["coef"]
+    terms = [F.col(x) * F.lit(float(b)) for x, b in zip(xs, coef[1:])]
+    return reduce(lambda a, b: a + b, terms) + F.lit(float(coef[0]))
 
 
 def impute_regression(df: DataFrame, target: str, predictors: Sequence[str] | None = None) -> DataFrame:
@@ -184,21 +208,29 @@ def impute_regression(df: DataFrame, target: str, predictors: Sequence[str] | No
     others = [c for c in (predictors or df.columns) if c != target]
     if not others:
         return impute_mean_median(df, [target]) if _is_numeric(df, target) else impute_mode_constant(df, [target])
-    ready = _with_features(df, others)
-    known = ready.where(F.col(target).isNotNull())
+    numeric = [c for c in others if _is_numeric(df, c)]
+    texts = [c for c in others if c not in numeric]
+    ready = _with_numbers(df, numeric)
+    known = F.col(target).isNotNull()
     if _is_numeric(df, target):
-        fit = LinearRegression(featuresCol="_features", labelCol="_y", predictionCol="_pred", solver="normal", regParam=0.0)
-        model = fit.fit(known.withColumn("_y", F.col(target).cast("double")).select("_features", "_y"))
-        filled = model.transform(ready).withColumn("_fill", F.col("_pred"))
-        value = F.coalesce(F.col(target).cast("double"), F.col("_fill"))
+        few = not texts and len(numeric) < MOMENT_COLUMNS
+        pred = _line(ready.where(known), target, [f"_m_{c}" for c in numeric]) if few else None
+        if pred is None:
+            ready = _with_features(ready, numeric, texts)
+            fit = LinearRegression(featuresCol="_features", labelCol="_y", predictionCol="_pred", solver="normal", regParam=0.0)
+            ready = fit.fit(ready.where(known).withColumn("_y", F.col(target).cast("double")).select("_features", "_y")).transform(ready)
+            pred = F.col("_pred")
+        value = F.coalesce(F.col(target).cast("double"), pred)
     else:
-        index = StringIndexer(inputCol=target, outputCol="_y", handleInvalid="keep").fit(known)
-        fit = RandomForestClassifier(featuresCol="_features", labelCol="_y", predictionCol="_pred", numTrees=50, seed=42)
-        model = fit.fit(index.transform(known).select("_features", "_y"))
+        ready = _with_features(ready, numeric, texts)
+        index = StringIndexer(inputCol=target, outputCol="_y", handleInvalid="keep").fit(ready.where(known))
+        # the class alone is asked for: without the columns of votes and shares a row is predicted in one call
+        fit = RandomForestClassifier(
+            featuresCol="_features", labelCol="_y", predictionCol="_pred", rawPredictionCol="", probabilityCol="", numTrees=50, seed=42)
+        ready = fit.fit(index.transform(ready.where(known)).select("_features", "_y")).transform(ready)
         labels = F.array(*[F.lit(x) for x in index.labels])
-        filled = model.transform(ready).withColumn("_fill", F.try_element_at(labels, F.col("_pred").cast("int") + 1))
-        value = F.coalesce(F.col(target), F.col("_fill"))
-    return filled.select(*[value.alias(c) if c == target else F.col(c) for c in df.columns])
+        value = F.coalesce(F.col(target), F.try_element_at(labels, F.col("_pred").cast("int") + 1))
+    return ready.select(*[value.alias(c) if c == target else F.col(c) for c in df.columns])
 
 
 def causal_order(columns: Sequence[str], edges: Sequence[tuple[str, str]]) -> list[str]:

@@ -1,9 +1,11 @@
 """Steps that must grow no faster than their input: plans without quadratic frames, the same results in the compact forms."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from causalmill.functions import ordered
+from causalmill.operators import missing
 
 
 def _plan(df):
@@ -142,3 +144,29 @@ def test_weak_components_list_lone_nodes_only(spark, monkeypatch):
         got = [tuple(r) for r in graph.weak_components(given, extra).select("graph_id", "node", "component").collect()]
         assert sorted(got, key=str) == sorted(lone + tied + more, key=str)
     assert listed and all(None in tuple(r) or r.src == r.dst for r in listed)
+
+
+def test_regression_fill_makes_no_vectors_for_known_rows(spark):
+    """A line over numbers is a plain expression; the vectors of a forest are made only where the class is missing."""
+    rows = [(i, float(i % 17) if i % 13 else None, i * 1.5 if i % 5 else None, "ab"[i % 17 > 8] if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, c string")
+    line = missing.impute_regression(df, "y", ["x", "id"])
+    assert "udf(" not in _plan(line)
+    mean = np.mean([r[1] for r in rows if r[1] is not None])
+    design = np.array([[1.0, mean if r[1] is None else r[1], r[0]] for r in rows])
+    known = np.array([r[2] is not None for r in rows])
+    coef = np.linalg.lstsq(design[known], np.array([r[2] for r in rows if r[2] is not None]), rcond=None)[0]
+    for r, want in zip(line.orderBy("id").collect(), design @ coef):
+        assert r.y == pytest.approx(rows[r.id][2] if rows[r.id][2] is not None else want)
+    filled = missing.impute_regression(line, "c", ["x"])
+    optimized = filled._jdf.queryExecution().optimizedPlan().toString()
+    assert "_features" not in optimized and "UDF(" in optimized  # vectors and votes stand inside the coalesce of the class
+    for r in filled.collect():
+        assert r.c == (rows[r.id][3] or ("ab"[r.id % 17 > 8] if r.x is not None else r.c))
+
+
+def test_regression_fill_keeps_columns_that_hang_together(spark):
+    df = spark.createDataFrame([(i, 1.0 * i, 2.0 * i, 1.0, None if i == 9 else 3.0 * i + 1) for i in range(20)], "id int, a double, b double, one double, y double")
+    assert missing._line(df.where("y IS NOT NULL"), "y", ["a", "b"]) is None and missing._line(df.where("y IS NOT NULL"), "y", ["a", "one"]) is None
+    for predictors in (["a", "b"], ["a", "one"]):
+        assert missing.impute_regression(df, "y", predictors).where("id = 9").first().y == pytest.approx(28.0)
