@@ -5,10 +5,16 @@ Chunk tables have document_id, chunk_id, content, metadata map<string,string> an
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import os
+import re
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from itertools import groupby
+from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +25,7 @@ from ..functions.lineage import cut_lineage
 
 EMPTY = "[Empty file]"
 LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+OPEN_COST = "64k"  # opening a file counts as reading so much when files are dealt to tasks; Spark's 4 MB would make a task of 32 files
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 RULE = "\n\n---\n\n"
 
@@ -141,13 +148,63 @@ def ingest_new(
 
 @contextmanager
 def listing_tasks(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, a listing of many folders or files takes four tasks per core instead of one for each of them."""
-    before = spark.conf.get(LISTING)
-    spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
+    """While it lasts, listing or reading many small files takes about four tasks per core: a listing not one for each folder, a read not one for 32 files."""
+    tasks = str(4 * spark.sparkContext.defaultParallelism)
+    new = {LISTING: tasks, "spark.sql.files.minPartitionNum": tasks, "spark.sql.files.openCostInBytes": OPEN_COST}
+    before = {name: spark.conf.get(name, None) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(LISTING, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"  # Spark's name for a folder of rows without a key
+FILES_PER_FOLDER = 250
+
+
+def _to_files(folder: str, key: str):
+    """For ``mapInArrow`` over rows (key, text) sorted by key: writes a file per key below ``folder`` and gives the number of files."""
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, files = TaskContext.get().partitionId(), 0
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for k, same in groupby(rows, key=lambda row: row[0]):
+            to = os.path.join(folder, f"{task:05d}-{files // FILES_PER_FOLDER:05d}")
+            if files % FILES_PER_FOLDER == 0:
+                os.makedirs(to, exist_ok=True)
+            with open(os.path.join(to, f"{key}={NO_KEY if k is None else quote(k)}.txt"), "wb") as f:
+                f.writelines((text or b"") + b"\n" for _, text in same)
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
+def write_files(df: DataFrame, key: str, text: str, folder: str) -> None:
+    """Write one text file per value of ``key`` below ``folder``, its name or that of its folder being key=value; a line per row.
+
+    On a file system of the machines, Spark's writer starts three processes per file to set permissions; there the tasks write the files themselves, a few
+    hundred to a folder. A task that is run again writes the same names.
+    """
+    rows = df.select(key, text).repartition(key)
+    if urlparse(folder).scheme not in ("", "file"):
+        rows.write.partitionBy(key).text(folder)
+        return
+    rows = rows.select(F.nullif(F.col(key).cast("string"), F.lit("")).alias(key), F.col(text).cast("binary").alias(text)).sortWithinPartitions(key)
+    rows.mapInArrow(_to_files(unquote(urlparse(folder).path), key), "files long").agg(F.sum("files")).collect()
+
+
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+PACKED = {"gz", "bz2", "deflate", "snappy", "lz4", "zst", "zstd", "xz"}
+
+
+def _plain(patterns: str) -> bool:
+    """Whether only files match that Spark's text reader would not unpack."""
+    names = re.fullmatch(r"\*\.(?:(\w+)|\{([\w,]+)\})", patterns)
+    return names is not None and not PACKED & set((names[1] or names[2]).lower().split(","))
 
 
 def ingest_stream(
@@ -158,14 +215,17 @@ def ingest_stream(
 
     A file stream that ends when nothing new is left: its log in ``progress`` is the record of what is stored, so a file is read once even if a run is
     broken off and started again, and files of any number go through in batches. Files of no bytes are passed over. ``document_id`` takes the id from the path; ``run`` names the call in the table.
-    A listing is cut into a few tasks per core, not one per folder or file.
+    A listing is cut into a few tasks per core, not one per folder or file, and so is a batch. Files are read as bytes where none can be packed, as the text
+    reader copies Hadoop's settings for each file.
     """
     with listing_tasks(spark):
+        plain = _plain(patterns)
         raw = (
-            spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", patterns)
-            .option("maxFilesPerTrigger", files_per_batch).schema("value string").load(folder)
+            spark.readStream.format("binaryFile" if plain else "text").options(**{} if plain else {"wholetext": True}).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", patterns).option("maxFilesPerTrigger", files_per_batch).schema(BINARY_FILE if plain else "value string").load(folder)
         )
-        files = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("document_id", F.regexp_extract("path", document_id, 1))
+        whole = raw.where("length > 0").select("_metadata.file_path", F.col("content").cast("string").alias("text")) if plain else raw.select("_metadata.file_path", F.col("value").alias("text"))
+        files = whole.withColumnRenamed("file_path", "path").withColumn("document_id", F.regexp_extract("path", document_id, 1))
         chunks = chunk_paragraphs(files.withColumn("title", extract_title(F.col("text"))), "text", ["document_id", "path", "title"], separator)
         query = chunks.withColumn("run", F.lit(run)).writeStream.format("parquet").option("path", store).option("checkpointLocation", progress).trigger(availableNow=True).start()
         query.awaitTermination()

@@ -85,8 +85,8 @@ def ingest_new(spark, sf):
     docs, english = _docs(spark, sf).select("doc_id", "text", "lang"), F.coalesce(F.col("lang") == "en", F.lit(False))
     for run, part in (("first", docs.where(english)), ("second", docs.where(~english)), ("third", None)):
         if part is not None:
-            part.select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(f"{root}/{run}")
-        chunks = text.ingest_stream(spark, root, store, progress, run, "*.txt", "\n", r"doc_id=([^/]+)/")
+            text.write_files(part, "doc_id", "text", f"{root}/{run}")
+        chunks = text.ingest_stream(spark, root, store, progress, run, "*.txt", "\n", r"doc_id=([^/]+?)(?:/|\.txt$)")
     return chunks.select("document_id", "run", "chunk_id", F.md5(F.col("content").cast("binary")).alias("content"))
 
 

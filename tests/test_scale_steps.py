@@ -130,6 +130,53 @@ def test_small_files_listed_in_few_tasks_and_batches(spark, tmp_path):
     assert text.ingest_stream(spark, folder, store, progress, "2").where("run = '2'").isEmpty()
 
 
+def test_documents_written_and_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    """A file per document, in few folders and without one of Spark's checksum files each; repeated and null keys share a file; a batch takes four tasks per core."""
+    import hashlib
+
+    from causalmill.operators import text
+    from causalmill.plans.queries import q07_text
+
+    monkeypatch.setattr(q07_text, "scratch", lambda spark, name: f"file:{tmp_path / 'a b' / name}")
+    docs = [(i, f" t{i} \n\nü{i}", "en" if i % 3 else "fr") for i in range(2_000)] + [(7, "again", "en"), (8, None, "en"), (9_000, "", None), (9_001, None, "de"), (None, "lost", "en"), (None, "lost", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = q07_text.ingest_new(spark, str(tmp_path))
+    want = {}
+    for k, t, lang in docs:
+        run, name = "first" if lang == "en" else "second", "__HIVE_DEFAULT_PARTITION__" if k is None else str(k)
+        want.setdefault((name, run), []).append(t or "")
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.document_id, r.run), {})[r.chunk_id] = r.content
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got.keys() == want.keys() and len(got) == 2_003
+    for k, texts in want.items():
+        if len(texts) == 1 or k[0].startswith("__"):  # the order of rows in a file is free
+            lines = [(i, p.strip()) for i, p in enumerate("\n".join(texts).split("\n")) if p.strip()]
+            assert got[k] == {i: md5(p) for i, p in lines or [(0, text.EMPTY)]}
+    assert sorted(got["7", "first"].values()) == sorted(map(md5, ["t7", "ü7", "again"])) and sorted(got["8", "first"].values()) == sorted(map(md5, ["t8", "ü8"]))
+    written = [p for p in (tmp_path / "a b" / "corpus").rglob("*") if p.is_file()]
+    assert len(written) == 2_003 and len({p.parent for p in written}) <= 2 * 4 + 2_003 // text.FILES_PER_FOLDER
+    parts = [p for p in (tmp_path / "a b" / "chunks").glob("part-*")]
+    assert len(parts) <= 2 * (4 * spark.sparkContext.defaultParallelism + 1)
+
+
+def test_packed_and_empty_files_are_ingested_as_before(spark, tmp_path):
+    import gzip
+
+    from causalmill.operators import text
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gz").write_bytes(gzip.compress(b"one\n\ntwo"))
+    (tmp_path / "in" / "b.txt").write_bytes(b"")
+    (tmp_path / "in" / "c.txt").write_bytes(b"\n")
+    (tmp_path / "in" / "d.txt").write_bytes(b"\xff three")
+    read = lambda n, patterns: [(r.document_id, r.content) for r in text.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / f"s{n}"), str(tmp_path / f"p{n}"), "1", patterns).orderBy("document_id", "chunk_id").collect()]
+    plain = read(1, "*.txt")
+    assert [plain[0], plain[1][0]] == [("c.txt", text.EMPTY), "d.txt"] and len(plain) == 2 and plain[1][1].endswith(" three")
+    assert read(2, "*.{gz,txt}") == [("a.gz", "one"), ("a.gz", "two"), *plain]
+
+
 def test_weak_components_list_lone_nodes_only(spark, monkeypatch):
     from causalmill.operators import graph
 
