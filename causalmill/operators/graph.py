@@ -6,12 +6,13 @@ One job serves every graph in the table. Loops store each round in the checkpoin
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage, row_bound, stored
+from .groups import Groups, index_groups
 
 G = "graph_id"
 EDGE = [G, "src", "dst"]
@@ -199,16 +200,26 @@ def closure(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def ancestors_descendants(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+SEEDS = 8  # of a graph; for more, groups are gone through for all seeds at once
+
+
+def ancestors_descendants(edges: DataFrame | Groups, seeds: DataFrame | None = None) -> DataFrame:
     """(graph_id, ancestor, descendant) for the given nodes, or the whole transitive closure.
 
-    With ``seeds``, ``edges`` may also be given by groups (graph_id, group, node): each member has an edge to the greater ones of its group.
+    With ``seeds``, ``edges`` may also be given by groups (graph_id, group, node), or as ``index_groups`` packs them: each member has an edge to the greater
+    ones of its group.
     """
     if seeds is None:
         return closure(edges)
-    walk = reach_in_groups if "group" in edges.columns else reach
-    down = walk(edges, seeds).select(G, F.col("seed").alias("ancestor"), F.col("node").alias("descendant"))
-    up = walk(edges, seeds, backward=True).select(G, F.col("node").alias("ancestor"), F.col("seed").alias("descendant"))
+    walk = partial(reach, edges)
+    if isinstance(edges, Groups):
+        walk = edges.reach
+    elif "group" in edges.columns:
+        seeds = cut_lineage(seeds.select(*NODE).distinct())
+        many = not seeds.groupBy(G).count().where(F.col("count") > SEEDS).isEmpty()
+        walk = partial(reach_in_groups, edges) if many else index_groups(edges).reach
+    down = walk(seeds).select(G, F.col("seed").alias("ancestor"), F.col("node").alias("descendant"))
+    up = walk(seeds, backward=True).select(G, F.col("node").alias("ancestor"), F.col("seed").alias("descendant"))
     return down.unionByName(up).distinct()
 
 

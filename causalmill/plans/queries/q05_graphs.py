@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.lineage import cut_lineage, stored
 from ...operators import graph, hidden, paths
 from ...operators.association import pair_stats
+from ...operators.groups import index_groups
 from ..registry import load, query, rounded, rounded_sql
 from .q04_association import RICH, pairs_sql, rich
 
@@ -321,11 +322,13 @@ def fan_out(spark, sf):
 BULK = """flows AS (SELECT DISTINCT l_returnflag AS graph_id, 'C' || o_custkey AS src, 'P' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def bulk(spark, sf):
+def bulk(spark, sf, repeated: bool = False):
+    """The edges; ``repeated``: as often as they occur."""
     lines = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    keys = stored(df.select("l_returnflag", "o_custkey", "l_partkey").distinct())  # keys are shorter than names
+    keys = df.select("l_returnflag", "o_custkey", "l_partkey")
+    keys = stored(keys if repeated else keys.distinct())  # keys are shorter than names
     return keys.select(F.col("l_returnflag").alias("graph_id"), F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"))
 
 
@@ -363,9 +366,9 @@ def shared_neighbours_bulk(spark, sf):
 )
 def ancestors_descendants_seeds(spark, sf):
     """Parts bought in bulk by the same customer, the lower name first; everything above and below the first part."""
-    members = bulk(spark, sf).select("graph_id", F.col("src").alias("group"), F.col("dst").alias("node")).na.drop()
-    lowest = members.groupBy("graph_id", "group").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node < last")
-    return graph.ancestors_descendants(members, lowest.groupBy("graph_id").agg(F.min("node").alias("node")))
+    members = bulk(spark, sf, repeated=True).select("graph_id", F.col("src").alias("group"), F.col("dst").alias("node"))
+    groups = index_groups(members)
+    return graph.ancestors_descendants(groups, groups.lowest())
 
 
 KNOW = """know AS (SELECT a.n_name AS source, b.n_name AS target, CASE a.n_regionkey WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.75 WHEN 2 THEN 0.95 ELSE 0.6 END AS k, CASE WHEN a.n_regionkey = 2 THEN 'indirect' ELSE 'direct' END AS type

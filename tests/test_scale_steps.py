@@ -74,6 +74,68 @@ def test_groups_reach_without_written_edges(spark):
     assert len(got) > 20 and got == sorted(map(tuple, graph.ancestors_descendants(pairs, seeds).collect()))
 
 
+def test_groups_are_packed_once_for_all_rounds(spark, monkeypatch):
+    """The members are shuffled by node and by group and then only read as packs; a long chain, repeated rows, lone members and several seeds."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from causalmill.operators import graph
+    from causalmill.operators.groups import index_groups
+
+    rng = random.Random(7)
+    rows = [("a", f"c{i:03d}", f"p{j:03d}") for i in range(60) for j in (i, i + 1)] + [(g, f"g{rng.randrange(90)}", f"q{rng.randrange(200)}") for g in "ab" for _ in range(300)]
+    rows += [*rows[::5], ("a", "x", "p000a"), ("c", "x", "p1"), ("a", None, "p1"), ("a", "c1", None), (None, "c1", "p1")]
+    members = spark.createDataFrame(rows, "graph_id string, `group` string, node string")
+    monkeypatch.setattr(graph, "reach_in_groups", None)
+    index = index_groups(members)
+    assert index.packs.count() <= index.packs.rdd.getNumPartitions() * 2 and index.size == len({(g, n) for g, k, n in rows if None not in (g, k, n)})
+    pairs = sorted({(g, x, y) for g, k, x in rows for h, l, y in rows if None not in (g, k, x, y) and (g, k) == (h, l) and x < y})
+    assert {(r.graph_id, r.node) for r in index.lowest().collect()} == {("a", min(x for g, x, _ in pairs if g == "a")), ("b", min(x for g, x, _ in pairs if g == "b"))}
+
+    def reached(begin, forward):
+        front, seen = [begin], set()
+        while front:
+            g, n = front.pop()
+            new = {(h, y if forward else x) for h, x, y in pairs if h == g and (x if forward else y) == n} - seen
+            seen |= new
+            front += new
+        return seen
+
+    seeds = [("a", "p000"), ("a", "p030"), ("a", "q50"), ("b", "q17"), ("a", "p000a"), ("a", "none")]
+    want = sorted({(g, n, m) for g, n in seeds for _, m in reached((g, n), True)} | {(g, m, n) for g, n in seeds for _, m in reached((g, n), False)})
+    given = spark.createDataFrame(seeds, "graph_id string, node string")
+    assert len(want) > 150 and sorted(map(tuple, graph.ancestors_descendants(members, given).collect())) == want
+    assert sorted(map(tuple, graph.ancestors_descendants(index, given).collect())) == want
+    none = index_groups(members.where(F.lit(False)))
+    assert none.size == 0 and graph.ancestors_descendants(none, none.lowest()).isEmpty()
+
+
+def test_packs_hold_whole_groups(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from causalmill.operators import groups
+
+    monkeypatch.setattr(groups, "PACK", 7)
+    sizes = [3, 1, 20, 2, 2, 2, 1, 5, 1]
+    rows = [("a" if i < 5 else "b", f"g{i}", 10 * i + j) for i, n in enumerate(sizes) for j in range(n)]
+    rows.insert(1, rows[0])  # given twice
+    for cut in (1, 4, 9, 100):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("graph_id", "group", "n"), r, strict=True)) for r in rows[i : i + cut]]) for i in range(0, len(rows), cut)]
+        got, low = [], {}
+        for b in groups._pack(iter(batches), np.int32):
+            r = b.to_pylist()[0]
+            ids, at = np.frombuffer(r["ids"], np.int32).tolist(), 0
+            for n in np.frombuffer(r["sizes"], np.int64):
+                got.append(ids[at : at + n])
+                at += n
+            assert at == len(ids)
+            for g, n in zip(r["graphs"], r["lows"], strict=True):
+                low[g] = min(n, low.get(g, n))
+        assert got == [[10 * i + j for j in range(n)] for i, n in enumerate(sizes) if n > 1] and low == {"a": 0, "b": 50}
+
+
 def _no_uncompressed_copy(monkeypatch, graph):
     def refuse(df):
         raise AssertionError("a table of the size of the edges is stored uncompressed")
